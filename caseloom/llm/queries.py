@@ -18,6 +18,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fitted, held_out, scored
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon = fitted(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = scored(docs, lexicon)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -30,5 +39,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op9_best_fit_packing": op9_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op9_best_fit_packing)}
 SQL: dict[str, str] = {}
