@@ -33,11 +33,21 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, found_secrets, span_text
+
+    found = found_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    kinds = [r.kind for r in BASE]
+    count = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
+    base = span_text(F.filter("spans", lambda s: s["kind"].isin(kinds)))
+    return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op8_secret_scan, op9_best_fit_packing)}
 SQL: dict[str, str] = {}
