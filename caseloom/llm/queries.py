@@ -39,6 +39,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_vectors
 
@@ -67,5 +73,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op7_embedding_near_dedup, op8_secret_scan, op9_best_fit_packing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_warc_round_trip, op7_embedding_near_dedup, op8_secret_scan, op9_best_fit_packing, op10_url_filter)}
 SQL: dict[str, str] = {}
