@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,3 +185,13 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def held_out() -> Column:
     """Rows that nothing is learned from: crc32 of the doc_id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def score_column(lexicon: Lexicon):
+    """A vectorised function of a text column that gives its score; the rest of a row stays where it is."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(lexicon.score(np.array([lexicon.features(t) for t in texts]).reshape(-1, 2)))
+
+    return score

@@ -1,20 +1,64 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, secrets, packing. Each stage is written and read again."""
+"""The corpus pipeline over `documents`: toxicity, near-duplicates, decontamination, secrets, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that the stage before it kept, and
+returns a DataFrame with the columns of `documents` (the last one: packed pieces). run() writes each stage as Parquet in
+the shared folder and reads it again, so a lost executor costs no earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseloom.llm.common import new_path
+from caseloom.llm.decontaminate import contaminated
+from caseloom.llm.minhash import near_duplicates
+from caseloom.llm.packing import packed
+from caseloom.llm.secrets import redacted
+from caseloom.llm.toxicity import fitted, held_out, score_column
+
+#: Score from which a document is rejected.
+TOXIC = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxic score; the lexicon is learned from the labelled rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    return docs.where(score_column(fitted(docs, labels))(F.col("text").cast("string")) < TOXIC)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that of the smallest doc_id."""
+    gone = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
 
-STAGES: list = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of every benchmark item's five-word shingles."""
+    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by a mark, with n_chars counted anew."""
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents in sequences of 1024."""
+    return packed(docs, size=1024)
+
+
+STAGES = [("toxicity", toxicity), ("minhash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("secret scan", secrets), ("best-fit packing", packing)]
+#: Learning, hashing and tokenising have no SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    from caseloom.llm.common import new_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
+        path = new_path(spark, f"stage-{name.replace(' ', '_')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
