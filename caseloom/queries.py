@@ -1,10 +1,6 @@
-"""Registry of the queries that run an operator over the driver's tables, with their SQL."""
+"""All registered queries; importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from caseloom.plans import activity_queries, function_queries, graph_queries, record_queries  # noqa: F401
+from caseloom.registry import QUERIES, SQL  # noqa: F401
