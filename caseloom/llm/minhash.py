@@ -76,6 +76,19 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return by_batch(docs, run, "doc_id long, shingles binary")
 
 
+def _own_alone(sets: DataFrame) -> DataFrame:
+    """(rep, alone): how many of a document's shingles no other of these documents has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, own in zip(batch.column("doc_id"), batch.column("shingles"), strict=True):
+                values = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), doc.as_py())), pa.array(values)], names=["rep", "shingle"])
+
+    held = sets.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("high")).where("rep = high")
+    return held.groupBy("rep").agg(F.count("*").alias("alone"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the similarity."""
 
@@ -108,6 +121,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     by stars: in each round every member is compared with one hub of its bucket if both are not connected yet. Last,
     members of a bucket that are still in different components are compared outright, so no link is lost; members of
     one component never are, so a group of near copies costs a few comparisons for each copy and not for each pair.
+    Pairs are only formed if their sizes allow the similarity, and the counts of their shingles that any other document
+    of a shared bucket has at all: a copy with too many words of its own is never paired.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -121,19 +136,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     wanted = table.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(_sets(docs.join(wanted, "doc_id"), shingle), "sets")
     freed(spark)
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    # c: a document's shingles that some other one has. No pair shares more than the lesser c, which bounds its similarity.
+    held = table.join(_own_alone(sets), "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    table = written(held.where(f"100 * c >= {percent} * n"), "held")
+    freed(spark)
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and 100 * least(c, d) >= {percent} * (n + m - least(c, d))")
     links = None
     label = table.select("rep", F.col("rep").alias("component")).distinct()
     for r in range(ROUNDS + 1):
         labelled = written(table.join(label, "rep"), "labelled")
-        mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "n", "component"), F.col("rep") if r == 0 else F.xxhash64("rep", "bucket", F.lit(r))).alias("hub")).where("low < high"), "mixed")
+        mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "n", "c", "component"), F.col("rep") if r == 0 else F.xxhash64("rep", "bucket", F.lit(r))).alias("hub")).where("low < high"), "mixed")
         if mixed.isEmpty():
             break
         if r < ROUNDS:
-            pairs = labelled.join(mixed.select("bucket", "hub"), "bucket").where("component != hub.component").select(F.col("rep").alias("a"), F.col("n"), F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"))
+            pairs = labelled.join(mixed.select("bucket", "hub"), "bucket").where("component != hub.component").select(F.col("rep").alias("a"), "n", "c", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"), F.col("hub.c").alias("d"))
         else:
             own = labelled.join(mixed.select("bucket"), "bucket")
-            other = own.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            other = own.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"))
             pairs = own.withColumnRenamed("rep", "a").join(other, "bucket").where("component < other")
         pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_confirmed(pairs, sets, percent), "links")
