@@ -124,17 +124,17 @@ def graph_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.patterns(m, G.communities(v, e, G.components(v, e)))
 
 
-_PATHS = """p1 AS (SELECT [at, next] AS path, [edge_id] AS edge_ids, next AS at FROM b WHERE at = 'S1'), p2 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS at FROM p1 JOIN b USING (at) WHERE p1.at <> 'S2' AND NOT list_contains(path, next)),
-  p3 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS at FROM p2 JOIN b USING (at) WHERE p2.at <> 'S2' AND NOT list_contains(path, next)), p4 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS at FROM p3 JOIN b USING (at) WHERE p3.at <> 'S2' AND NOT list_contains(path, next))"""
+_PATHS = """p1 AS (SELECT [nd, next] AS path, [edge_id] AS edge_ids, next AS nd FROM b WHERE nd = 'S1'), p2 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS nd FROM p1 JOIN b USING (nd) WHERE p1.nd <> 'S2' AND NOT list_contains(path, next)),
+  p3 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS nd FROM p2 JOIN b USING (nd) WHERE p2.nd <> 'S2' AND NOT list_contains(path, next)), p4 AS (SELECT list_append(path, next) AS path, list_append(edge_ids, edge_id) AS edge_ids, next AS nd FROM p3 JOIN b USING (nd) WHERE p3.nd <> 'S2' AND NOT list_contains(path, next))"""
 
 
-@query(f"""WITH {BASE}, b AS (SELECT edge_id, src AS at, dst AS next FROM es UNION ALL SELECT edge_id, dst, src FROM es), {_PATHS} SELECT path, edge_ids, CAST(len(edge_ids) AS INT) AS hops FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE at = 'S2'""")
+@query(f"""WITH {BASE}, b AS (SELECT edge_id, src AS nd, dst AS next FROM es UNION ALL SELECT edge_id, dst, src FROM es), {_PATHS} SELECT path, edge_ids, CAST(len(edge_ids) AS INT) AS hops FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE nd = 'S2'""")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G8."""
     return G.simple_paths(edges(spark, sf_dir), "S1", "S2")
 
 
-@query(f"""WITH {BASE}, b AS (SELECT NULL AS edge_id, id AS at, other AS next FROM nb), {_PATHS} SELECT path, CAST(len(path) - 1 AS INT) AS hops FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE at = 'S2' ORDER BY len(path), path LIMIT 1""")
+@query(f"""WITH {BASE}, b AS (SELECT NULL AS edge_id, id AS nd, other AS next FROM nb), {_PATHS} SELECT path, CAST(len(path) - 1 AS INT) AS hops FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE nd = 'S2' ORDER BY len(path), path LIMIT 1""")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G9, C1."""
     return G.shortest_path(edges(spark, sf_dir), "S1", "S2")

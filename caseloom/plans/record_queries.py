@@ -1,0 +1,319 @@
+"""Records, resolution, text, ledger and models over the driver's tables, with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseloom.operators import behaviour as B
+from caseloom.operators import ledger as L
+from caseloom.operators import ml as K
+from caseloom.operators import records as R
+from caseloom.operators import reports as P
+from caseloom.operators import resolution as E
+from caseloom.operators import text as T
+from caseloom.plans import views as V
+from caseloom.plans.function_queries import names
+from caseloom.plans.graph_queries import edges
+from caseloom.registry import load, query
+
+_CASES = f"WITH {V.CASES_SQL}"
+
+
+@query(f"{_CASES} SELECT case_id, status, place FROM cs WHERE (lower(category) LIKE '%urgent%' OR lower(place) LIKE '%urgent%') AND lower(status) = 'open' ORDER BY case_id LIMIT 100 OFFSET 20")
+def case_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a search."""
+    return R.page(R.searched(V.cases(spark, sf_dir), "urgent", ("category", "place"), {"status": "open"}), (("case_id", False),), 100, 20).select("case_id", "status", "place")
+
+
+@query(f"{_CASES} SELECT case_id, category FROM cs WHERE case_id = 77 OR owner_id = 77")
+def case_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5."""
+    return V.cases(spark, sf_dir).where("case_id = 77 or owner_id = 77").select("case_id", "category")
+
+
+@query("""SELECT * FROM (SELECT 'case' AS kind, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS label FROM orders WHERE o_orderpriority ILIKE '%00%' OR CAST(o_orderkey AS VARCHAR) ILIKE '%00%' ORDER BY o_orderkey LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'entity', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_name ILIKE '%00%' ORDER BY c_custkey LIMIT 10)""")
+def global_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6."""
+    return R.global_search({"case": (load(spark, sf_dir, "orders"), "o_orderkey", ("o_orderpriority", "o_orderkey")), "entity": (load(spark, sf_dir, "customer"), "c_custkey", ("c_name",))}, "00")
+
+
+@query(f"{_CASES}, t AS (SELECT *, contains(place, 'NOWHERE') AS ok FROM cs) SELECT case_id, place FROM t WHERE ok OR NOT (SELECT bool_or(ok) FROM t)")
+def filtered_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: a filter without hits falls back to all cases."""
+    return R.filtered_or_all(V.cases(spark, sf_dir), F.col("place").contains("NOWHERE")).select("case_id", "place")
+
+
+@query(f"{_CASES} SELECT DISTINCT trim(split_part(place, ',', 1)) AS district, status, category FROM cs")
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12."""
+    return V.cases(spark, sf_dir).select(F.trim(F.element_at(F.split("place", ","), 1)).alias("district"), "status", "category").distinct()
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents""")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A29, S2, C14."""
+    return R.counted({n: load(spark, sf_dir, n) for n in ("orders", "customer", "events", "documents")})
+
+
+@query("""SELECT * FROM (SELECT 'case' AS kind, CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS ts FROM orders ORDER BY ts DESC, CAST(o_orderkey AS VARCHAR) LIMIT 4) UNION ALL SELECT * FROM (SELECT 'event', CAST(event_id AS VARCHAR), ts FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 3)""")
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2."""
+    return R.recent((load(spark, sf_dir, "orders"), "case", "o_orderkey", "o_orderdate", 4), (load(spark, sf_dir, "events"), "event", "event_id", "ts", 3))
+
+
+@query(f"""WITH {V.ACTIVITY_SQL} SELECT district, count(*) AS n, CASE WHEN count(*) > 5 THEN 'ANOMALOUS' ELSE 'NORMAL' END AS status FROM ac WHERE flagged GROUP BY 1 ORDER BY n DESC, district LIMIT 4""")
+def city_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, L2, L3."""
+    own = V.activity(spark, sf_dir).where("flagged").groupBy("district").agg(F.count("*").alias("n")).withColumn("status", F.when(F.col("n") > 5, "ANOMALOUS").otherwise("NORMAL"))
+    return own.orderBy(F.desc("n"), "district").limit(4)
+
+
+@query("SELECT * FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS solved FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 12)")
+def monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4."""
+    return R.monthly(load(spark, sf_dir, "orders"), "o_orderdate", F.col("o_orderstatus") == "F")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS share FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    return R.shares(load(spark, sf_dir, "orders"), "o_orderpriority", 10)
+
+
+@query(f"{_CASES} SELECT district AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS share FROM (SELECT trim(split_part(place, ',', 1)) AS district FROM cs) GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
+def district_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    return R.shares(V.cases(spark, sf_dir).withColumn("district", F.trim(F.element_at(F.split("place", ","), 1))), "district", 8)
+
+
+@query(f"{_CASES} SELECT status AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS share FROM cs GROUP BY 1 ORDER BY n DESC, value LIMIT 6")
+def status_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7."""
+    return R.shares(V.cases(spark, sf_dir), "status", 6)
+
+
+@query(f"{_CASES} SELECT count(*) FILTER (status IN ('OPEN', 'ACTIVE')) AS active, count(*) FILTER (status = 'CLOSED') AS solved, count(*) FILTER (risk > 7) AS high_risk FROM cs")
+def case_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9, A10."""
+    return R.indicators(V.cases(spark, sf_dir), active=F.col("status").isin("OPEN", "ACTIVE"), solved=F.col("status") == "CLOSED", high_risk=F.col("risk") > 7)
+
+
+@query("SELECT l_returnflag AS kind, count(*) AS records, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11, C7."""
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("records"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+@query(f"WITH {V.CONTACTS_SQL} SELECT case_id, least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) AS n FROM ct WHERE kind = 'call' GROUP BY 1, 2, 3")
+def case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25."""
+    return V.contacts(spark, sf_dir).where("kind = 'call'").groupBy("case_id", F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, user_id, coalesce(c_name, CAST(user_id AS VARCHAR), 'SYSTEM') AS user_name, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10') AS total
+  FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""")
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7, F16, J3."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts", F.col("props").alias("detail"))
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return R.audit_page(e, users, equal={"action": "error"}, since="2024-01-10", limit=50, offset=50).select("event_id", "user_id", "user_name", "total")
+
+
+@query("""SELECT s_suppkey, s_acctbal > 0 AND s_nationkey % 4 >= 2 AS allowed FROM supplier""")
+def role_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18."""
+    role = F.element_at(F.array(*(F.lit(r) for r in ("VIEWER", "ANALYST", "INVESTIGATOR", "ADMIN"))), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_acctbal") > 0) & R.allowed(role, "INVESTIGATOR")).alias("allowed"))
+
+
+@query(f"WITH {V.CONTACTS_SQL} SELECT p1, p2, coalesce(case_id, 'CASE') AS case_id, CAST(coalesce(nullif(duration, 0), 50) AS DOUBLE) AS strength FROM ct WHERE p1 IS NOT NULL AND p2 IS NOT NULL")
+def detected_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F22, G19."""
+    return V.contacts(spark, sf_dir).where("p1 is not null and p2 is not null").select("p1", "p2", F.coalesce("case_id", F.lit("CASE")).alias("case_id"), R.or_default(F.col("duration"), 50.0).cast("double").alias("strength"))
+
+
+_PEOPLE = "pe AS (SELECT c_custkey AS person_id, c_name AS name FROM customer WHERE c_mktsegment = 'MACHINERY'), rw AS (SELECT o_orderkey AS row_id, o_custkey AS person_id, 'Customer#' || lpad(CAST(o_orderkey % 1500 AS VARCHAR), 9, '0') AS name, o_orderdate AS ts FROM orders)"
+
+
+@query(f"WITH {_PEOPLE} SELECT DISTINCT row_id, pe.person_id AS person FROM rw JOIN pe ON rw.person_id = pe.person_id OR lower(rw.name) = lower(pe.name)")
+def dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An OR-join as two equi-joins."""
+    people = load(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.lit(10).alias("risk"))
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("person_id"), F.concat(F.lit("Customer#"), F.lpad((F.col("o_orderkey") % 1500).cast("string"), 9, "0")).alias("name"), F.col("o_orderdate").alias("ts"))
+    return P.dossier(people, {"orders": (rows, "row_id", "ts")}, edges(spark, sf_dir))["orders"].select("row_id", "person")
+
+
+@query("""SELECT o_orderkey AS case_id, CAST(o_custkey + 1000000 AS VARCHAR) AS other_id, coalesce(l.n, 0) AS lines, coalesce(c.n, 0) AS customers FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey LEFT JOIN (SELECT c_custkey + 1000000 AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = o_custkey + 1000000""")
+def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12."""
+    cases = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), (F.col("o_custkey") + 1000000).cast("string").alias("other_id"))
+    customers = load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000).alias("k"))
+    return R.case_counts(cases, {"lines": (load(spark, sf_dir, "lineitem"), "l_orderkey"), "customers": (customers, "k")}).withColumn("case_id", F.col("case_id").cast("long"))
+
+
+@query("SELECT o_orderpriority AS case_id, list_sort(list_distinct(list(o_orderstatus))) AS statuses, list_sort(list_distinct(list(CAST(o_custkey AS VARCHAR)))) AS people FROM orders GROUP BY 1")
+def case_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J17, T6."""
+    return R.linked_case_profile(load(spark, sf_dir, "orders").withColumn("who", F.col("o_custkey").cast("string")), "o_orderpriority", statuses="o_orderstatus", people="who").withColumnRenamed("o_orderpriority", "case_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unlinked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an insert-if-absent would write."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return R.inserted(o, load(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name, coalesce(b, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS b FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def patched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4."""
+    patch = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return R.updated(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), patch, "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def cascaded_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S17."""
+    gone = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return R.without(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.duplicates(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT 'case' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS key, o_orderdate AS ts FROM orders UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), ts FROM events")
+def merged_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U3-U5, L4, C6."""
+    o = load(spark, sf_dir, "orders").withColumn("who", F.col("o_custkey"))
+    return R.timeline((o, "case", "o_orderkey", "o_orderdate"), (load(spark, sf_dir, "events").withColumn("who", F.col("user_id")), "event", "event_id", "ts"), key="who")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = names(spark, sf_dir)
+    shared = F.concat(F.lit("6"), F.lpad((F.col("id") % 700).cast("string"), 9, "0"))
+    raw = n.select("id", F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Rahul Kumar", "Rahul Kmar", "Amit Sharma", "Amit Sarma", "Priya Singh"))), (F.col("id") % 5 + 1).cast("int")), F.lit(" "), (F.floor(F.col("id") / 10)).cast("string")).alias("name"), shared.alias("phone"), "dob", "age", F.concat(F.col("place"), F.floor(F.col("id") / 6).cast("string")).alias("address"), F.concat(F.lit("CASE-"), F.floor(F.col("id") / 8).cast("string")).alias("case_id"))
+    return E.validated(raw, 2024)
+
+
+@query()
+def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X13-X15, with the provenance hash left to tests."""
+    return _records(spark, sf_dir).select("id", "name", "phonetic_key", "phone", "birth_year", "address", "case_id", "is_valid", F.size("warnings").alias("warnings"))
+
+
+@query()
+def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7, J6 without its square."""
+    return E.blocked_pairs(_records(spark, sf_dir))
+
+
+@query()
+def simple_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X26, L6."""
+    r = _records(spark, sf_dir)
+    return E.simple_scores(r, E.blocked_pairs(r))
+
+
+@query()
+def pair_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X27-X29, G16."""
+    r = _records(spark, sf_dir)
+    return E.pair_scores(r, E.blocked_pairs(r)).drop("supporting", "counter")
+
+
+@query()
+def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20."""
+    r = _records(spark, sf_dir)
+    return E.resolution_statistics(E.pair_scores(r, E.blocked_pairs(r)))
+
+
+@query()
+def registry_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X25, J8, W4, A28's input."""
+    c, s = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
+    e = c.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("name"), F.lit("").alias("alias"), F.lit("LOCATION").alias("type"), F.lit("").alias("phone"), F.lit("").alias("vehicle"), F.lit("").alias("location"))
+    r = s.select(F.col("n_nationkey").alias("candidate_id"), F.replace(F.col("n_name"), F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lower("n_name")).alias("aliases"), F.lit("Location").alias("type"), F.lit("").alias("phone"), F.lit("").alias("vehicle"), F.lit("").alias("location"))
+    return E.best_matches(e, r)
+
+
+@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\\+91[\\-\\s]?)?[6-9]\\d{9}')) AS text FROM documents) SELECT doc_id, text, count(*) AS n FROM d GROUP BY 1, 2""")
+def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 without places, T4."""
+    e = T.extracted(load(spark, sf_dir, "documents"), "text", "doc_id")
+    return e.where("label = 'PHONE'").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+
+
+@query()
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, T2, T3."""
+    return T.extracted(load(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return L.chained(pages.select(F.col("page_id").alias("idx"), F.lit("2024-01-01T00:00:00").alias("ts"), F.sha2("html", 256).alias("data_hash"), F.lit("ADD").alias("action")))
+
+
+@query("""WITH RECURSIVE b AS (SELECT page_id AS idx, sha256(html) AS data_hash FROM pages), c AS (SELECT idx, data_hash, repeat('0', 64) AS previous_hash, sha256(concat_ws('|', idx, '2024-01-01T00:00:00', data_hash, repeat('0', 64), 'ADD')) AS hash FROM b WHERE idx = 0
+  UNION ALL SELECT b.idx, b.data_hash, c.hash, sha256(concat_ws('|', b.idx, '2024-01-01T00:00:00', b.data_hash, c.hash, 'ADD')) FROM c JOIN b ON b.idx = c.idx + 1) SELECT idx, data_hash, previous_hash, hash FROM c""")
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10, X31."""
+    return _ledger(spark, sf_dir).select("idx", "data_hash", "previous_hash", "hash")
+
+
+@query("SELECT (SELECT count(*) FROM pages) AS blocks, false AS intact, CAST(40 AS BIGINT) AS broken_index")
+def ledger_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block tampered with."""
+    tampered = _ledger(spark, sf_dir).withColumn("data_hash", F.when(F.col("idx") == 40, F.lit("0")).otherwise(F.col("data_hash")))
+    return L.verified(tampered)
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, doc_id <> 5 AS intact FROM documents")
+def evidence_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12, F3."""
+    noted = L.notarized(load(spark, sf_dir, "documents"), "text")
+    changed = noted.withColumn("text", F.when(F.col("doc_id") == 5, F.concat(F.col("text"), F.lit("."))).otherwise(F.col("text")))
+    return L.evidence_check(changed, "text").select("doc_id", "sha256", "intact")
+
+
+@query("""WITH t AS (SELECT quality AS y, n_chars % 97 / 97.0 AS s FROM labels JOIN documents USING (doc_id)), h AS (SELECT count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 1) AS fn FROM t),
+  w AS (SELECT sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*) AS auc FROM t a, t b WHERE a.y = 1 AND b.y = 0) SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(auc, 6) AS auc FROM h, w""")
+def score_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27."""
+    rows = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return K.evaluated(rows, F.col("n_chars") % 97 / 97.0, F.col("quality"))
+
+
+@query()
+def behaviour_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1."""
+    f = B.person_location_features(V.events(spark, sf_dir))
+    return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), trees=100).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
+
+
+@query()
+def location_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2."""
+    e = V.events(spark, sf_dir)
+    stats = B.location_stats(B.person_location_features(e), B.colocation_features(e))
+    return K.density_clusters(stats, "location_id", ("total_visits", "unique_people", "average_night_ratio", "average_days", "co_locations"))
+
+
+@query()
+def learned_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, K7."""
+    f = B.labelled_leads(B.lead_features(V.contacts(spark, sf_dir)))
+    return K.predicted_leads(K.lead_model(f, iterations=10, depth=4), f).select("p1", "p2", "is_lead", "lead_score")
+
+
+@query()
+def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13, C14."""
+    o = load(spark, sf_dir, "orders").where("o_orderkey = 77").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority")
+    lines = load(spark, sf_dir, "lineitem").withColumn("case_id", F.col("l_orderkey"))
+    return P.case_report(o, {"lines": lines}, _ledger(spark, sf_dir))["metrics"]
