@@ -115,7 +115,7 @@ def v_birth_full(dob: Column, age: Column, as_of_year: int) -> tuple[Column, Col
     est = F.when((years > 0) & (years < 120), F.lit(as_of_year) - years)
     warning = F.when(day.isNotNull() & (whole > as_of_year), F.concat(F.lit("Future date of birth detected: "), text)).when(day.isNotNull() & ~usable, F.concat(F.lit("DOB implies age > 120 years: "), text)).when(text.isNotNull() & day.isNull() & found.isNull(), F.concat(F.lit('Unparseable date of birth: "'), text, F.lit('"')))
     year = F.when(usable, whole).otherwise(F.coalesce(found, est))
-    return F.when(usable, day.cast("string")).otherwise(F.format_string("%04d-01-01", year)), year, F.array_compact(F.array(warning))
+    return F.when(usable, day.cast("string")).when(year.isNotNull(), F.format_string("%04d-01-01", year)), year, F.array_compact(F.array(warning))
 
 
 def v_address(c: Column) -> Column:
