@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,4 +82,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_warc_round_trip, op7_embedding_near_dedup, op8_secret_scan, op9_best_fit_packing, op10_url_filter)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op4_benchmark_decontamination": sql.DECONTAMINATION,
+    "op5_substring_dedup": sql.SUBSTRINGS,
+    "op6_warc_round_trip": sql.ARCHIVES,
+    "op7_embedding_near_dedup": sql.VECTORS,
+    "op8_secret_scan": sql.SECRETS,
+    "op10_url_filter": sql.URLS,
+}
