@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, freed, longs, written
+from .common import Words, by_batch, dropped, freed, longs, mix, written
 
 #: Words of a seed. A window of n words holds n - SEED + 1 seeds, and the one with the least hash is its anchor.
 SEED = 5
@@ -55,23 +55,60 @@ def _seeds(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return by_batch(docs, run, "anchor long, doc_id long")
 
 
-def _windows(seeded: DataFrame, n: int, seed: int) -> DataFrame:
-    """(window, check, doc_id, at): the windows whose anchor is a seed that other documents hold too; 128 bits name a window's words."""
+def _hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for the words of each window: a 64-bit hash and an independent 32-bit one."""
+    return words.grams(n)[0], Words.grams(_Salted(words), n)[0] >> np.uint64(32)
+
+
+def _small(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint32).view(np.int32))
+
+
+def _runs(seeded: DataFrame, n: int, seed: int) -> DataFrame:
+    """(run, check, doc_id, at, n): neighbouring windows around one shared seed, extended to both sides, under a hash of all their words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Words(batch.column("text"))
         anchor, before = _window_anchors(words, n, seed)
-        value, _ = words.grams(n)
-        other = Words.grams(_Salted(words), n)[0]
-        keep = np.zeros(len(anchor), bool)
-        for i, s in enumerate(batch.column("seeds")):
-            a, b = before[i], before[i + 1]
-            keep[a:b] = np.isin(anchor[a:b], np.asarray(s.values).view(np.uint64))
-        at = np.arange(len(anchor)) - np.repeat(before[:-1], np.diff(before))
-        doc = np.repeat(_ids(batch), np.diff(before))
-        yield pa.RecordBatch.from_arrays([longs(value[keep]), longs(other[keep]), pa.array(doc[keep]), pa.array(at[keep].astype(np.int32))], names=["window", "check", "doc_id", "at"])
+        value, other = _hashes(words, n)
+        text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        start = np.flatnonzero(new)
+        if not len(start):
+            return
+        place = (np.arange(len(anchor)) - np.repeat(start, np.diff(np.append(start, len(anchor))))).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+        key = mix(np.add.reduceat(mix(value + place), start))
+        check = mix(np.add.reduceat(mix(other + place), start)) >> np.uint64(32)
+        seeds = batch.column("seeds")
+        own, first = text[start], np.searchsorted(text[start], np.arange(len(before)))
+        keep = np.zeros(len(start), bool)
+        for i, s in enumerate(seeds):
+            a, b = first[i], first[i + 1]
+            keep[a:b] = np.isin(anchor[start[a:b]], np.asarray(s.values).view(np.uint64))
+        length = np.diff(np.append(start, len(anchor)))
+        yield pa.RecordBatch.from_arrays([longs(key[keep]), _small(check[keep]), pa.array(_ids(batch)[own][keep]), pa.array((start - before[own])[keep].astype(np.int32)), pa.array(length[keep].astype(np.int32))], names=["run", "check", "doc_id", "at", "n"])
+
+    return by_batch(seeded, run, "run long, check int, doc_id long, at int, n int")
+
+
+def _windows(marked: DataFrame, n: int) -> DataFrame:
+    """(window, check, doc_id, at): the windows in the given runs."""
 
-    return by_batch(seeded, run, "window long, check long, doc_id long, at int")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = Words(batch.column("text"))
+        value, other = _hashes(words, n)
+        before = words.grams(n)[1]
+        at = []
+        for i, s in enumerate(batch.column("runs")):
+            a, m = (np.asarray(s.values.field(k), np.int64) for k in (0, 1))
+            at.append(before[i] + np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum()))
+        doc = np.repeat(_ids(batch), [len(x) for x in at])
+        at = np.concatenate(at)
+        first = np.repeat(before[:-1], np.diff(before))[at]
+        yield pa.RecordBatch.from_arrays([longs(value[at]), _small(other[at]), pa.array(doc), pa.array((at - first).astype(np.int32))], names=["window", "check", "doc_id", "at"])
+
+    return by_batch(marked, run, "window long, check int, doc_id long, at int")
 
 
 class _Salted:
@@ -94,9 +131,9 @@ def _removed(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         a, b = int(words.before[i]), int(words.before[i + 1])
         covered = np.zeros(b - a + 1, np.int64)
         if starts.is_valid and b > a:
-            at = np.asarray(starts.values)
+            at, m = (np.asarray(starts.values.field(k), np.int64) for k in (0, 1))
             np.add.at(covered, at, 1)
-            np.add.at(covered, at + n, -1)
+            np.add.at(covered, at + m + n - 1, -1)
         gone = np.cumsum(covered[:-1]) > 0
         # Maximal repeats: the stretches of covered words, as [first, end) words.
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
@@ -125,10 +162,10 @@ def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame
     doc_id are one document. Empty tables give empty results; extra columns are not read.
 
     Seed: every window has an anchor, so equal windows share one, wherever they stand; anchors that only one document
-    holds are dropped by a pre-aggregated minimum and maximum. Extend: each window around a shared anchor (its words to
-    the left and right) is compared by 128 bits with all others of that anchor, by grouping and not in pairs: the first
-    document of each window is again a pre-aggregated minimum, joined back. Neighbouring windows join to maximal
-    repeats. Work grows with the text and not with the square of a passage's copies.
+    holds are dropped by a pre-aggregated minimum and maximum. Extend: the windows around a shared anchor make a run of
+    words to its left and right. Runs are compared by 96 bits, by grouping and not in pairs: all but those of the first
+    document go. The first ones, whose ends may still repeat elsewhere, are compared window by window in the same way.
+    Neighbouring windows join to maximal repeats. Work grows with the text, not with the square of a passage's copies.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -138,10 +175,19 @@ def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame
     freed(spark)
     own = written(seeds.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds")), "seeds")
     freed(spark)
-    windows = written(_windows(known.join(own, "doc_id"), n, seed), "windows")
+    runs = written(_runs(known.join(own, "doc_id"), n, seed), "runs")
+    dropped(shared, own)
+    lowest = runs.groupBy("run", "check").agg(F.min("doc_id").alias("low"))
+    runs_of = written(runs.join(lowest, ["run", "check"]).select("doc_id", "at", "n", (F.col("doc_id") > F.col("low")).alias("late")), "marked_runs")
+    dropped(runs)
+    freed(spark)
+    firsts = runs_of.where("not late").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    windows = written(_windows(known.join(firsts, "doc_id"), n), "windows")
     freed(spark)
     first = windows.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    late = windows.join(first, ["window", "check"]).where("doc_id > low")
-    starts = written(late.groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "starts")
+    late = windows.join(first, ["window", "check"]).where("doc_id > low").select("doc_id", "at", F.lit(1).alias("n"))
+    gone = runs_of.where("late").select("doc_id", "at", "n").union(late)
+    starts = written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts")), "starts")
+    dropped(runs_of, windows)
     freed(spark)
     return by_batch(docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts"), lambda batch: _removed(batch, n), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<array<int>>")
