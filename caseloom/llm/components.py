@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, written
+from .common import dropped, freed, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,5 +30,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = written(large, "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        edges = written(small.distinct(), "edges")
+        old, edges = edges, written(small.distinct(), "edges")
+        dropped(old, large)
         freed(edges.sparkSession)

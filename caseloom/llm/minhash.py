@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary, by_batch, distinct_sorted, freed, longs, mix, written
+from .common import Words, binary, by_batch, distinct_sorted, dropped, freed, longs, mix, written
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: Rounds of linking each member of a bucket with one other before the buckets' remaining pairs are compared outright.
+#: Rounds of linking each member of a bucket with one other before what remains is compared by prefix filtering.
 ROUNDS = 2
+#: Members that hold a shingle up to which it counts as rare in the last comparison.
+COMMON = 24
 _SIGMA = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -76,19 +78,47 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return by_batch(docs, run, "doc_id long, shingles binary")
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, own in zip(batch.column("doc_id"), batch.column("shingles"), strict=True):
+            values = np.frombuffer(own.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), doc.as_py())), pa.array(values)], names=["rep", "shingle"])
+
+
 def _own_alone(sets: DataFrame) -> DataFrame:
     """(rep, alone): how many of a document's shingles no other of these documents has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, own in zip(batch.column("doc_id"), batch.column("shingles"), strict=True):
-                values = np.frombuffer(own.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), doc.as_py())), pa.array(values)], names=["rep", "shingle"])
-
-    held = sets.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("high")).where("rep = high")
+    held = sets.mapInArrow(_exploded, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("high")).where("rep = high")
     return held.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
+def _rest(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of members(rep, n, component) in different components that can still be similar enough.
+
+    Shingles that more than COMMON of the members hold are frequent, the others rare; f and r count a member's. A pair
+    shares at most the lesser f and its common rare shingles. So either the lesser f suffices, and the pair is formed
+    in a bucket, or it has a rare shingle in common, and then one among the first r - (0.8 n - f) + 1 of both in order
+    of frequency. Postings of rare shingles are short, so the work follows the text and not a group's square.
+    """
+    spark = sets.sparkSession
+    own = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    held = written(own.mapInArrow(_exploded, "rep long, shingle long").distinct(), "held_shingles")
+    count = held.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = held.join(count, "shingle").groupBy("rep").agg(F.count_if(F.col("df") > COMMON).alias("f"), F.sort_array(F.collect_list(F.when(F.col("df") <= COMMON, F.struct("df", "shingle")))).alias("rare"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("f"))
+    table = ranked.join(members, "rep").withColumn("k", F.size("rare") - needed + 1)
+    table = written(table.select("rep", "n", "component", "f", F.when(F.col("k") > 0, F.expr("filter(slice(rare, 1, cast(k as int)), x -> x.df > 1).shingle")).alias("prefix")), "ranked")
+    freed(spark)
+    bound = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    other = {"rep": "b", "n": "m", "component": "other", "f": "g"}
+    keyed = table.select("rep", "n", "component", F.explode("prefix").alias("shingle"))
+    rare = keyed.withColumnRenamed("rep", "a").join(keyed.select("shingle", *(F.col(c).alias(other[c]) for c in ("rep", "n", "component"))), "shingle").where("component < other").where(bound)
+    enough = F.expr(f"{100 + percent} * least(f, g) >= {percent} * (n + m)")
+    common = buckets.join(table.where(f"100 * f >= {percent} * n").drop("prefix", "n"), "rep").select("bucket", "rep", "n", "component", "f")
+    near = common.withColumnRenamed("rep", "a").join(common.select("bucket", *(F.col(c).alias(other[c]) for c in other)), "bucket").where("component < other").where(bound & enough)
+    return rare.select("a", "b").union(near.select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the similarity."""
 
@@ -119,8 +149,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Equal sets first collapse to one representative. Buckets of representatives (one for each band key) are then linked
     by stars: in each round every member is compared with one hub of its bucket if both are not connected yet. Last,
-    members of a bucket that are still in different components are compared outright, so no link is lost; members of
-    one component never are, so a group of near copies costs a few comparisons for each copy and not for each pair.
+    members of different components in a bucket are compared by exact prefix filtering (see _rest), so no link is lost;
+    members of one component never are, so a group of near copies costs a few comparisons for each copy.
     Pairs are only formed if their sizes allow the similarity, and the counts of their shingles that any other document
     of a shared bucket has at all: a copy with too many words of its own is never paired.
     """
@@ -138,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     freed(spark)
     # c: a document's shingles that some other one has. No pair shares more than the lesser c, which bounds its similarity.
     held = table.join(_own_alone(sets), "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    table = written(held.where(f"100 * c >= {percent} * n"), "held")
+    buckets, table = table, written(held.where(f"100 * c >= {percent} * n"), "held")
     freed(spark)
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and 100 * least(c, d) >= {percent} * (n + m - least(c, d))")
     links = None
@@ -152,14 +182,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             pairs = labelled.join(mixed.select("bucket", "hub"), "bucket").where("component != hub.component").select(F.col("rep").alias("a"), "n", "c", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"), F.col("hub.c").alias("d"))
         else:
             own = labelled.join(mixed.select("bucket"), "bucket")
-            other = own.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"))
-            pairs = own.withColumnRenamed("rep", "a").join(other, "bucket").where("component < other")
-        pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            left = written(own.select("rep", "n", "component").distinct(), "members")
+            pairs = _rest(left, own.select("bucket", "rep", "n"), sets, percent)
+        pairs = (pairs.where(fits) if r < ROUNDS else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_confirmed(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
         own = components(links)
         label = written(table.select("rep").distinct().join(own, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")
         freed(spark)
+    label = written(label, "components")
+    dropped(buckets, table, sets)
     label = reps.join(label, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     joined = members.join(label, "set_key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
