@@ -34,8 +34,8 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this work to the public domain", ("neighboring rights", "public domain")),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
-#: A file's licence words that are looked up, highest IDF first; the least share of a template's weight that must meet at one relative position.
-LOOKED_UP, LEAST = 16, 0.6
+#: The least share of a template's weight that must meet at one relative position.
+LEAST = 0.6
 
 
 def idf(templates: tuple = TEMPLATES) -> dict[str, float]:
@@ -70,15 +70,15 @@ def _places(phrase: str) -> Column:
     return F.expr(f"case when contains(norm, ' {phrase} ') then {walk} else cast(array() as array<int>) end")
 
 
-def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = BASE, looked_up: int = LOOKED_UP, least: float = LEAST) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str, str] = BASE, least: float = LEAST) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) per row of docs(doc_id, text).
 
-    Base labels come from phrases whose words stand consecutively. The index adds labels: of a file's licence words
-    those with the highest IDF are looked up in the templates' postings; file position less template position must
-    agree for words of at least the share `least` of a template's indexed weight, and all the template's key phrases
-    must stand in the file. score is the best share of a verified template, or at least 0.9 with a base phrase, else 0;
-    matches are (label, share, first word) of the verified templates. A null text is empty; repeated rows give equal
-    rows; extra columns are not read; an empty table gives an empty result.
+    Base labels come from phrases whose words stand consecutively. The index adds labels: all of a file's licence words
+    are looked up in the templates' postings; file position less template position must agree for words of at least the
+    share `least` of a template's indexed weight, and all the template's key phrases must stand in the file. score is
+    the best share of a verified template, or at least 0.9 with a base phrase, else 0; matches are (label, share, first
+    word) of the verified templates. A null text is empty; repeated rows give equal rows; extra columns are not read; an
+    empty table gives an empty result.
 
     The text is read in one pass each for words and lookups and never shuffled: only licence words leave their task.
     """
@@ -100,8 +100,9 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict[str,
     known = spark.createDataFrame([(w, weight[w], at) for w, at in sorted(index.items())], "word string, idf double, at array<struct<t: int, i: int>>")
     hits = keyed.select("doc_id", "key", F.posexplode("words").alias("place", "word")).join(F.broadcast(known.select("word", "idf")), "word")
     by_word = hits.groupBy("doc_id", "key", "word", "idf").agg(F.collect_set("place").alias("places"))
-    top = by_word.groupBy("doc_id", "key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word", "places"))), 1, looked_up).alias("top"))
-    looked = top.select("doc_id", "key", F.explode("top").alias("w")).select("doc_id", "key", "w.word", (-F.col("w.order")).alias("idf"), F.col("w.places").alias("places"))
+    # Gathered by file and in the words' order: all that follows stays in the file's task, and sums are alike in every run.
+    held_words = by_word.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("word", "idf", "places"))).alias("ws"))
+    looked = held_words.select("doc_id", "key", F.explode("ws").alias("w")).select("doc_id", "key", "w.*")
     met = looked.join(F.broadcast(known.select("word", "at")), "word").select("doc_id", "key", "idf", "places", F.explode("at").alias("a"))
     met = met.select("doc_id", "key", "idf", F.col("a.t").alias("t"), F.explode(F.expr("transform(places, p -> p - a.i)")).alias("start"))
     table = spark.createDataFrame([(n, label, total[n], list(own)) for n, (label, _, own) in enumerate(templates)], "t int, label string, total double, needs array<string>")

@@ -39,6 +39,28 @@ def test_license_base_and_index(spark):
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def license_labels_brute(text):
+    """Labels of base phrases, and of templates whose indexed words meet at one position of the words; no word is left out."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    weight, index, labels = licenses.idf(), licenses.postings(), set(filter(None, license_brute(text)[4].split(",")))
+    for t, (label, _, needs) in enumerate(licenses.TEMPLATES):
+        own = [(w, i) for w, at in index.items() for n, i in at if n == t]
+        total = sum(weight[w] for w, _ in own)
+        best = max(sum(weight[w] for w, i in own if 0 <= s + i < len(words) and words[s + i] == w) for s in range(-40, len(words)))
+        if round(best / total, 4) >= licenses.LEAST and all(f" {p} " in f" {' '.join(words)} " for p in needs):
+            labels.add(label)
+    return ",".join(sorted(labels))
+
+
+def test_license_index_looks_up_every_word(spark):
+    weight, notice = licenses.idf(), {n: t for n, (_, t, _) in enumerate(licenses.TEMPLATES)}
+    common = " x ".join(sorted((w for w in licenses.postings() if weight[w] == max(weight.values())), reverse=True))
+    texts = [f"{' x '.join(notice[n] for n in (5, 7, 8))}.", f"{notice[12]} {common}", *(f"{common} y {t} y {common}" for t in notice.values()), " z ".join(notice.values())]
+    out = {r["doc_id"]: r["labels"] for r in licenses.license_scan(frame(spark, enumerate(texts))).collect()}
+    assert out == {i: license_labels_brute(t) for i, t in enumerate(texts)}
+    assert out[0] == "apache,bsd,mit" and set(out[len(texts) - 1].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+
+
 def secret_brute(text):
     out = []
     for order, rule in enumerate(secrets.BASE):
