@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from caseloom.functions.scores import anomaly_band
-from caseloom.operators.graph import components
+from caseloom.operators.graph import components, cut
 
 LEAD_FEATURES = ("communication_frequency", "average_call_duration", "transaction_count", "total_amount", "average_amount", "shared_case_count", "evidence_count", "multi_source_support")
 
@@ -65,26 +65,29 @@ class IsolationForest:
         return 2 ** (-depth / max(len(self.forest), 1) / max(float(_expected_depth(self.size)), 1e-9))
 
 
-def anomalies(rows: DataFrame, features: Sequence[str], contamination: float = 0.05, trees: int = 300, sample: int = 256, seed: int = 42, least: int = 10) -> DataFrame:
-    """rows with anomaly_score (0.5 at the cut that the given share exceeds), its band and flag; zeros with fewer than `least` rows.
+def anomalies(rows: DataFrame, features: Sequence[str], contamination: float = 0.05, trees: int = 300, sample: int = 256, seed: int = 42, least: int = 10, key: Sequence[str] = ()) -> DataFrame:
+    """rows with anomaly_score (0.5 at the cut that the given share of all rows exceeds), its band and flag; zeros with fewer than `least` rows.
 
-    The forest is fitted on the driver on the rows of smallest hash, at most trees x sample of them (a bounded sample);
-    every row is scored in Arrow batches.
+    The forest is fitted on the driver on the rows whose key (all columns but the features, if none is given) has the
+    smallest hash, at most trees x sample of them, so that equal features are drawn as often as they occur. Every row is
+    scored in Arrow batches, and the cut is the exact quantile of all scores, to 6 digits.
     """
     filled = rows.fillna(0, list(features))
-    values = filled.select(*(F.col(c).cast("double").alias(c) for c in features))
-    x = values.orderBy(F.xxhash64(*features)).limit(trees * sample).toPandas().to_numpy()
+    key = list(key) or [c for c in rows.columns if c not in features] or list(features)
+    x = filled.orderBy(F.xxhash64(*key), *features).limit(trees * sample).select(*(F.col(c).cast("double").alias(c) for c in features)).toPandas().to_numpy()
     if len(x) < least:
         return rows.withColumns({"anomaly_score": F.lit(0.0), "anomaly_level": F.lit("LOW"), "is_anomaly": F.lit(False)})
     forest = IsolationForest(trees, sample, seed).fit(x)
-    cut = float(np.quantile(forest.score(x), 1 - contamination))
 
     @F.pandas_udf(DoubleType())
     def scored(*columns: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(np.column_stack([c.to_numpy(float) for c in columns])) - cut + 0.5)
+        return pd.Series(forest.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
-    score = F.round(scored(*(F.col(c).cast("double") for c in features)), 6)
-    return filled.withColumn("anomaly_score", score).withColumn("anomaly_level", anomaly_band(F.col("anomaly_score"))).withColumn("is_anomaly", F.col("anomaly_score") > 0.5)
+    out = cut(filled.withColumn("anomaly_score", F.round(scored(*(F.col(c).cast("double") for c in features)), 6)))
+    # Six digits bound the distinct scores that the quantile counts.
+    at = out.agg(F.percentile("anomaly_score", F.lit(1 - contamination))).first()[0]
+    score = F.round(F.col("anomaly_score") - at + 0.5, 6)
+    return out.withColumn("anomaly_score", score).withColumn("anomaly_level", anomaly_band(F.col("anomaly_score"))).withColumn("is_anomaly", F.col("anomaly_score") > 0.5)
 
 
 def scaled(rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -293,7 +293,7 @@ def score_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def behaviour_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1."""
     f = B.person_location_features(V.events(spark, sf_dir))
-    return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), trees=100).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
+    return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), trees=100, key=("person_id", "location_id")).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
 
 
 @query()

@@ -109,6 +109,24 @@ def test_models(spark):
     assert tuple(ml.evaluated(scored, F.col("s"), F.col("y")).first()) == (0.5, 0.5, 0.5, 0.625) and ml.precision_at(scored, "s", "y", "id", 1).first()[0] == 1
 
 
+def test_anomalies_are_drawn_and_cut_over_all_rows(spark):
+    def vector(i):
+        return (7.0, 7.0) if i % 3 == 0 else (float(i * 7919 % 1009), float(i * 104729 % 997))
+
+    rows = spark.createDataFrame([(i, *vector(i)) for i in range(3000)], "id int, a double, b double")
+    out = ml.anomalies(rows, ("a", "b"), trees=8, sample=16).collect()
+    flagged = sum(r["is_anomaly"] for r in out)
+    assert len(out) == 3000 and 0.045 * 3000 <= flagged <= 0.05 * 3000
+    # A vector that holds a third of the rows holds about a third of what the forest is fitted on.
+    fitted = []
+    fit, ml.IsolationForest.fit = ml.IsolationForest.fit, lambda self, x: fitted.append(x) or fit(self, x)
+    try:
+        ml.anomalies(rows, ("a", "b"), trees=8, sample=64)
+    finally:
+        ml.IsolationForest.fit = fit
+    assert len(fitted[0]) == 512 and 0.2 < (fitted[0] == 7.0).all(axis=1).mean() < 0.45
+
+
 def test_records_and_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, "mr. a  b", "+919876512345"), (2, "c", None)], "id int, person_name string, phone string")
     out = files.ingested(rows, ["id"]).collect()
