@@ -156,6 +156,22 @@ def test_url_rules_and_aliases(spark):
     assert urls.filtered(frame.limit(0)).count() == 0
 
 
+def test_url_links_are_all_resolved(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    cases = [
+        (["page.html"], ["h.org/a/b/page"]), (["../x"], ["h.org/a/x"]), (["./x/./y/../z"], ["h.org/a/b/x/z"]), (["../../../../x"], ["h.org/x"]), (["/r/../s"], ["h.org/s"]), (["?id=5"], ["h.org/a/b/c?id=5"]), (["page.php?id=5"], ["h.org/a/b/page.php?id=5"]),
+        (["go?u=http://i.org/"], ["h.org/a/b/go?u=http://i.org/"]), (["//i.org/y"], ["i.org/y"]), (["https://i.org/z"], ["i.org/z"]), (["#top"], []), (["mailto:a@b"], []), (["http:///x"], []), (["http://i.org/1", "http://i.org/2"], ["i.org/1", "i.org/2"]),
+    ]
+    rows, want = [("http://h.org", canonical.format("x"))], {("h.org", "h.org/x")}
+    for n, (to, targets, form) in enumerate((*c, form) for c in cases for form in (canonical, refresh)):
+        rows.append((f"http://h{n}.org/a/b/c?q=1#f", "<p>".join(form.format(t) for t in to)))
+        want |= {(f"h{n}.org/a/b/c?q=1", t.replace("h.org", f"h{n}.org")) for t in targets}
+    assert {tuple(r) for r in urls.link_edges(spark.createDataFrame(rows, "url string, html string")).collect()} == want
+    pages = [(1, "http://one.info/a/", canonical.format("p.php?id=5")), (2, "http://two.info/a/", canonical.format("p.php?id=5")), (3, "http://two.info/a/p.php?id=5", canonical.format("http://evil.com/en/x")), (4, "page.php", canonical.format("http://evil.com/en/x")), (5, "other.php", canonical.format("http://three.info/")), (6, "http://three.info/", None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.filtered(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
