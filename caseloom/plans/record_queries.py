@@ -293,7 +293,7 @@ def score_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def behaviour_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1."""
     f = B.person_location_features(V.events(spark, sf_dir))
-    return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), trees=100, key=("person_id", "location_id")).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
+    return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), key=("person_id", "location_id")).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
 
 
 @query()
@@ -308,7 +308,7 @@ def location_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learned_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K7."""
     f = B.labelled_leads(B.lead_features(V.contacts(spark, sf_dir)))
-    return K.predicted_leads(K.lead_model(f, iterations=10, depth=4), f).select("p1", "p2", "is_lead", "lead_score")
+    return K.predicted_leads(K.lead_model(f), f).select("p1", "p2", "is_lead", "lead_score")
 
 
 @query()

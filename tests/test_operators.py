@@ -1,6 +1,8 @@
 """Operators on small tables with known answers."""
 
 import datetime
+import inspect
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,34 @@ def test_anomalies_are_drawn_and_cut_over_all_rows(spark):
     assert len(fitted[0]) == 512 and 0.2 < (fitted[0] == 7.0).all(axis=1).mean() < 0.45
 
 
+def test_models_are_registered_with_the_production_settings(monkeypatch):
+    from caseloom.plans import record_queries
+
+    asked = {}
+
+    def signed(name, f):
+        def run(*a, **b):
+            own = inspect.signature(f).bind(*a, **b)
+            own.apply_defaults()
+            asked[name] = own.arguments
+            return MagicMock()
+
+        return run
+
+    for name in ("anomalies", "lead_model"):
+        monkeypatch.setattr(ml, name, signed(name, getattr(ml, name)))
+    monkeypatch.setattr(ml, "predicted_leads", MagicMock())
+    for name in ("person_location_features", "lead_features", "labelled_leads"):
+        monkeypatch.setattr(behaviour, name, MagicMock())
+    for name in ("events", "contacts"):
+        monkeypatch.setattr(record_queries.V, name, MagicMock())
+    record_queries.behaviour_anomalies(None, "")
+    record_queries.learned_leads(None, "")
+    a, m = asked["anomalies"], asked["lead_model"]
+    assert (a["trees"], a["contamination"], a["seed"]) == (300, 0.05, 42) and tuple(a["key"]) == ("person_id", "location_id")
+    assert (m["iterations"], m["depth"], m["step"], m["share"]) == (400, 6, 0.05, 0.8)
+
+
 def test_records_and_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, "mr. a  b", "+919876512345"), (2, "c", None)], "id int, person_name string, phone string")
     out = files.ingested(rows, ["id"]).collect()
