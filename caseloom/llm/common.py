@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer document makes a step of its own.
@@ -19,10 +21,12 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on a cluster that would split the data over machines and is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="llm_shared_"))
         atexit.register(_LOCAL[0].cleanup)
@@ -85,15 +89,16 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_BYTE = _odd(11, 256)
-_BASE = int(_odd(12, 1)[0])
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = _odd(13, 64)
-_LOWER = np.arange(256)
+_LANE = _odd(14, 4)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Which bytes of an 8-byte chunk belong to a word of which 0 to 8 bytes are left.
+_LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,21 +111,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, b in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+def _lanes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit states of each byte range: its length and its 8-byte chunks in order, each step a non-linear mix; xxh3 for ranges over LONG."""
+    size = end - start
+    a, b = (mix(size.astype(np.uint64) + k) for k in _LANE[:2])
+    chunks = np.ndarray(len(raw) + 1, np.dtype("<u8"), np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
+    at = np.flatnonzero(size <= LONG)
+    for j in range(0, LONG, 8):
+        at = at[size[at] > j]
+        if not len(at):
+            break
+        chunk = chunks[start[at] + j] & _LEFT[np.minimum(size[at] - j, 8)]
+        a[at], b[at] = mix(a[at] ^ chunk), mix(b[at] + chunk * _LANE[2])
+    whole = memoryview(raw)
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = xxhash.xxh3_128_intdigest(whole[start[i] : end[i]])
+        a[i], b[i] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
+    return a, b
 
 
 class Words:
-    """Words of some texts: their 64-bit hashes, byte ranges and the words before each text.
+    """Words of some texts: two independent 64-bit hashes of each, their byte ranges and the words before each text.
 
     A word is a run of bytes outside `gaps` (white space unless given); with `lower`, A-Z count as a-z. Words never
-    cross the end of a text. All arrays are built by whole-array operations over the bytes.
+    cross the end of a text. All arrays are built by whole-array operations; besides a few bytes for each byte of the
+    text they hold some numbers for each word. `hash` takes part in sets and signatures; where equality must hold
+    over a whole corpus, `other` makes it 128 bits.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE):
@@ -136,11 +152,9 @@ class Words:
             last[-1], last[:-1] = True, ~solid[1:] | edge[1:n]
         self.start = np.flatnonzero(solid & first)
         self.end = np.flatnonzero(solid & last) + 1
-        up, down = _powers(n + 1)
-        table = _BYTE[_LOWER] if lower else _BYTE
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.raw] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        a, b = _lanes(_LOWER[self.raw] if lower else self.raw, self.start, self.end)
+        self.hash = mix(a + (b << np.uint64(21) | b >> np.uint64(43)))
+        self.other = mix(b ^ a * _LANE[3])
         #: Words before each text, and in all: text i has words before[i] to before[i + 1].
         self.before = np.searchsorted(self.start, self.offsets)
 

@@ -1,4 +1,4 @@
-"""Substring dedup by seed and extend: winnowed anchors as seeds, matches extended both ways, maximal repeats removed."""
+"""Substring dedup by seed and extend: documents joined on winnowed anchors, matches extended both ways, maximal repeats removed."""
 
 from __future__ import annotations
 
@@ -7,35 +7,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, dropped, freed, longs, mix, written
+from .common import Words, by_batch, dropped, freed, longs, written
 
-#: Words of a seed. A window of n words holds n - SEED + 1 seeds, and the one with the least hash is its anchor.
-SEED = 5
+#: Words of a seed. A window of n words holds n - SEED + 1 seeds, and the first of those with the least hash is its anchor.
+SEED = 7
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
-    """The minimum of each w neighbours, by doubling."""
-    span, out = 1, x
+    """For each w neighbours the place of the first least one, by doubling."""
+    span, value, at = 1, x, np.arange(len(x))
     while span < w:
         step = min(span, w - span)
-        out = np.minimum(out[:-step], out[step:])
+        at = np.where(value[step:] < value[:-step], at[step:], at[:-step])
+        value = np.minimum(value[:-step], value[step:])
         span += step
-    return out
+    return at
 
 
-def _window_anchors(words: Words, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, before): for each text's windows of n words in order the hash of its anchor."""
+def _anchors(words: Words, n: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(anchor, text, place, first, windows) of each text's anchors in order: the seed's hash, its first word, and the first word and number of the windows that it anchors (words counted over all texts)."""
     value, before = words.grams(seed)
     w = n - seed + 1
     count = np.maximum(np.diff(before) - w + 1, 0)
     bounds = np.concatenate(([0], np.cumsum(count)))
     if not bounds[-1]:
-        return np.zeros(0, np.uint64), bounds
-    start = np.repeat(before[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
-    return _least(value, w)[start], bounds
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
+    text = np.repeat(np.arange(len(count)), count)
+    gram = (before[:-1] - bounds[:-1])[text] + np.arange(bounds[-1])
+    at = _least(value, w)[gram]
+    start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
+    shift = (words.before[:-1] - before[:-1])[text[start]]
+    return value[at[start]], text[start], at[start] + shift, gram[start] + shift, np.diff(np.append(start, len(at)))
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -43,97 +48,93 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _seeds(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(anchor, doc_id): the distinct anchors of each row's windows."""
+    """(anchor, doc_id): the anchors of each row's windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        anchor, before = _window_anchors(Words(batch.column("text")), n, seed)
-        doc = np.repeat(_ids(batch), np.diff(before))
-        new = np.ones(len(anchor), bool)  # neighbouring windows mostly share their anchor
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        yield pa.RecordBatch.from_arrays([longs(anchor[new]), pa.array(doc[new])], names=["anchor", "doc_id"])
+        anchor, text, *_ = _anchors(Words(batch.column("text")), n, seed)
+        yield pa.RecordBatch.from_arrays([longs(anchor), pa.array(_ids(batch)[text])], names=["anchor", "doc_id"])
 
     return by_batch(docs, run, "anchor long, doc_id long")
 
 
-def _hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for the words of each window: a 64-bit hash and an independent 32-bit one."""
-    return words.grams(n)[0], Words.grams(_Salted(words), n)[0] >> np.uint64(32)
+def _lists(hashes: np.ndarray, start: np.ndarray, step: int, size: np.ndarray) -> pa.Array:
+    """For each start the hashes of `size` words from there on, forwards or backwards."""
+    ends = np.cumsum(size)
+    at = np.repeat(start, size) + step * (np.arange(size.sum()) - np.repeat(ends - size, size))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), longs(hashes[at]))
 
 
-def _small(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint32).view(np.int32))
+def _occurrences(seeded: DataFrame, n: int, seed: int) -> DataFrame:
+    """Where the shared seeds of a document anchor windows, with what the windows hold beside the seed.
 
-
-def _runs(seeded: DataFrame, n: int, seed: int) -> DataFrame:
-    """(run, check, doc_id, at, n): neighbouring windows around one shared seed, extended to both sides, under a hash of all their words."""
+    (anchor, key, doc_id, at, left, right, low, high): `left` and `right` are the hashes of the words beside the seed,
+    nearest first, as far as its windows go; the windows with `low` to `high` words on the left are still undecided.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Words(batch.column("text"))
-        anchor, before = _window_anchors(words, n, seed)
-        value, other = _hashes(words, n)
-        text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-        start = np.flatnonzero(new)
-        if not len(start):
-            return
-        place = (np.arange(len(anchor)) - np.repeat(start, np.diff(np.append(start, len(anchor))))).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
-        key = mix(np.add.reduceat(mix(value + place), start))
-        check = mix(np.add.reduceat(mix(other + place), start)) >> np.uint64(32)
-        seeds = batch.column("seeds")
-        own, first = text[start], np.searchsorted(text[start], np.arange(len(before)))
-        keep = np.zeros(len(start), bool)
-        for i, s in enumerate(seeds):
-            a, b = first[i], first[i + 1]
-            keep[a:b] = np.isin(anchor[start[a:b]], np.asarray(s.values).view(np.uint64))
-        length = np.diff(np.append(start, len(anchor)))
-        yield pa.RecordBatch.from_arrays([longs(key[keep]), _small(check[keep]), pa.array(_ids(batch)[own][keep]), pa.array((start - before[own])[keep].astype(np.int32)), pa.array(length[keep].astype(np.int32))], names=["run", "check", "doc_id", "at", "n"])
-
-    return by_batch(seeded, run, "run long, check int, doc_id long, at int, n int")
-
-
-def _windows(marked: DataFrame, n: int) -> DataFrame:
-    """(window, check, doc_id, at): the windows in the given runs."""
+        anchor, text, place, first, windows = _anchors(words, n, seed)
+        keep = np.zeros(len(anchor), bool)
+        bounds = np.searchsorted(text, np.arange(len(batch) + 1))
+        for i, s in enumerate(batch.column("seeds")):
+            own = slice(bounds[i], bounds[i + 1])
+            keep[own] = np.isin(anchor[own], np.asarray(s.values).view(np.uint64))
+        anchor, text, place, first, windows = (x[keep] for x in (anchor, text, place, first, windows))
+        before, after = place - first, first + windows - 1 + n - (place + seed)
+        small = lambda x: pa.array(x.astype(np.int32))
+        columns = [longs(anchor), longs(anchor), pa.array(_ids(batch)[text]), small(place - words.before[text]), _lists(words.hash, place - 1, -1, before), _lists(words.hash, place + seed, 1, after), small(n - seed - after), small(before)]
+        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "doc_id", "at", "left", "right", "low", "high"])
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = Words(batch.column("text"))
-        value, other = _hashes(words, n)
-        before = words.grams(n)[1]
-        at = []
-        for i, s in enumerate(batch.column("runs")):
-            a, m = (np.asarray(s.values.field(k), np.int64) for k in (0, 1))
-            at.append(before[i] + np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum()))
-        doc = np.repeat(_ids(batch), [len(x) for x in at])
-        at = np.concatenate(at)
-        first = np.repeat(before[:-1], np.diff(before))[at]
-        yield pa.RecordBatch.from_arrays([longs(value[at]), _small(other[at]), pa.array(doc), pa.array((at - first).astype(np.int32))], names=["window", "check", "doc_id", "at"])
+    return by_batch(seeded, run, "anchor long, key long, doc_id long, at int, left array<long>, right array<long>, low int, high int")
+
+
+def _common(x: str, y: str) -> Column:
+    """How many first elements two arrays have in common."""
+    differs = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    return F.when(differs == 0, F.size(x)).otherwise(differs - 1).cast("int")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """The first occurrence in the smallest document of each key that more than one document has."""
+    hubs = rows.groupBy("anchor", "key").agg(F.min_by(F.struct("doc_id", "left", "right"), F.struct("doc_id", "at")).alias("hub"), F.max("doc_id").alias("top")).where("hub.doc_id < top")
+    return hubs.select("anchor", "key", F.col("hub.doc_id").alias("hub"), F.col("hub.left").alias("hub_left"), F.col("hub.right").alias("hub_right"))
 
-    return by_batch(marked, run, "window long, check int, doc_id long, at int")
 
+def _extended(rows: DataFrame, hubs: DataFrame, n: int, seed: int) -> DataFrame:
+    """(doc_id, first, end, rest): each occurrence matched with its key's hub.
 
-class _Salted:
-    """The same words with other hashes, for a second and independent hash of windows."""
+    The match is extended to the left and to the right as far as the words agree. first to end are the words of the
+    windows inside it, if the hub's document is a smaller one; `rest` are occurrences (as above) of the windows that reach
+    beyond it, under a new key: windows that reach beyond the left end go by the word there, others by the word beyond
+    the right end. Documents with equal windows diverge from the hub at the same word, so they meet again under that key.
+    """
+    w = n - seed
+    met = rows.join(hubs, ["anchor", "key"]).withColumns({"l": _common("left", "hub_left"), "r": _common("right", "hub_right")})
+    met = met.withColumns({"from": F.greatest(F.col("low"), w - F.col("r")), "to": F.least("high", "l")})
+    late = F.expr("`from` <= `to` and doc_id > hub")
 
-    def __init__(self, words: Words):
-        self.before, self.counts, self.n = words.before, words.counts, len(words)
-        self.hash = (words.hash ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
-        self.hash ^= self.hash >> np.uint64(32)
+    def rest(side: int, depth: str, word: Column, low: Column, high: Column) -> Column:
+        return F.struct("anchor", F.xxhash64("key", F.lit(side), depth, word).alias("key"), "doc_id", "at", "left", "right", low.alias("low"), high.alias("high"))
 
-    def __len__(self) -> int:
-        return self.n
+    both = F.array(
+        rest(0, "l", F.get("left", F.col("l")), F.greatest("low", F.col("l") + 1), F.col("high")),
+        rest(1, "r", F.get("right", F.col("r")), F.col("low"), F.least("high", "l", w - 1 - F.col("r"))),
+    )
+    words = [F.when(late, F.col("at") - F.col("to")).alias("first"), F.when(late, F.col("at") - F.col("from") + n).alias("end")]
+    return met.select("doc_id", *words, F.filter(both, lambda x: x["low"] <= x["high"]).alias("rest")).where("first is not null or size(rest) > 0")
 
 
-def _removed(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+def _removed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     words = Words(batch.column("text"))
     raw = words.raw.tobytes()
     rows = []
-    for i, starts in enumerate(batch.column("starts")):
+    for i, repeats in enumerate(batch.column("repeats")):
         a, b = int(words.before[i]), int(words.before[i + 1])
         covered = np.zeros(b - a + 1, np.int64)
-        if starts.is_valid and b > a:
-            at, m = (np.asarray(starts.values.field(k), np.int64) for k in (0, 1))
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + m + n - 1, -1)
+        if repeats.is_valid and b > a:
+            first, end = (np.asarray(repeats.values.field(k), np.int64) for k in (0, 1))
+            np.add.at(covered, first, 1)
+            np.add.at(covered, end, -1)
         gone = np.cumsum(covered[:-1]) > 0
         # Maximal repeats: the stretches of covered words, as [first, end) words.
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
@@ -153,6 +154,34 @@ def _removed(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
     )
 
 
+def repeats(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame:
+    """(doc_id, repeats): for documents with words to remove, array<struct<first, end>> of the words of matches with smaller documents."""
+    spark = docs.sparkSession
+    known = docs.where("doc_id is not null and text is not null")
+    seeds = _seeds(known, n, seed)
+    shared = written(seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared_seeds")
+    freed(spark)
+    own = written(seeds.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds")), "seeds")
+    freed(spark)
+    rows = written(_occurrences(known.join(own, "doc_id"), n, seed), "occurrences")
+    dropped(shared, own)
+    freed(spark)
+    found, old = None, rows
+    # Every round sets at least one word more on one side, so there are 2 (n - seed) + 1 at most.
+    while not rows.isEmpty():
+        hubs = written(_hubs(rows), "hubs")
+        met = written(_extended(rows, hubs, n, seed), "matches")
+        late = written(met.where("first is not null").select("doc_id", "first", "end"), "repeats")
+        found = late if found is None else found.union(late)
+        dropped(old, hubs)
+        freed(spark)
+        old, rows = met, met.select(F.explode("rest").alias("row")).select("row.*")
+    dropped(old)
+    if found is None:
+        return known.limit(0).select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>").alias("repeats"))
+    return written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("repeats")), "repeats_of")
+
+
 def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, repeats) per row of docs(doc_id, text).
 
@@ -161,33 +190,17 @@ def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame
     words as [first, end). A null text has no words. A row without doc_id loses nothing and takes nothing; rows of one
     doc_id are one document. Empty tables give empty results; extra columns are not read.
 
-    Seed: every window has an anchor, so equal windows share one, wherever they stand; anchors that only one document
-    holds are dropped by a pre-aggregated minimum and maximum. Extend: the windows around a shared anchor make a run of
-    words to its left and right. Runs are compared by 96 bits, by grouping and not in pairs: all but those of the first
-    document go. The first ones, whose ends may still repeat elsewhere, are compared window by window in the same way.
-    Neighbouring windows join to maximal repeats. Work grows with the text, not with the square of a passage's copies.
+    Seed: every window has an anchor, its seed of the least hash, so equal windows share one, wherever they stand;
+    anchors that only one document holds are dropped by a pre-aggregated minimum and maximum. Join and extend: each
+    occurrence of an anchor is joined with the occurrence in the smallest document and the match is extended both ways
+    (see _extended); windows beyond its ends are joined anew, by the word at which they left it, until all are decided.
+    So an occurrence meets one other at a time, at most 2 (n - seed) + 1 in all, and the work grows with the text and
+    not with the square of a passage's copies. Overlapping matches join to maximal repeats of n words or more. Seeds
+    and words agree by 64 bits each, so a window does by 64 bits for its seed and for each word beside it.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null and text is not null")
-    seeds = _seeds(known, n, seed)
-    shared = written(seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared_seeds")
-    freed(spark)
-    own = written(seeds.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds")), "seeds")
-    freed(spark)
-    runs = written(_runs(known.join(own, "doc_id"), n, seed), "runs")
-    dropped(shared, own)
-    lowest = runs.groupBy("run", "check").agg(F.min("doc_id").alias("low"))
-    runs_of = written(runs.join(lowest, ["run", "check"]).select("doc_id", "at", "n", (F.col("doc_id") > F.col("low")).alias("late")), "marked_runs")
-    dropped(runs)
-    freed(spark)
-    firsts = runs_of.where("not late").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    windows = written(_windows(known.join(firsts, "doc_id"), n), "windows")
-    freed(spark)
-    first = windows.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    late = windows.join(first, ["window", "check"]).where("doc_id > low").select("doc_id", "at", F.lit(1).alias("n"))
-    gone = runs_of.where("late").select("doc_id", "at", "n").union(late)
-    starts = written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts")), "starts")
-    dropped(runs_of, windows)
-    freed(spark)
-    return by_batch(docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts"), lambda batch: _removed(batch, n), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<array<int>>")
+    found = repeats(docs, n, seed)
+    # Rows without doc_id take no part in the join, where they would all be one key.
+    none = docs.where("doc_id is null").withColumn("repeats", F.lit(None).cast("array<struct<first:int,end:int>>"))
+    rows = docs.where("doc_id is not null").join(found, "doc_id", "left").select("doc_id", "text", "repeats").unionByName(none)
+    return by_batch(rows, _removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<array<int>>")
