@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import re._constants as C
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Alternatives of a literal that the derivation follows before it keeps only what they have in common.
 WIDTH = 64
+#: Rows that a shard of the index is meant to hold.
+SHARD = 4096
 
 
 @dataclass(frozen=True)
@@ -132,38 +138,59 @@ def trigrams(query: Query) -> list[str]:
     return [] if isinstance(query, bool) else sorted({g for p in query[1:] for g in trigrams(p)})
 
 
-def _meets(query: Query, bit: dict[str, int], postings: Column) -> Column:
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        return postings.bitwiseAND(F.lit(1 << bit[query])) != 0
-    plain = [p for p in query[1:] if isinstance(p, str)]
-    mask = sum(1 << bit[p] for p in plain)
-    own = [_meets(p, bit, postings) for p in query[1:] if not isinstance(p, str)]
-    if plain:  # a whole list of trigrams is one step
-        held = postings.bitwiseAND(F.lit(mask))
-        own.append(held == mask if query[0] == "and" else held != 0)
-    out = own[0]
-    for c in own[1:]:
-        out = out & c if query[0] == "and" else out | c
-    return out
-
-
-def index(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """docs with the column `postings`: its bit i is this document's place in the postings of trigram i.
-
-    The index is inverted by bit columns: all set bits i of a partition are the postings of grams[i] there, and
-    intersecting or joining two lists is a bitwise step on whole columns. Only trigrams that some rule asks for are
-    indexed, at most 62, so the index takes eight bytes a document and stays with the documents; nothing is shuffled.
+_SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+_POWERS = [1 << i for i in range(31)]
+
+
+def _key(docs: DataFrame) -> Column:
+    """What the postings name a row by. Two rows that share one by chance are only verified once more than needed."""
+    return F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns))
+
+
+def index(docs: DataFrame, grams: list[str], shard: int = SHARD) -> DataFrame:
+    """(shard, gram, keys): the inverted index of docs(doc_id, text): the keys of the rows that hold grams[gram].
+
+    A posting list is divided into shards of about `shard` rows, by the hash of the row's key: all lists of a shard
+    concern the same rows, so lists are intersected shard by shard and none of them grows with the table. Equal rows
+    have one key. Only trigrams that some rule asks for are indexed.
     """
-    if len(grams) > 62:
-        raise ValueError("more than 62 trigrams; scan with fewer rules at a time")
-    lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bits = [F.when(F.contains("lower", F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)) for i, g in enumerate(grams)]
-    total = F.lit(0).cast("long")
-    for b in bits:
-        total = total.bitwiseOR(b.cast("long"))
-    return docs.withColumn("lower", lower).withColumn("postings", total).drop("lower")
+    lower = docs.withColumn("lower", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
+    rows = written(lower.select(_key(docs).alias("key"), held.alias("held")).where(F.size("held") > 0), "trigrams")
+    shards = max(1, -(-rows.count() // shard))
+    lists = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.explode("held").alias("gram"), "key")
+    return lists.groupBy("shard", "gram").agg(F.collect_set("key").alias("keys"))
+
+
+def _matching(query: Query, gram: dict[str, int], lists: Column) -> Column:
+    """The keys that satisfy the query, from a shard's lists by gram."""
+    if isinstance(query, str):
+        return F.coalesce(F.try_element_at(lists, F.lit(gram[query])), F.array().cast("array<long>"))
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, (_matching(p, gram, lists) for p in query[1:]))
+
+
+def candidates(postings: DataFrame, queries: list[Query], grams: list[str]) -> DataFrame:
+    """(key, rules): the rows that satisfy the Boolean queries, which are numbered in their order, by intersecting and uniting posting lists. Queries that demand nothing are left out: every row satisfies them."""
+    gram = {g: i for i, g in enumerate(grams)}
+    shards = postings.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+    found = [F.struct(F.lit(n).alias("rule"), _matching(q, gram, F.col("lists")).alias("keys")) for n, q in enumerate(queries) if q is not True]
+    each = shards.select(F.explode(F.array(*found)).alias("found")).select("found.rule", F.explode("found.keys").alias("key"))
+    return each.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Running sums (or greatest values) of an array, by doubling the span that each element covers: n log n steps."""
+
+    def step(acc: Column, by: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(zero), by), F.slice(acc, F.lit(1), F.size(acc) - by))
+        return F.when(by >= F.size(acc), acc).otherwise(F.zip_with(acc, moved, lambda a, b: join(a, b)))
+
+    return F.aggregate(F.array(*map(F.lit, _POWERS)), values, step)
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _verified(rule: Rule, order: int) -> Column:
@@ -174,41 +201,44 @@ def _verified(rule: Rule, order: int) -> Column:
     text, regex = F.col("text"), F.lit(rule.regex)
     gaps = F.transform(F.split(text, rule.regex, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
-    group = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length) if rule.group else whole
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), group.alias("own"))
+    group = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length) if rule.group else F.lit(None).cast("array<int>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["0"]
-        end = start + x["1"]
-        found = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = (x["1"] >= rule.least) & (x["2"] >= rule.group_least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
+    def spans(x: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["whole"])), x["whole"], lambda a, b: a + b), lambda a, b: a + b, 0)
+        found = F.zip_with(ends, x["whole"], lambda end, n: F.struct((end - n).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        if rule.group:
+            found = F.zip_with(found, x["own"], lambda s, n: F.when(n >= rule.group_least, s))
+        return F.filter(found, lambda s: s.isNotNull() & (s["end"] - s["start"] >= rule.least))
 
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    zipped = F.transform(zipped, lambda x: F.struct(x["gap"].alias("0"), x["whole"].alias("1"), x["own"].alias("2")))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
+    return _given(F.struct(gaps.alias("gaps"), whole.alias("whole"), group.alias("own")), spans)
 
 
-def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: int = len(BASE)) -> DataFrame:
+def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """docs with `spans`: array<struct<start, order, kind, end>> sorted by start, then rule order.
 
-    Places count code points, ends are exclusive, A rule's matches are leftmost and do not overlap; spans of different
-    rules may. A null text has no secrets; empty tables, repeated rows and further columns are passed on as they are.
-    A document is matched against a rule only if the rule's trigram query holds in the index; rules without mandatory
-    trigrams scan every document.
+    Places count code points, ends are exclusive. A rule's matches are leftmost and do not overlap; spans of different
+    rules may. A null text has no secrets; empty tables, repeated rows and further columns are passed on as they are
+    (but for a column `spans`, which is replaced).
+
+    The trigram index is built once, each rule's Boolean query is answered from its postings, and a row is matched only
+    against the rules that it is a candidate of; rules without mandatory trigrams scan every row. Candidates are a narrow
+    table that Spark broadcasts if it is small; else rows and candidates meet by key. Work on a text grows with its
+    length and its matches.
     """
-    wanted = {r: trigram_query(r.regex) for r in rules}
-    grams = sorted({g for q in wanted.values() for g in trigrams(q)})
-    bit = {g: i for i, g in enumerate(grams)}
-    names = docs.columns
+    queries = [trigram_query(r.regex) for r in rules]
+    grams = sorted({g for q in queries for g in trigrams(q)})
+    names = [c for c in docs.columns if c != "spans"]
     text = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = index(text, grams)
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    none = F.array().cast(_SPANS)
+    if grams:
+        asked = written(candidates(index(text, grams), queries, grams), "candidates")
+        text = text.withColumn("__key", _key(text)).join(asked.select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "__key", "left")
     lists = []
-    for order, (rule, query) in enumerate(wanted.items()):
+    for order, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         test = F.regexp_like("text", F.lit(rule.regex))
-        lists.append(F.when(_meets(query, bit, F.col("postings")) & test, _verified(rule, order)).otherwise(none))
-    return own.select(*(c for c in names if c != "spans"), F.array_sort(F.concat(*lists)).alias("spans"))
+        test = test if query is True else F.array_contains("__rules", order) & test
+        lists.append(F.when(test, _verified(rule, order)).otherwise(none))
+    return text.select(*names, F.array_sort(F.concat(*lists)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -216,15 +246,19 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with every secret in `text` replaced by the mark; overlapping spans share one. A null text stays null."""
-    names = docs.columns
-    found = found_secrets(docs.withColumn("was", F.col("text")), rules)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(F.col("was"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    text = F.when(F.size("spans") == 0, F.col("was")).otherwise(F.concat(done["out"], F.substring(F.col("was"), done["at"] + 1, F.length("was"))))
-    return found.withColumn("text", text).select(*names)
+    """docs with every secret in `text` replaced by the mark; overlapping spans share one. A null text stays null; repeated rows, empty tables and further columns are passed on.
+
+    The text is cut at all spans at once, in an encoding of four bytes for each character, in which a place is found
+    without counting from the start.
+    """
+    found = found_secrets(docs.withColumn("__was", F.col("text")), rules)
+
+    def cut(x: Column) -> Column:
+        piece = lambda a, b: F.decode(F.substring(x["wide"], 4 * a + 1, 4 * (b - a)), "UTF-32")
+        before = F.concat(F.array(F.lit(0)), F.slice(x["done"], F.lit(1), F.size("spans") - 1))
+        fresh = F.filter(F.zip_with(x["starts"], before, lambda s, d: F.struct(s.alias("start"), d.alias("done"))), lambda p: p["start"] >= p["done"])
+        parts = F.transform(fresh, lambda p: F.concat(piece(p["done"], p["start"]), F.lit(mark)))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(x["done"], -1), F.length("__was")))
+
+    value = F.struct(F.encode("__was", "UTF-32").alias("wide"), F.transform("spans", lambda s: s["start"]).alias("starts"), _running(F.transform("spans", lambda s: s["end"]), F.greatest, 0).alias("done"))
+    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("__was")).otherwise(_given(value, cut))).select(*docs.columns)
