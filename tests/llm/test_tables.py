@@ -92,6 +92,9 @@ def test_vectors_against_brute_force(spark):
     assert found <= links.sum() and found >= 0.99 * links.sum()
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (2000, 2001, 2002, 2003, 2004, 2005))
     assert got[1049]["component_id"] == 0 and not got[1049]["kept"]
+    # Crowded buckets, divided into blocks, count the same links; so do repeated rows.
+    crowded = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(frame.union(frame), few=2, block=4).collect()}
+    assert crowded == {i: (r["n_links"], r["component_id"]) for i, r in got.items()}
     assert near_vectors(frame.limit(0)).count() == 0
 
 
