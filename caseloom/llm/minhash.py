@@ -92,13 +92,14 @@ def _own_alone(sets: DataFrame) -> DataFrame:
     return held.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
-def _rest(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int, spare: list[DataFrame]) -> DataFrame:
     """(a, b): all pairs of members(rep, n, component) in different components that can still be similar enough.
 
     Shingles that more than COMMON of the members hold are frequent, the others rare; f and r count a member's. A pair
     shares at most the lesser f and its common rare shingles. So either the lesser f suffices, and the pair is formed
     in a bucket, or it has a rare shingle in common, and then one among the first r - (0.8 n - f) + 1 of both in order
     of frequency. Postings of rare shingles are short, so the work follows the text and not a group's square.
+    Tables that can go after the pairs are written are added to `spare`.
     """
     spark = sets.sparkSession
     own = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -108,6 +109,7 @@ def _rest(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int)
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("f"))
     table = ranked.join(members, "rep").withColumn("k", F.size("rare") - needed + 1)
     table = written(table.select("rep", "n", "component", "f", F.when(F.col("k") > 0, F.expr("filter(slice(rare, 1, cast(k as int)), x -> x.df > 1).shingle")).alias("prefix")), "ranked")
+    spare += [held, table]
     freed(spark)
     bound = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     other = {"rep": "b", "n": "m", "component": "other", "f": "g"}
@@ -159,9 +161,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     every = written(signatures(docs, shingle, bands, rows), "signatures")
     members = every.select("doc_id", "n_shingles", "set_key")
     known = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Tables that a join may meet with a key of very many rows are written first: then both its sides are plain and Spark can split the key.
+    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "representatives")
     banded = known.join(reps, "set_key").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
+    shared = written(shared, "shared_buckets")
     table = written(banded.join(shared, "bucket").distinct(), "buckets")
     wanted = table.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(_sets(docs.join(wanted, "doc_id"), shingle), "sets")
@@ -171,11 +175,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets, table = table, written(held.where(f"100 * c >= {percent} * n"), "held")
     freed(spark)
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and 100 * least(c, d) >= {percent} * (n + m - least(c, d))")
-    links = None
+    links, spare = None, []
     label = table.select("rep", F.col("rep").alias("component")).distinct()
     for r in range(ROUNDS + 1):
         labelled = written(table.join(label, "rep"), "labelled")
+        spare.append(labelled)
         mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "n", "c", "component"), F.col("rep") if r == 0 else F.xxhash64("rep", "bucket", F.lit(r))).alias("hub")).where("low < high"), "mixed")
+        spare.append(mixed)
         if mixed.isEmpty():
             break
         if r < ROUNDS:
@@ -183,15 +189,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         else:
             own = labelled.join(mixed.select("bucket"), "bucket")
             left = written(own.select("rep", "n", "component").distinct(), "members")
-            pairs = _rest(left, own.select("bucket", "rep", "n"), sets, percent)
+            spare.append(left)
+            pairs = _rest(left, own.select("bucket", "rep", "n"), sets, percent, spare)
         pairs = (pairs.where(fits) if r < ROUNDS else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_confirmed(pairs, sets, percent), "links")
+        spare.append(found)
         links = found if links is None else links.union(found)
         own = components(links)
         label = written(table.select("rep").distinct().join(own, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+        spare.append(label)
         freed(spark)
-    label = written(label, "components")
-    dropped(buckets, table, sets)
-    label = reps.join(label, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
-    joined = members.join(label, "set_key", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    spare.append(label := written(label, "components"))
+    label = written(reps.join(label, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found")), "found")
+    alone = members.where("set_key is null").withColumn("found", F.lit(None).cast("long"))
+    joined = members.where("set_key is not null").join(label, "set_key", "left").unionByName(alone)
+    out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out, "near_duplicates")
+    dropped(every, reps, shared, buckets, table, sets, label, *spare)
+    return out

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import steps, written
 from .tokens import Encoder, default_paths
 
-#: Pieces of one length are numbered in so many shares at once; the table of shares has at most SHARES x size rows.
-SHARES = 256
+#: Pieces of one length are numbered in shares of about PIECES_EACH pieces of any length, but in SHARES_MOST at most; the
+#: table of their counts, which the driver sees, has at most SHARES_MOST x size rows.
+PIECES_EACH, SHARES_MOST = 50_000, 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -163,16 +164,19 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer: tuple[
 def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, depth: int = 3, tokenizer: tuple[str, str, str] | None = None, keep_ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset: each sequence holds at most `size` tokens, without gaps from 0.
 
-    The driver sees only how many pieces there are of each length and share (at most SHARES x size numbers). Pieces of
-    full length are sequences of their own and take negative numbers. Repeated rows are packed as often as they occur;
-    an empty table gives an empty result; columns other than doc_id and text are not read.
+    The driver sees only how many pieces there are of each length and share (at most SHARES_MOST x size numbers). Pieces
+    of full length are sequences of their own and take negative numbers. Repeated rows are packed as often as they
+    occur; an empty table gives an empty result; columns other than doc_id and text are not read. Shares are dealt by
+    the place of a row and not by its values, so that rows of one doc_id, or without any, spread over all of them.
     """
-    table = written(pieces(docs, size, end_id, tokenizer, keep_ids).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int")), "pieces")
+    table = written(pieces(docs, size, end_id, tokenizer, keep_ids).withColumn("dealt", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     if not keep_ids:
         table = table.drop("ids")
+    number = min(SHARES_MOST, max(1, -(-table.count() // PIECES_EACH)))
+    table = table.withColumn("share", F.pmod("dealt", F.lit(number)).cast("int")).drop("dealt")
     below = table.where(F.col("length") < size)
     shares = below.groupBy("length", "share").count().collect()
-    counts = np.zeros((size + 1, SHARES), np.int64)
+    counts = np.zeros((size + 1, number), np.int64)
     for r in shares:
         counts[r["length"], r["share"]] = r["count"]
     before = np.cumsum(counts, axis=1) - counts

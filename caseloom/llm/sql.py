@@ -20,7 +20,9 @@ DECONTAMINATION = rf"""WITH d AS (SELECT 0 AS t, doc_id AS id, text FROM documen
   w AS (SELECT t, id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM d),
   s AS (SELECT t, id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4])) AS ss FROM w WHERE len(ws) >= 5), i AS (SELECT min(id) AS id, list_sort(ss) AS ss FROM s WHERE t = 1 GROUP BY 2),
   q AS (SELECT id AS item_id, len(ss) AS n, unnest(ss) AS g FROM i), h AS (SELECT id AS doc_id, unnest(ss) AS g FROM s WHERE t = 0)
-  SELECT doc_id, item_id, count(*) AS n_shared, CAST(any_value(n) AS BIGINT) AS n_item, count(*) / any_value(n) AS containment FROM h JOIN q USING (g) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)"""
+  , b AS (SELECT min(id) AS item_id, array_to_string(ws, ' ') AS few FROM w WHERE t = 1 AND len(ws) BETWEEN 1 AND 4 GROUP BY 2)
+  SELECT doc_id, item_id, count(*) AS n_shared, CAST(any_value(n) AS BIGINT) AS n_item, count(*) / any_value(n) AS containment FROM h JOIN q USING (g) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)
+  UNION ALL SELECT id, item_id, 1, 1, 1.0 FROM w JOIN b ON t = 0 AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || few || ' ')"""
 
 SUBSTRINGS = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS ws FROM documents),
   g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)), f AS (SELECT k, min(doc_id) AS low FROM g GROUP BY 1),
@@ -33,13 +35,12 @@ ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(e
 VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), lk AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_COMPONENTS}
   SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM v LEFT JOIN cm ON vec_id = cm.a LEFT JOIN (SELECT a, count(*) AS n FROM bo GROUP BY 1) k ON vec_id = k.a"""
 
-#: Its classes are urls with one normal form; the driver's pages hold no canonical links or redirects.
-URLS = r"""WITH h AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-  p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(regexp_replace(rest, '#.*$', ''), '\?(.*)$', 1) AS q FROM h),
+#: The driver's pages hold no canonical links or refresh redirects, so its classes are single urls.
+URLS = r"""WITH h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h),
   r(kind, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-  b AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(kind, length(rh || rp)) AS own FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1),
-  n AS (SELECT p.page_id, host, path, rule, own, regexp_replace(host, '^(www|m|amp)\.', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') || CASE WHEN x = '' THEN '' ELSE '?' || x END AS node FROM (SELECT *, regexp_replace(regexp_replace(q, '(^|&)(utm_[a-z]+|ref|gclid|fbclid|sessionid)=[^&]*', '', 'g'), '^&', '') AS x FROM p) p LEFT JOIN b USING (page_id))
-  SELECT page_id, host, path, rule, coalesce(own, min(own) OVER (PARTITION BY node), 'allow') AS verdict FROM n"""
+  b AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(kind, length(rh || rp)) AS own FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+  SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)"""
 
 
 def _rule(order: int) -> str:

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import Words
 
@@ -27,7 +28,8 @@ class Encoder:
 
     The tokenizer's splitting pattern never joins what stands on both sides of ASCII white space, except that one space
     goes with the word after it. So a text is cut into units (a word with its one space before, or white space), each
-    distinct unit is encoded once by the same vocabulary as ranks, and the ids are gathered by array operations. Texts
+    distinct unit is encoded once by the same vocabulary as ranks, and the ids are gathered by array operations. A unit is known
+    by 128 bits. Texts
     with other white space or with a special token's string take the tokenizer itself.
     """
 
@@ -44,9 +46,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.at, self.n, self.ids_of = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.checks, self.at, self.n, self.ids_of = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, units: list[bytes]) -> None:
         if len(self.keys) > MEMO:
             self._reset()
         # One call for all words: between two of them a line feed is a piece, and an id, of its own.
@@ -63,7 +65,7 @@ class Encoder:
         at += len(self.ids_of)
         self.ids_of = np.concatenate([self.ids_of, ids, *(np.array(x, np.uint32) for x in apart)])
         to = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = (np.insert(a, to, b) for a, b in ((self.keys, keys), (self.at, at), (self.n, n)))
+        self.keys, self.checks, self.at, self.n = (np.insert(a, to, b) for a, b in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.n, n)))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, before): text i has ids[before[i] : before[i + 1]]."""
@@ -76,6 +78,7 @@ class Encoder:
             lead = np.maximum(lead, w.offsets[text])
         one = (start > lead) & (w.raw[np.maximum(start - 1, 0)] == 32)  # this space goes with the word
         key = (w.hash ^ np.where(one, np.uint64(0x5851F42D4C957F2D), np.uint64(0))) | np.uint64(1)
+        check = w.other
         # What stands before a word and is not its own space: white space, as its last character alone and the rest, or as the rest.
         rest = start - one
         gap = rest - lead
@@ -97,9 +100,10 @@ class Encoder:
         if spaces:
             st, so, sa, sb = (np.array(x, np.int64) for x in zip(*spaces, strict=True))
             sk = np.fromiter(((hash(raw[a:b]) & 0x7FFFFFFFFFFFFFFF) << 1 for a, b in zip(sa.tolist(), sb.tolist(), strict=True)), np.uint64, len(sa))
+            sc = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(sa.tolist(), sb.tolist(), strict=True)), np.uint64, len(sa))
             order = np.argsort(np.concatenate((2 * np.arange(len(w)) + 1, so)), kind="stable")
             # A gap's units keep their order and come before their word: their order is even, a word's odd; a text's tail follows its last word.
-            key = np.concatenate((key, sk))[order]
+            key, check = np.concatenate((key, sk))[order], np.concatenate((check, sc))[order]
             rest, end, text = (np.concatenate(x)[order] for x in ((rest, sa), (end, sb), (text, st)))
         uniq, at_first, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys):
@@ -111,8 +115,10 @@ class Encoder:
                 self._reset()
                 seen[:] = False
             new = at_first[~seen]
-            self._learn(uniq[~seen], [raw[a:b] for a, b in zip(rest[new].tolist(), end[new].tolist(), strict=True)])
+            self._learn(uniq[~seen], check[new], [raw[a:b] for a, b in zip(rest[new].tolist(), end[new].tolist(), strict=True)])
         where = np.searchsorted(self.keys, uniq)[back]
+        # Another unit under the same 64 bits differs in the other 64; its text takes the tokenizer itself.
+        odd |= set(text[self.checks[where] != check].tolist())
         n, at = self.n[where], self.at[where]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0

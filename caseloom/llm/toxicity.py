@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -119,33 +120,36 @@ def _counted(sample: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return sample.mapInArrow(run, "stem boolean, entry string, toxic long, clean long").groupBy("stem", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 5, rate: float = 20, size: int = 4_000, lengths: tuple[int, ...] = (4, 5, 6, 7), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 5, rate: float = 20, lengths: tuple[int, ...] = (4, 5, 6, 7), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon learned from docs(doc_id, text) and labels(doc_id, toxic), of at most `sample` labelled rows.
 
     The bounded sample holds the rows of the smallest hashes of doc_id, of each label at most half. An entry's weight is
     the logarithm of how much oftener toxic texts hold it than clean ones; entries that occur in fewer than `least`
     different toxic texts, or less than `rate` times as often, are left out, and so is a beginning whose longer form or
-    single word says as much; at most `size` are kept. Near copies count once: of texts of one label that agree in the
-    smallest hash of their five-word runs, one is read. Null labels, ids and texts are no examples.
+    single word says as much. Near copies count once: of texts of one label that agree in the smallest hash of their
+    five-word runs, that of the smallest doc_id is read. Null labels, ids and texts are no examples; of rows of one
+    doc_id all are read, with the greatest label. Every step is ordered, so equal tables give equal lexicons.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for v in (0, 1)]
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     shingle = F.expr("array_min(transform(sequence(0, greatest(size(w) - 5, 0)), i -> xxhash64(slice(w, i + 1, 5))))")
-    rows = written(rows.withColumn("w", F.split("text", r"\s+")).withColumn("key", shingle).dropDuplicates(["label", "key"]).select("text", "label"), "labelled_sample")
+    rows = written(rows.withColumn("w", F.split("text", r"\s+")).withColumn("key", shingle).groupBy("label", "key").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.text", "label"), "labelled_sample")
     counts = _counted(rows, lengths).persist()
     n = {v: 0 for v in (0, 1)} | {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     odds = (F.col("toxic") / max(1, n[1])) / ((F.col("clean") + 0.5) / max(1, n[0]))
-    best = counts.where((F.col("toxic") >= least) & (odds >= rate)).withColumn("rate", odds).orderBy(F.desc("toxic"), "clean", "stem", "entry").limit(size).collect()
+    best = counts.where((F.col("toxic") >= least) & (odds >= rate)).withColumn("rate", odds).orderBy("entry", "stem").collect()
     counts.unpersist()
     entries = {(r["stem"], r["entry"]): (r["toxic"], float(np.log(r["rate"]))) for r in best}
     words = {w: x for (stem, w), (_, x) in entries.items() if not stem}
-    stems = {}
-    for (stem, w), (toxic, x) in entries.items():
-        # A beginning must say more than any one word or any longer beginning that is in the list.
-        if stem and not any(v.startswith(w) and t >= 0.9 * toxic and (not s or len(v) > len(w)) for (s, v), (t, _) in entries.items()):
-            stems[w] = x
+    stems, order = {}, [(r["entry"], r["stem"], r["toxic"]) for r in best]
+    for i, (w, stem, toxic) in enumerate(order):
+        # A beginning must say more than any one word or any longer beginning that is in the list; all of them follow it, or are the word itself.
+        longer = takewhile(lambda e: e[0].startswith(w), islice(order, i + 1, None))  # noqa: B023
+        same = [e for e in order[max(0, i - 1) : i] if e[0] == w]
+        if stem and not any(t >= 0.9 * toxic and (not s or len(v) > len(w)) for v, s, t in (*same, *longer)):
+            stems[w] = entries[stem, w][1]
     lexicon = Lexicon(words, stems, exceptions=exceptions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

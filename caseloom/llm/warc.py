@@ -6,7 +6,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,32 +103,67 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, per_file
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record of an uncompressed file. ValueError for broken framing."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        pairs = (line.partition(":") for line in data[at:end].decode().split("\r\n")[1:])
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a file in pieces: all members of a gzip file, or the data as they are. No piece is larger than 8 x step."""
+    view, at, rest, member = memoryview(data), 0, b"", None
+    while rest or at < len(view):
+        while len(rest) < 2 and at < len(view):
+            rest, at = rest + bytes(view[at : at + step]), at + step
+        if member is None:
+            if rest[:2] != b"\x1f\x8b":
+                yield rest
+                rest = b""
+                continue
+            member = zlib.decompressobj(31)
+        yield member.decompress(rest, 8 * step)
+        rest = member.unconsumed_tail
+        if member.eof:
+            rest, member = member.unused_data, None
+    if member is not None:
+        yield member.flush()
+        if not member.eof:
+            raise ValueError("the gzip file ends early")
+
+
+def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record of a file that comes in pieces; one record is in memory at a time. ValueError for broken framing."""
+    held, done = bytearray(), False
+
+    def until(enough: Callable[[], bool]) -> bool:
+        nonlocal done
+        while not enough():
+            piece = next(pieces, None)
+            done = piece is None
+            if done:
+                return False
+            held.extend(piece)
+        return True
+
+    number = 0
+    while True:
+        while until(lambda: len(held) >= 2) and held.startswith(b"\r\n"):
+            del held[:2]
+        if not held:
+            return
+        seen = 0
+
+        def headed() -> bool:  # looks at each byte once
+            nonlocal seen
+            found = held.find(b"\r\n\r\n", max(0, seen - 3)) >= 0
+            seen = len(held) if not found else seen
+            return found or (len(held) >= 7 and not held.startswith(b"WARC/1."))
+
+        if not until(headed) or not held.startswith(b"WARC/1."):
+            raise ValueError(f"no WARC record after {number} records")
+        end = held.find(b"\r\n\r\n")
+        pairs = (line.partition(":") for line in held[:end].decode().split("\r\n")[1:])
         headers = {k.strip().lower(): v.strip() for k, _, v in pairs}
         start, size = end + 4, int(headers["content-length"])
-        if len(data) < start + size:
-            raise ValueError(f"record at byte {at} ends early")
-        yield headers, data[start : start + size]
-        at = start + size
-        while data.startswith(b"\r\n", at):
-            at += 2
-
-
-def inflated(data: bytes) -> bytes:
-    """All members of a gzip file, or the data as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join([*out, data])
+        if not until(lambda: len(held) >= start + size):  # noqa: B023
+            raise ValueError(f"record {number} ends early")
+        yield headers, bytes(held[start : start + size])
+        del held[: start + size]
+        number += 1
 
 
 def _done(block: bytes, kind: str, keep: bool) -> tuple[bytes | None, int | None, str | None, str | None]:
@@ -148,21 +183,27 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
 
     Files may be gzipped or not. Segments are grouped by their origin, ordered by number, and joined if they are
     complete and as long as the last one says; else, or with broken HTTP framing, payload and its figures are null and
-    error tells why. A revisit has the payload, size and digest of the response that it refers to. Only segments of
+    error tells why. A file is inflated and read record by record: of a large one only the compressed bytes and one
+    record are in memory. A revisit has the payload, size and digest of the response that it refers to. Only segments of
     divided records are shuffled, a record at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: None if v is None else int(v)
+        table_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
         for batch in batches:
             for data in batch.column("content"):
-                rows = []
+                rows, size = [], 0
                 for h, block in parsed(inflated(data.as_py())):
+                    size += len(block)
+                    if size > 8 << 20 and rows:
+                        yield table_of(rows)
+                        rows, size = [], len(block)
                     kind, segment, own = h["warc-type"], number(h.get("warc-segment-number")), h["warc-record-id"]
                     done = (None,) * 4 if segment else _done(block, kind, keep_payload)
                     rows.append((own, h.get("warc-segment-origin-id", own), number(h.get("warc-page-id")), h.get("warc-target-uri"), kind, number(h.get("warc-refers-to-page-id")), segment, number(h.get("warc-segment-total-length")), h.get("warc-payload-digest", ":").partition(":")[2], block if segment else None, *done))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+                    yield table_of(rows)
 
     def joined(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["segment"])

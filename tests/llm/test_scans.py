@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom.llm import licenses, secrets, toxicity
-from caseloom.llm.decontaminate import contaminated
+from caseloom.llm.decontaminate import contaminated, item_classes
 
 DOCS = "doc_id long, text string, words int, spans int, found int, label int"
 
@@ -81,6 +83,27 @@ def test_secrets_against_brute_force(spark):
     assert secrets.found_secrets(frame(spark, [])).count() == 0
 
 
+def test_secret_postings_and_many_matches(spark):
+    docs = frame(spark, [(1, "my TOKEN=abcdef"), (2, "tok ken"), (3, "password: hunter22"), (3, "password: hunter22"), (None, "xoxb-1234567890"), (5, None)]).na.fill({"text": ""})
+    queries = [secrets.trigram_query(r.regex) for r in secrets.BASE + secrets.MORE]
+    grams = sorted({g for q in queries for g in secrets.trigrams(q)})
+    postings = secrets.index(docs, grams, shard=2)
+    assert postings.select("shard").distinct().count() > 1
+    key = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id").distinct()
+    got = {r["doc_id"]: r["rules"] for r in secrets.candidates(postings, queries, grams).join(key, "key").collect()}
+    assert got == {1: [0], 3: [0], None: [5]}
+    # Rules with more trigrams than fit in a word of bits; time grows with the matches and not with their square.
+    many = tuple(secrets.Rule(f"k{i}", f"prefix{i:02d}[a-z]{{4,}}") for i in range(80))
+    assert [s["kind"] for s in secrets.found_secrets(frame(spark, [(1, "x prefix07abcd prefix79abcd")]), many).first()["spans"]] == ["k7", "k79"]
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        began = time.time()
+        row = secrets.redacted(frame(spark, [(1, "token=abcdef 😀 " * n), (1, "token=abcdef 😀 " * n)])).first()
+        took.append(time.time() - began)
+        assert row["text"] == "[SECRET] 😀 " * n
+    assert took[2] < 8 * took[1], took
+
+
 def test_trigram_queries_hold_on_their_own_matches():
     assert secrets.trigram_query("[0-9a-f]{24,}") is True
     assert secrets.trigram_query("AKIA[A-Z]+") == ("and", "aki", "kia")
@@ -113,6 +136,45 @@ def test_folding():
     assert long.features("idiot " + "word " * 500)[1] < long.features("idiot word")[1]
 
 
+def features_brute(lexicon, text):
+    """Every place of the folded words against every entry; words of an exception phrase count for nothing."""
+    words = re.findall(r"[^\W\d_]+", toxicity.folded(text or ""))
+    spared = set()
+    for phrase in lexicon.exceptions:
+        own = toxicity.folded(phrase).split()
+        for i in range(len(words) - len(own) + 1):
+            if words[i : i + len(own)] == own:
+                spared |= set(range(i, i + len(own)))
+    total = 0.0
+    for i, w in enumerate(words):
+        found = [x for e, x in lexicon.words.items() if e == w] + [x for e, x in lexicon.stems.items() if w.startswith(e)]
+        total += max(found, default=0.0) if i not in spared else 0.0
+    return float(np.log1p(total)), float(np.log1p(100 * total / max(25, len(words))))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(7)
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "clown": 2.0, "trash": 1.5, "loser": 1.0}, {"lowei": 4.0, "idio": 0.5, "clow": 2.5}, curve=(-2.0, 1.5, 0.5))
+    parts = ["idiot", "1d10t", "idiotic", "clown", "clown fish", "class clown fish", "trash can", "trash", "sore loser clause", "l0ser!", "loweiheit", "LOWEI", "word", "fish", "can", "Kind", "4 5", "\n", "é", "ІDIOT"]
+    texts = ["", None, *(" ".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(300)), "idiot " * 30000]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[2], 1), (5, texts[5], 1)]
+    got = toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string, score int"), lexicon).collect()
+    assert len(got) == len(rows)
+    want = {i: float(lexicon.score(np.array([features_brute(lexicon, t)]))[0]) for i, t, _ in rows}
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-12 for r in got)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Learned and judged on the given labels; no row that is judged was learned from, and a second fit is equal."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    lexicon, again = (toxicity.fitted(docs, labels.where(~toxicity.held_out())) for _ in range(2))
+    assert (lexicon.words, lexicon.stems, lexicon.curve) == (again.words, again.stems, again.curve)
+    rows = toxicity.scored(docs, lexicon).join(labels, "doc_id").where(toxicity.held_out()).select(F.col("toxic").alias("y"), (F.col("score") >= 0.3).alias("p")).collect()
+    caught = sum(r["p"] for r in rows if r["y"] == 1) / sum(r["y"] == 1 for r in rows)
+    false = sum(r["p"] for r in rows if r["y"] == 0) / sum(r["y"] == 0 for r in rows)
+    assert caught >= 0.9 and false <= 0.01, (caught, false)
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark):
     rng = random.Random(1)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -135,7 +197,7 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"v{i}" for i in range(80)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 20, 45, 90])))) for i in range(40)] + [(100, None), (101, ""), (102, "V1, v2; V3 v4 v5 v6")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 20, 45, 90])))) for i in range(40)] + [(100, None), (101, ""), (102, "V1, v2; V3 v4 v5 v6"), (103, "v1 v2 v3 V4 V5 v6!"), (104, "v1 v2 v3 v4 v5 v6"), (105, "V7 v8"), (106, "v7, v8")]
     docs = []
     for i in range(150):
         text = rng.choices(vocabulary, k=rng.randrange(0, 900))
@@ -148,13 +210,20 @@ def test_decontamination_against_brute_force(spark):
         docs.append((i, " ".join(text).upper()))
     docs += [(500, None), (501, ""), (None, items[3][1]), (502, "v1 v2 v3, v4 (v5) v6")]
 
+    def words(text):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
     def shingles(text):
-        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        w = words(text)
         return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
 
     sets = {i: shingles(t) for i, t in items}
-    want = {(d, i) for d, t in docs for i, s in sets.items() if s and len(s & shingles(t)) >= 0.8 * len(s) - 1e-9}
-    for block in (20_000, 7):
+    few = {i: w for i, t in items if 0 < len(w := words(t)) < 5}
+    held = lambda w, t: any(words(t)[j : j + len(w)] == w for j in range(len(words(t))))
+    smallest = {i: min(j for j, s in sets.items() if (s, few.get(j)) == (own, few.get(i))) for i, own in sets.items()}
+    want = {(d, smallest[i]) for d, t in docs for i, s in sets.items() if (s and len(s & shingles(t)) >= 0.8 * len(s) - 1e-9) or (i in few and held(few[i], t))}
+    assert few and {r["item_id"]: r["class_id"] for r in item_classes(spark.createDataFrame(items, "item_id long, text string")).collect()} == {i: c for i, c in smallest.items() if sets[i] or i in few}
+    for block in (20_000, 7, 2, 1):
         got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
     assert contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0

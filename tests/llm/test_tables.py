@@ -1,5 +1,6 @@
 """Substring dedup, archives, vectors, packing, URL filters and the pipeline against brute force on small tables."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -10,6 +11,7 @@ import pytest
 
 from caseloom.llm import packing, urls, warc
 from caseloom.llm.embeddings import near_vectors
+from caseloom.llm.minhash import near_duplicates
 from caseloom.llm.substrings import substring_dedup
 from caseloom.llm.tokens import Encoder, default_paths
 
@@ -70,6 +72,16 @@ def test_broken_segments_and_framing(spark, tmp_path):
     assert warc.dechunked(b"3;a=b\r\nabc\r\n0\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.dechunked(b"4\r\nabc\r\n0\r\n\r\n")
+    # Pieces of any size give the same records, also of many gzip members.
+    raw = b"".join(r + b"\r\n\r\n" for r in own)
+    packed = b"".join(gzip.compress(r + b"\r\n\r\n") for r in own)
+    want = [b for _, b in warc.parsed(iter([raw]))]
+    assert len(want) == len(own)
+    for step in (1, 3, 7, 1000):
+        assert [b for _, b in warc.parsed(warc.inflated(raw, step))] == [b for _, b in warc.parsed(warc.inflated(packed, step))] == want
+    for broken in (raw[:-200], b"x" + raw, packed[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parsed(warc.inflated(broken)))
 
 
 def test_vectors_against_brute_force(spark):
@@ -106,6 +118,28 @@ def test_ids_match_the_tokenizer():
         assert ids[before[i] : before[i + 1]].tolist() == encoder.slow.encode(t or "", add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_letters_stay_apart(spark):
+    """Words that linear hashes confuse are linked, removed and encoded as what they are."""
+    pairs = [thue_morse(n) for n in (8, 64, 512, 8192)]
+    encoder = Encoder(*default_paths())
+    texts = [t for p in pairs for t in p]
+    ids, before = encoder.ids(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[before[i] : before[i + 1]].tolist() == encoder.slow.encode(t, add_special_tokens=False).ids
+    rows = [(2 * k + side, f"{p[side]} " * 20) for k, p in enumerate(pairs) for side in (0, 1)]
+    rows += [(100 + 2 * k + side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(frame).collect()} == substring_brute(rows)
+    assert all(r["kept"] for r in near_duplicates(frame).collect())
+
+
 def test_packing_is_gapless_and_whole(spark):
     rng = random.Random(8)
     texts = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(0, 400))) for _ in range(150)] + ["long " * 5000, None, "", "same", "same"]
@@ -148,11 +182,11 @@ def test_plan_uses_up_every_histogram():
 def test_url_rules_and_aliases(spark):
     pages = [
         (1, "http://a.example.com/en/71?x", None), (2, "HTTP://A.Example.COM/en/1", ""), (3, "https://x.net/de/8", None), (4, "https://example.net/de/80", None), (5, None, None), (6, "no scheme", "x"), (7, "ftp://org/es/", None), (8, "http://notorg/es/", None),
-        (9, "http://alias.info/a", '<link rel="canonical" href="http://evil.com/en/x">'), (10, "http://other.info/b", '<meta http-equiv=refresh content="0; url=http://alias.info/a">'), (11, "http://www.other.info/b/?utm_source=q#f", None), (12, "http://free.info/", None),
+        (9, "http://alias.info/a", '<link rel="canonical" href="http://evil.com/en/x">'), (10, "http://other.info/b", '<meta http-equiv=refresh content="0; url=http://alias.info/a">'), (11, "HTTP://OTHER.info:80/b#f", None), (12, "http://free.info/", None), (13, "http://www.other.info/b/?utm_source=q", None),
     ]
     frame = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, own int")
     got = {r["page_id"]: r for r in urls.filtered(frame).collect()}
-    assert {i: (r["rule"], r["verdict"]) for i, r in got.items()} == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: ("net/de/", "block"), 4: ("example.net/de/8", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: ("org/es/", "block"), 8: (None, "allow"), 9: (None, "block"), 10: (None, "block"), 11: (None, "block"), 12: (None, "allow")}
+    assert {i: (r["rule"], r["verdict"]) for i, r in got.items()} == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: ("net/de/", "block"), 4: ("example.net/de/8", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: ("org/es/", "block"), 8: (None, "allow"), 9: (None, "block"), 10: (None, "block"), 11: (None, "block"), 12: (None, "allow"), 13: (None, "allow")}
     assert (got[2]["host"], got[2]["path"], got[5]["host"], got[6]["path"]) == ("a.example.com", "/en/1", "", "")
     redirects = spark.createDataFrame([("http://alias.info/a", "http://example.com/en/7"), (None, "x")], "source string, target string")
     assert {r["verdict"] for r in urls.filtered(frame.where("page_id in (9, 10, 11)"), redirects=redirects).collect()} == {"allow"}
@@ -162,19 +196,50 @@ def test_url_rules_and_aliases(spark):
 def test_url_links_are_all_resolved(spark):
     canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     cases = [
-        (["page.html"], ["h.org/a/b/page"]), (["../x"], ["h.org/a/x"]), (["./x/./y/../z"], ["h.org/a/b/x/z"]), (["../../../../x"], ["h.org/x"]), (["/r/../s"], ["h.org/s"]), (["?id=5"], ["h.org/a/b/c?id=5"]), (["page.php?id=5"], ["h.org/a/b/page.php?id=5"]),
-        (["go?u=http://i.org/"], ["h.org/a/b/go?u=http://i.org/"]), (["//i.org/y"], ["i.org/y"]), (["https://i.org/z"], ["i.org/z"]), (["#top"], []), (["mailto:a@b"], []), (["http:///x"], []), (["http://i.org/1", "http://i.org/2"], ["i.org/1", "i.org/2"]),
+        (["page.html"], ["h.org/a/b/page.html"]), (["../x"], ["h.org/a/x"]), (["./x/./y/../z"], ["h.org/a/b/x/z"]), (["../../../../x"], ["h.org/x"]), (["/r/../s"], ["h.org/s"]), (["?id=5"], ["h.org/a/b/c?id=5"]), (["page.php?id=5"], ["h.org/a/b/page.php?id=5"]),
+        (["go?u=http://i.org/"], ["h.org/a/b/go?u=http://i.org/"]), (["//i.org/y"], ["i.org/y"]), (["http://i.org:80/z#f"], ["i.org/z"]), (["#top"], []), (["mailto:a@b"], []), (["http:///x"], []), (["http://i.org/1", "http://i.org/2"], ["i.org/1", "i.org/2"]),
     ]
-    rows, want = [("http://h.org", canonical.format("x"))], {("h.org", "h.org/x")}
+    rows, want = [("http://h.org", canonical.format("x"))], {("http://h.org/", "http://h.org/x")}
     for n, (to, targets, form) in enumerate((*c, form) for c in cases for form in (canonical, refresh)):
         rows.append((f"http://h{n}.org/a/b/c?q=1#f", "<p>".join(form.format(t) for t in to)))
-        want |= {(f"h{n}.org/a/b/c?q=1", t.replace("h.org", f"h{n}.org")) for t in targets}
+        want |= {(f"http://h{n}.org/a/b/c?q=1", f"http://{t}".replace("h.org", f"h{n}.org")) for t in targets}
     assert {tuple(r) for r in urls.link_edges(spark.createDataFrame(rows, "url string, html string")).collect()} == want
     pages = [(1, "http://one.info/a/", canonical.format("p.php?id=5")), (2, "http://two.info/a/", canonical.format("p.php?id=5")), (3, "http://two.info/a/p.php?id=5", canonical.format("http://evil.com/en/x")), (4, "page.php", canonical.format("http://evil.com/en/x")), (5, "other.php", canonical.format("http://three.info/")), (6, "http://three.info/", None)]
     got = {r["page_id"]: r["verdict"] for r in urls.filtered(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def test_url_classes_against_brute_force(spark):
+    """Chains, cycles, a hub, urls without a page, and rules that disagree in a class, from a generated edge table."""
+    rng = random.Random(12)
+    node = lambda i: f"http://s{i}.info/p"
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100 + (i + 1) % 12) for i in range(12)] + [(200, 201 + i) for i in range(150)] + [(400 + rng.randrange(60), 400 + rng.randrange(60)) for _ in range(45)]
+    special = {20: "http://evil.com/en/x", 105: "http://example.net/de/8", 107: "http://a.example.com/en/70", 250: "http://b.net/de/", 410: "http://c.org/es/1", 999: "http://c.org/es/2"}
+    name = lambda i: special.get(i, node(i))
+    ids = sorted({i for e in edges for i in e} | {999, 1000})
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    own = {20: "block", 105: "block", 107: "allow", 250: "block", 410: "block", 999: "block"}
+    classes = {}
+    for i in ids:
+        classes.setdefault(root(i), []).append(own.get(i))
+    want = {i: own.get(i) or ("allow" if "allow" in classes[root(i)] else "block" if "block" in classes[root(i)] else "allow") for i in ids if i not in (20, 230)}
+    pages = spark.createDataFrame([(i, name(i), None) for i in want] * 2, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "source string, target string")
+    got = urls.filtered(pages, redirects=redirects).collect()
+    assert len(got) == 2 * len(want) and {r["page_id"]: r["verdict"] for r in got} == want
+    # Two rules for one host and path: allow wins.
+    tie = (("block", "s1.info", "/p"), ("allow", "s1.info", "/p"))
+    assert urls.filtered(pages.where("page_id = 1"), rules=tie).first()["verdict"] == "allow"
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
