@@ -251,14 +251,16 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
     The text is cut at all spans at once, in an encoding of four bytes for each character, in which a place is found
     without counting from the start.
     """
-    found = found_secrets(docs.withColumn("__was", F.col("text")), rules)
+    own = docs.withColumn("__null", F.col("text").isNull())
+    found = found_secrets(own.withColumnRenamed("spans", "__spans") if "spans" in docs.columns else own, rules)
 
     def cut(x: Column) -> Column:
         piece = lambda a, b: F.decode(F.substring(x["wide"], 4 * a + 1, 4 * (b - a)), "UTF-32")
         before = F.concat(F.array(F.lit(0)), F.slice(x["done"], F.lit(1), F.size("spans") - 1))
         fresh = F.filter(F.zip_with(x["starts"], before, lambda s, d: F.struct(s.alias("start"), d.alias("done"))), lambda p: p["start"] >= p["done"])
         parts = F.transform(fresh, lambda p: F.concat(piece(p["done"], p["start"]), F.lit(mark)))
-        return F.concat(F.array_join(parts, ""), piece(F.element_at(x["done"], -1), F.length("__was")))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(x["done"], -1), F.length("text")))
 
-    value = F.struct(F.encode("__was", "UTF-32").alias("wide"), F.transform("spans", lambda s: s["start"]).alias("starts"), _running(F.transform("spans", lambda s: s["end"]), F.greatest, 0).alias("done"))
-    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("__was")).otherwise(_given(value, cut))).select(*docs.columns)
+    value = F.struct(F.encode("text", "UTF-32").alias("wide"), F.transform("spans", lambda s: s["start"]).alias("starts"), _running(F.transform("spans", lambda s: s["end"]), F.greatest, 0).alias("done"))
+    text = F.when(F.col("__null"), F.lit(None)).when(F.size("spans") == 0, F.col("text")).otherwise(_given(value, cut))
+    return found.select(*(text.alias(c) if c == "text" else F.col("__spans" if c == "spans" else c).alias(c) for c in docs.columns))
