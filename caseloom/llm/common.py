@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -55,7 +56,8 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more; else they stay on disk until the driver happens to collect its garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -169,9 +171,9 @@ class Words:
         """The text that each word stands in."""
         return np.repeat(np.arange(len(self.before) - 1), self.counts)
 
-    def grams(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, before): each text's runs of k words in order; with `short`, the whole of a text with fewer words, if it has any."""
-        n, counts = len(self), self.counts
+    def grams(self, k: int, short: bool = False, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, before): each text's runs of k words in order; with `short`, the whole of a text with fewer words, if it has any; with `other`, from the other hashes."""
+        n, counts, word = len(self), self.counts, self.other if other else self.hash
         many = np.maximum(counts - k + 1, 0)
         before = np.concatenate(([0], np.cumsum(np.maximum(many, counts > 0) if short else many)))
         value = np.zeros(before[-1], np.uint64)
@@ -179,7 +181,7 @@ class Words:
         if n >= k and long.any():
             every = np.zeros(n - k + 1, np.uint64)
             for j in range(k):
-                every += self.hash[j : n - k + 1 + j] * _GRAM[j]
+                every += word[j : n - k + 1 + j] * _GRAM[j]
             every = mix(every)
             inside = np.zeros(n - k + 1, bool)
             step = np.zeros(n - k + 2, np.int64)
@@ -190,7 +192,7 @@ class Words:
             value[to] = every[inside]
         if short:
             for i in np.flatnonzero((counts > 0) & ~long):
-                own = self.hash[self.before[i] : self.before[i + 1]]
+                own = word[self.before[i] : self.before[i + 1]]
                 value[before[i]] = mix((own * _GRAM[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
         return value, before
 

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, by_batch, dropped, freed, longs, written
 
 #: Words of a seed. A window of n words holds n - SEED + 1 seeds, and the first of those with the least hash is its anchor.
-SEED = 7
+SEED = 5
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -57,18 +57,11 @@ def _seeds(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return by_batch(docs, run, "anchor long, doc_id long")
 
 
-def _lists(hashes: np.ndarray, start: np.ndarray, step: int, size: np.ndarray) -> pa.Array:
-    """For each start the hashes of `size` words from there on, forwards or backwards."""
-    ends = np.cumsum(size)
-    at = np.repeat(start, size) + step * (np.arange(size.sum()) - np.repeat(ends - size, size))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), longs(hashes[at]))
-
-
 def _occurrences(seeded: DataFrame, n: int, seed: int) -> DataFrame:
-    """Where the shared seeds of a document anchor windows, with what the windows hold beside the seed.
+    """(anchor, doc_id, at, low, windows): where the shared seeds of a document anchor windows.
 
-    (anchor, key, doc_id, at, left, right, low, high): `left` and `right` are the hashes of the words beside the seed,
-    nearest first, as far as its windows go; the windows with `low` to `high` words on the left are still undecided.
+    The windows begin `low`, low + 1, ... words before the seed, which is at word `at`; windows[i] is a hash of all the
+    words of the one with low + i words before it. It is independent of the anchor, so both together are 128 bits.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -80,48 +73,31 @@ def _occurrences(seeded: DataFrame, n: int, seed: int) -> DataFrame:
             own = slice(bounds[i], bounds[i + 1])
             keep[own] = np.isin(anchor[own], np.asarray(s.values).view(np.uint64))
         anchor, text, place, first, windows = (x[keep] for x in (anchor, text, place, first, windows))
-        before, after = place - first, first + windows - 1 + n - (place + seed)
+        value, before = words.grams(n, other=True)
+        last = (before[:-1] - words.before[:-1])[text] + first + windows - 1
+        ends = np.cumsum(windows)
+        at = np.repeat(last + ends - windows, windows) - np.arange(windows.sum())  # from the window with the least words before the seed
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), longs(value[at]))
         small = lambda x: pa.array(x.astype(np.int32))
-        columns = [longs(anchor), longs(anchor), pa.array(_ids(batch)[text]), small(place - words.before[text]), _lists(words.hash, place - 1, -1, before), _lists(words.hash, place + seed, 1, after), small(n - seed - after), small(before)]
-        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "doc_id", "at", "left", "right", "low", "high"])
-
-    return by_batch(seeded, run, "anchor long, key long, doc_id long, at int, left array<long>, right array<long>, low int, high int")
-
-
-def _common(x: str, y: str) -> Column:
-    """How many first elements two arrays have in common."""
-    differs = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
-    return F.when(differs == 0, F.size(x)).otherwise(differs - 1).cast("int")
-
+        yield pa.RecordBatch.from_arrays([longs(anchor), pa.array(_ids(batch)[text]), small(place - words.before[text]), small(place - (first + windows - 1)), lists], names=["anchor", "doc_id", "at", "low", "windows"])
 
-def _hubs(rows: DataFrame) -> DataFrame:
-    """The first occurrence in the smallest document of each key that more than one document has."""
-    hubs = rows.groupBy("anchor", "key").agg(F.min_by(F.struct("doc_id", "left", "right"), F.struct("doc_id", "at")).alias("hub"), F.max("doc_id").alias("top")).where("hub.doc_id < top")
-    return hubs.select("anchor", "key", F.col("hub.doc_id").alias("hub"), F.col("hub.left").alias("hub_left"), F.col("hub.right").alias("hub_right"))
+    return by_batch(seeded, run, "anchor long, doc_id long, at int, low int, windows array<long>")
 
 
-def _extended(rows: DataFrame, hubs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(doc_id, first, end, rest): each occurrence matched with its key's hub.
+def _extended(rows: DataFrame, hubs: DataFrame, n: int) -> DataFrame:
+    """(anchor, doc_id, first, end, rest): each occurrence of an anchor matched with the hub, that in the smallest document.
 
-    The match is extended to the left and to the right as far as the words agree. first to end are the words of the
-    windows inside it, if the hub's document is a smaller one; `rest` are occurrences (as above) of the windows that reach
-    beyond it, under a new key: windows that reach beyond the left end go by the word there, others by the word beyond
-    the right end. Documents with equal windows diverge from the hub at the same word, so they meet again under that key.
+    The match is extended to the left and to the right as far as the windows of both agree. first to end are its words,
+    if the hub's document is a smaller one; `rest` are the windows beyond it, as (window, start), still undecided.
     """
-    w = n - seed
-    met = rows.join(hubs, ["anchor", "key"]).withColumns({"l": _common("left", "hub_left"), "r": _common("right", "hub_right")})
-    met = met.withColumns({"from": F.greatest(F.col("low"), w - F.col("r")), "to": F.least("high", "l")})
-    late = F.expr("`from` <= `to` and doc_id > hub")
-
-    def rest(side: int, depth: str, word: Column, low: Column, high: Column) -> Column:
-        return F.struct("anchor", F.xxhash64("key", F.lit(side), depth, word).alias("key"), "doc_id", "at", "left", "right", low.alias("low"), high.alias("high"))
-
-    both = F.array(
-        rest(0, "l", F.get("left", F.col("l")), F.greatest("low", F.col("l") + 1), F.col("high")),
-        rest(1, "r", F.get("right", F.col("r")), F.col("low"), F.least("high", "l", w - 1 - F.col("r"))),
-    )
-    words = [F.when(late, F.col("at") - F.col("to")).alias("first"), F.when(late, F.col("at") - F.col("from") + n).alias("end")]
-    return met.select("doc_id", *words, F.filter(both, lambda x: x["low"] <= x["high"]).alias("rest")).where("first is not null or size(rest) > 0")
+    beyond = lambda i: ~F.coalesce(F.get("windows", i) == F.get("hub_windows", i + F.col("low") - F.col("hub_low")), F.lit(False))
+    places = F.sequence(F.lit(0), F.size("windows") - 1)
+    met = rows.join(hubs, "anchor").withColumn("agree", F.filter(places, lambda i: ~beyond(i)))
+    late = (F.size("agree") > 0) & (F.col("doc_id") > F.col("hub"))
+    start = lambda i: F.col("at") - F.col("low") - i
+    words = [F.when(late, start(F.element_at("agree", -1))).alias("first"), F.when(late, start(F.col("agree")[0]) + n).alias("end")]
+    rest = F.transform(F.filter(places, beyond), lambda i: F.struct(F.get("windows", i).alias("window"), start(i).alias("start")))
+    return met.select("anchor", "doc_id", *words, rest.alias("rest")).where("first is not null or size(rest) > 0")
 
 
 def _removed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -166,20 +142,19 @@ def repeats(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame:
     rows = written(_occurrences(known.join(own, "doc_id"), n, seed), "occurrences")
     dropped(shared, own)
     freed(spark)
-    found, old = None, rows
-    # Every round sets at least one word more on one side, so there are 2 (n - seed) + 1 at most.
-    while not rows.isEmpty():
-        hubs = written(_hubs(rows), "hubs")
-        met = written(_extended(rows, hubs, n, seed), "matches")
-        late = written(met.where("first is not null").select("doc_id", "first", "end"), "repeats")
-        found = late if found is None else found.union(late)
-        dropped(old, hubs)
-        freed(spark)
-        old, rows = met, met.select(F.explode("rest").alias("row")).select("row.*")
-    dropped(old)
-    if found is None:
-        return known.limit(0).select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>").alias("repeats"))
-    return written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("repeats")), "repeats_of")
+    hubs = rows.groupBy("anchor").agg(F.min_by(F.struct("doc_id", "low", "windows"), F.struct("doc_id", "at")).alias("hub"))
+    hubs = written(hubs.select("anchor", F.col("hub.doc_id").alias("hub"), F.col("hub.low").alias("hub_low"), F.col("hub.windows").alias("hub_windows")), "hubs")
+    met = written(_extended(rows, hubs, n), "matches")
+    dropped(rows, hubs)
+    freed(spark)
+    beyond = met.select("anchor", "doc_id", F.explode("rest").alias("at")).select("anchor", "doc_id", "at.*")
+    lowest = written(beyond.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "lowest")
+    late = beyond.join(lowest, ["anchor", "window"]).where("doc_id > low").select("doc_id", F.col("start").alias("first"), (F.col("start") + n).alias("end"))
+    found = met.where("first is not null").select("doc_id", "first", "end").union(late)
+    found = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("repeats")), "repeats_of")
+    dropped(met, lowest)
+    freed(spark)
+    return found
 
 
 def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame:
@@ -192,11 +167,11 @@ def substring_dedup(docs: DataFrame, n: int = 13, seed: int = SEED) -> DataFrame
 
     Seed: every window has an anchor, its seed of the least hash, so equal windows share one, wherever they stand;
     anchors that only one document holds are dropped by a pre-aggregated minimum and maximum. Join and extend: each
-    occurrence of an anchor is joined with the occurrence in the smallest document and the match is extended both ways
-    (see _extended); windows beyond its ends are joined anew, by the word at which they left it, until all are decided.
-    So an occurrence meets one other at a time, at most 2 (n - seed) + 1 in all, and the work grows with the text and
-    not with the square of a passage's copies. Overlapping matches join to maximal repeats of n words or more. Seeds
-    and words agree by 64 bits each, so a window does by 64 bits for its seed and for each word beside it.
+    occurrence of an anchor is joined with the one in the smallest document, and the match is extended both ways as far
+    as the texts agree. Windows that reach beyond it may still repeat elsewhere: they are joined with the smallest
+    document that has the same window. So an occurrence meets one other, a window beyond its match one more, and the
+    work grows with the text and not with the square of a passage's copies. Overlapping matches join to maximal repeats
+    of n words or more. Windows are equal by 128 bits: 64 of the anchor and 64 of all their words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeats(docs, n, seed)
