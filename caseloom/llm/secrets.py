@@ -154,9 +154,10 @@ def index(docs: DataFrame, grams: list[str], shard: int = SHARD) -> DataFrame:
     concern the same rows, so lists are intersected shard by shard and none of them grows with the table. Equal rows
     have one key. Only trigrams that some rule asks for are indexed.
     """
-    lower = docs.withColumn("lower", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
-    rows = written(lower.select(_key(docs).alias("key"), held.alias("held")).where(F.size("held") > 0), "trigrams")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = _given(lower, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)))))
+    # Rows without any trigram are left out by explode() below: a filter here would look for the trigrams twice.
+    rows = written(docs.select(_key(docs).alias("key"), held.alias("held")), "trigrams")
     shards = max(1, -(-rows.count() // shard))
     lists = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.explode("held").alias("gram"), "key")
     return lists.groupBy("shard", "gram").agg(F.collect_set("key").alias("keys"))
