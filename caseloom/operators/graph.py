@@ -7,6 +7,7 @@ are ignored. Iterative kernels are joins and aggregates whose lineage is cut by
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ _TMP: list[tempfile.TemporaryDirectory] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut; sets a checkpoint folder only where none is set."""
+    """df with its lineage cut by a checkpoint in the shared folder. Where none is set, a local session gets a temporary one; on a cluster, where that would split the data over machines, it is an error."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not found:
             _TMP.append(tempfile.TemporaryDirectory(prefix="checkpoint_"))
             atexit.register(_TMP[-1].cleanup)
@@ -122,12 +125,45 @@ def distances(vertices: DataFrame, edges: DataFrame, sources: DataFrame | None =
     return seen if paths else seen.drop("sigma")
 
 
-def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, closeness): reached share times reached over the sum of distances; 0 without neighbours."""
+#: 64-bit words of source bits in a row, and rows of bits for each vertex in a pass of closeness().
+WORDS, BLOCKS = 8, 32
+
+
+def closeness(vertices: DataFrame, edges: DataFrame, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
+    """(id, closeness): reached share times reached over the sum of distances; 0 without neighbours.
+
+    Breadth first for 64 x `words` sources in a row: a vertex's bits tell which of them have reached it, a level is one
+    join with the neighbours and a bitwise or. As distances are symmetric, the new bits of a vertex count the vertices
+    at that distance from it. A pass takes `blocks` such rows for each vertex, so its state is bounded; passes add up.
+    """
+    near = cut(neighbours(edges))
+    own = cut(near.select("id").distinct().withColumn("row", F.monotonically_increasing_id()))
+    place = own.select("id", F.floor(F.col("row") / (64 * words)).alias("block"), F.pmod("row", F.lit(64 * words)).cast("int").alias("bit"))
+    numbers = place.select("block").distinct().withColumn("pass", F.pmod(F.xxhash64("block"), F.lit(max(1, -(-place.select("block").distinct().count() // blocks)))))
+    place = cut(place.join(numbers, "block"))
+    names = [f"b{i}" for i in range(words)]
+    out = None
+    for (which,) in place.select("pass").distinct().orderBy("pass").collect():
+        bits = [F.when(F.floor(F.col("bit") / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)))).otherwise(F.lit(0).cast("long")).alias(c) for i, c in enumerate(names)]
+        front = cut(place.where(F.col("pass") == which).select("block", "id", *bits))
+        seen, level = front, 0
+        while True:
+            level += 1
+            met = front.join(near, "id").groupBy("block", F.col("other").alias("id")).agg(*(F.bit_or(c).alias(c) for c in names))
+            old = seen.select("block", "id", *(F.col(c).alias(f"old_{c}") for c in names))
+            fresh = met.join(old, ["block", "id"], "left").select("block", "id", *(F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"old_{c}", F.lit(0).cast("long")))).alias(c) for c in names))
+            front = cut(fresh.where(" or ".join(f"{c} != 0" for c in names)))
+            if front.isEmpty():
+                break
+            reached = front.groupBy("id").agg(F.sum(sum((F.bit_count(c) for c in names[1:]), F.bit_count(names[0]))).cast("long").alias("r")).withColumn("d", F.col("r") * level)
+            out = reached if out is None else out.unionByName(reached)
+            seen = cut(seen.union(front).groupBy("block", "id").agg(*(F.bit_or(c).alias(c) for c in names)))
     n = vertices.agg(F.count("*").alias("n"))
-    own = distances(vertices, edges).where("dist > 0").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("r"), F.sum("dist").alias("d"))
+    if out is None:
+        return vertices.select("id", F.lit(0.0).alias("closeness"))
+    sums = out.groupBy("id").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
     score = F.round(F.col("r") / (F.col("n") - 1) * (F.col("r") / F.col("d")), 4)
-    return vertices.select("id").join(own, "id", "left").join(F.broadcast(n)).select("id", F.coalesce(score, F.lit(0.0)).alias("closeness"))
+    return vertices.select("id").join(sums, "id", "left").join(F.broadcast(n)).select("id", F.coalesce(score, F.lit(0.0)).alias("closeness"))
 
 
 def diameter_estimate(vertices: DataFrame, edges: DataFrame, sources: int = 15) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.scores import block_hash
 
-GENESIS = "0" * 64
+#: What stands for the previous hash of a first block.
+FIRST_PREVIOUS = "0" * 64
 
 
 def chained(blocks: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def chained(blocks: DataFrame, ledger: str | None = None) -> DataFrame:
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx").reset_index(drop=True)
-        before, previous, own = GENESIS, [], []
+        before, previous, own = FIRST_PREVIOUS, [], []
         for r in part.itertuples(index=False):
             previous.append(before)
             before = hashlib.sha256(f"{r.idx}|{str(r.ts)[:19]}|{r.data_hash}|{before}|{r.action}".encode()).hexdigest()
@@ -38,7 +39,7 @@ def chained(blocks: DataFrame, ledger: str | None = None) -> DataFrame:
 
 def appended(ledger: DataFrame, block: DataFrame) -> DataFrame:
     """One new block(ts, data_hash, action) after the last of the ledger."""
-    last = ledger.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("idx"), F.coalesce(F.max_by("hash", "idx"), F.lit(GENESIS)).alias("previous_hash"))
+    last = ledger.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("idx"), F.coalesce(F.max_by("hash", "idx"), F.lit(FIRST_PREVIOUS)).alias("previous_hash"))
     return block.join(F.broadcast(last)).select("idx", "ts", "data_hash", "action", "previous_hash", block_hash(F.col("idx"), F.col("ts"), F.col("data_hash"), F.col("previous_hash"), F.col("action")).alias("hash"))
 
 
@@ -49,7 +50,7 @@ def checked(ledger: DataFrame, size: int = 1_000_000) -> DataFrame:
     """
     before = ledger.select((F.col("idx") + 1).alias("idx"), F.col("hash").alias("_before"))
     own = block_hash(F.col("idx"), F.col("ts"), F.col("data_hash"), F.col("previous_hash"), F.col("action"))
-    want = F.when(F.col("idx") == 0, F.lit(GENESIS)).otherwise(F.col("_before"))
+    want = F.when(F.col("idx") == 0, F.lit(FIRST_PREVIOUS)).otherwise(F.col("_before"))
     return ledger.join(before, "idx", "left").withColumn("broken", ~F.col("hash").eqNullSafe(own) | ~F.col("previous_hash").eqNullSafe(want)).drop("_before")
 
 

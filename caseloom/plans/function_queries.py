@@ -133,11 +133,11 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT page_id, sha256(url) AS url_hash, sha256(concat_ws('|', page_id::VARCHAR, '2024-01-01T00:00:00', sha256(html), 'GENESIS', 'ADD')) AS block_hash, coalesce(nullif(trim(split_part(split_part(url, chr(10), 1), ',', -1)), ''), 'Local Sector') AS area FROM pages""")
+@query("""SELECT page_id, sha256(url) AS url_hash, sha256(concat_ws('|', page_id::VARCHAR, '2024-01-01T00:00:00', sha256(html), 'NONE', 'ADD')) AS block_hash, coalesce(nullif(trim(split_part(split_part(url, chr(10), 1), ',', -1)), ''), 'Local Sector') AS area FROM pages""")
 def page_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X31, X35."""
     data = F.sha2("html", 256)
-    return load(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("url_hash"), S.block_hash(F.col("page_id"), F.lit("2024-01-01T00:00:00Z"), data, F.lit("GENESIS"), F.lit("ADD")).alias("block_hash"), S.area_label(F.col("url")).alias("area"))
+    return load(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("url_hash"), S.block_hash(F.col("page_id"), F.lit("2024-01-01T00:00:00Z"), data, F.lit("NONE"), F.lit("ADD")).alias("block_hash"), S.area_label(F.col("url")).alias("area"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'VEHICLE' WHEN c_acctbal < 3000 THEN 'PERSON' ELSE 'OTHER' END AS kind,

@@ -201,8 +201,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X13-X15, with the provenance hash left to tests."""
-    return _records(spark, sf_dir).select("id", "name", "phonetic_key", "phone", "birth_year", "address", "case_id", "is_valid", F.size("warnings").alias("warnings"))
+    """X13-X15."""
+    return _records(spark, sf_dir).select("id", "provenance_hash", "name", "phonetic_key", "phone", "birth_year", "address", "case_id", "is_valid", F.size("warnings").alias("warnings"))
 
 
 @query()
@@ -222,7 +222,7 @@ def simple_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X27-X29, G16."""
     r = _records(spark, sf_dir)
-    return E.pair_scores(r, E.blocked_pairs(r)).drop("supporting", "counter")
+    return E.pair_scores(r, E.blocked_pairs(r))
 
 
 @query()
