@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import steps, written
 from .tokens import Encoder, default_paths
 
-#: Pieces of one length are numbered in shares of about PIECES_EACH pieces of any length, but in SHARES_MOST at most; the
-#: table of their counts, which the driver sees, has at most SHARES_MOST x size rows.
-PIECES_EACH, SHARES_MOST = 50_000, 4096
+#: Pieces of one length are numbered in shares of about PIECES_EACH pieces of any length, but in SHARES_LEAST to SHARES_MOST;
+#: the table of their counts, which the driver sees, has at most SHARES_MOST x size rows.
+PIECES_EACH, SHARES_LEAST, SHARES_MOST = 50_000, 256, 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -172,7 +172,7 @@ def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, depth: int = 3, t
     table = written(pieces(docs, size, end_id, tokenizer, keep_ids).withColumn("dealt", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     if not keep_ids:
         table = table.drop("ids")
-    number = min(SHARES_MOST, max(1, -(-table.count() // PIECES_EACH)))
+    number = min(SHARES_MOST, max(SHARES_LEAST, -(-table.count() // PIECES_EACH)))
     table = table.withColumn("share", F.pmod("dealt", F.lit(number)).cast("int")).drop("dealt")
     below = table.where(F.col("length") < size)
     shares = below.groupBy("length", "share").count().collect()
