@@ -346,3 +346,8 @@ def search_network(vertices: DataFrame, edges: DataFrame, text: str, types: list
     if types:
         kept = kept.where(F.upper("type").isin([t.upper() for t in types]))
     return kept, induced(kept, edges)
+
+
+def capped(vertices: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """What a view of bounded size shows: the first vertices by id, and twice as many edges by edge_id."""
+    return vertices.orderBy("id").limit(most), edges.orderBy("edge_id").limit(2 * most)

@@ -177,3 +177,19 @@ def evaluated(rows: DataFrame, score: Column, label: Column, threshold: float =
 def precision_at(rows: DataFrame, score: str, label: str, key: str, k: int) -> DataFrame:
     """The share of positives among the k best scores, ties by key."""
     return rows.orderBy(F.desc(score), key).limit(k).agg(F.round(F.avg(F.col(label).cast("int")), 6).alias("precision_at_k"))
+
+
+def with_injected(rows: DataFrame, injected: DataFrame) -> DataFrame:
+    """rows and made anomalies with is_injected 0 and 1; numbers that the made ones lack are 0."""
+    both = rows.withColumn("is_injected", F.lit(0)).unionByName(injected.withColumn("is_injected", F.lit(1)), allowMissingColumns=True)
+    return both.fillna(0)
+
+
+def injected_metrics(scored: DataFrame, order: Sequence[str], at: Sequence[int] = (50, 100, 500)) -> DataFrame:
+    """One row for scored(anomaly_score, is_anomaly, is_injected): detection rate of made rows, rate of flagged real ones, and the share of made rows among the first k by score, ties by the given columns."""
+    flagged, made = F.col("is_anomaly"), F.col("is_injected") == 1
+    rates = scored.agg(F.round(F.try_divide(F.count_if(flagged & made), F.count_if(made)), 6).alias("detection_rate"), F.round(F.try_divide(F.count_if(flagged & ~made), F.count_if(~made)), 6).alias("false_positive_rate"))
+    for k in at:
+        first = scored.orderBy(F.desc("anomaly_score"), *order).limit(k)
+        rates = rates.join(F.broadcast(first.agg(F.round(F.count_if(made) / k, 6).alias(f"precision_at_{k}"))))
+    return rates

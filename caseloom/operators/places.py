@@ -103,3 +103,19 @@ def inferred_state(places: DataFrame, city: str, known: DataFrame, default: str)
     a, b = F.lower(F.trim(city)), F.lower("district")
     near = rest.join(F.broadcast(known), a.contains(b) | b.contains(a)).groupBy(city).agg(F.min_by("state", "ordinal").alias("near"))
     return joined.join(near, city, "left").withColumn("state", F.coalesce("exact", "near", F.lit(default))).drop("exact", "near")
+
+
+def place_members(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(place_id, name, type, activity): for links(src, dst, n) to nodes(id, name, type) of type LOCATION, each linked name once, with the sum of its links' counts; of several types of a name the smallest."""
+    places = nodes.where("type = 'LOCATION'").select(F.col("id").alias("dst"))
+    sources = nodes.select(F.col("id").alias("src"), "name", "type")
+    sums = links.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    return sums.join(places, "dst").join(sources, "src").groupBy(F.col("dst").alias("place_id"), "name").agg(F.min("type").alias("type"), F.sum("n").alias("activity"))
+
+
+def linked_places(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(place_id, name, entities, activity, share): linked names and activity of each place, and its share in per cent of the busiest one's."""
+    own = place_members(links, nodes).groupBy("place_id").agg(F.count("*").alias("entities"), F.sum("activity").alias("activity"))
+    most = F.broadcast(own.agg(F.greatest(F.max("activity"), F.lit(1)).alias("most")))
+    named = own.join(nodes.select(F.col("id").alias("place_id"), "name"), "place_id").join(most)
+    return named.select("place_id", "name", "entities", "activity", F.round(100 * F.col("activity") / F.col("most"), 2).alias("share"))

@@ -154,3 +154,18 @@ def audit_page(events: DataFrame, users: DataFrame, text: str = "", equal: dict
 def linked_case_profile(rows: DataFrame, case: str, **parts: str) -> DataFrame:
     """Per case, sorted sets of other columns."""
     return rows.groupBy(case).agg(*(F.array_sort(F.collect_set(c)).alias(n) for n, c in parts.items()))
+
+
+def contact_leads(links: DataFrame, k: int = 3) -> DataFrame:
+    """(title, detail, priority) for the first k links(edge_id, src, dst, strength) by edge_id; the texts are fixed values."""
+    first = links.orderBy("edge_id").limit(k)
+    title = F.concat(F.lit("Review connection between "), "src", F.lit(" and "), "dst")
+    detail = F.concat(F.lit("Corroborate communication and co-location frequency. Strength: "), F.coalesce(F.col("strength"), F.lit(0)).cast("string"), F.lit("."))
+    return first.select(title.alias("title"), detail.alias("detail"), F.when(F.col("strength") > 70, "HIGH").otherwise("MEDIUM").alias("priority"))
+
+
+def contact_rows(calls: DataFrame, limit: int = 50) -> DataFrame:
+    """The latest calls(id, caller_name, caller_number, callee_name, callee_number, seconds, ts, kind, place, flagged) as they are shown, nulls replaced by defaults."""
+    party = lambda side: F.concat(F.coalesce(f"{side}_name", F.lit("None")), F.lit(" ("), F.coalesce(f"{side}_number", F.lit("None")), F.lit(")"))
+    latest = page(calls, (("ts", True), ("id", False)), limit)
+    return latest.select(F.col("id").cast("string").alias("id"), party("caller").alias("caller"), party("callee").alias("receiver"), F.concat(F.coalesce(F.col("seconds"), F.lit(0)).cast("string"), F.lit("s")).alias("duration"), "ts", or_default(F.col("kind"), "Voice Call").alias("type"), or_default(F.col("place"), "Tower Station").alias("location"), F.coalesce("flagged", F.lit(False)).alias("flagged"))

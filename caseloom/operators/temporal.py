@@ -113,3 +113,25 @@ def lockouts(logins: DataFrame, failures: int = 5, minutes: int = 15) -> DataFra
 def windowed_counts(events: DataFrame, hours: int = 4) -> DataFrame:
     """(window_start, n): events in fixed windows."""
     return events.groupBy(F.window(F.col("ts").cast("timestamp"), f"{hours} hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def window_events(events: DataFrame, entities: DataFrame, at: str, before_minutes: int, after_minutes: int) -> DataFrame:
+    """(event_id, entity_id, entity_name, entity_type, minutes, timing, unassigned): events around `at` with their entity(entity_id, name, type), if there is one; without an id an event is unassigned."""
+    ts, when = F.col("ts").cast("timestamp_ntz"), F.lit(at).cast("timestamp_ntz")
+    near = events.where((ts >= when - F.expr(f"INTERVAL {before_minutes} MINUTES")) & (ts <= when + F.expr(f"INTERVAL {after_minutes} MINUTES")))
+    known = entities.select("entity_id", F.col("name").alias("entity_name"), F.col("type").alias("entity_type"))
+    return split_timeline(near, at).join(known, "entity_id", "left").select("event_id", "entity_id", "entity_name", "entity_type", "minutes", "timing", F.col("entity_id").isNull().alias("unassigned"))
+
+
+def seeded(anomalies: DataFrame, seed: DataFrame) -> DataFrame:
+    """Temporal anomalies with a row for each entity of a case, seed(entity_id), also where it has no event at all."""
+    zeros = {c: 0 for c, t in anomalies.dtypes if t in ("int", "bigint", "double")}
+    texts = {"level": "LOW", "status": "NO_HISTORICAL_ACTIVITY", "confidence": "LOW"}
+    own = seed.select("entity_id").distinct()
+    return anomalies.join(own, "entity_id", "full").fillna({k: v for k, v in zeros.items() if k != "entity_id"}).fillna(texts).fillna(True, ["requires_review"])
+
+
+def ranked_anomalies(anomalies: DataFrame, k: int = 100) -> DataFrame:
+    """(rank, entity_id, score, activity) of the k highest scores, then most events in the window, then smallest ids."""
+    top = anomalies.select("entity_id", "score", (F.col("before_count") + F.col("after_count")).alias("activity")).orderBy(F.desc("score"), F.desc("activity"), "entity_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("activity"), "entity_id")))

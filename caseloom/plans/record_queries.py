@@ -248,7 +248,18 @@ def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("label = 'PHONE'").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
 
-@query()
+def _matches_sql(label: str, pattern: str, confidence: float) -> str:
+    text = "upper(hits[i])" if label == "VEHICLE" else "hits[i]"
+    start = "CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS INT)"
+    return f"""SELECT doc_id, '{label}' AS label, {text} AS text, {start} AS start, {start} + CAST(length(hits[i]) AS INT) AS "end", {confidence}::DOUBLE AS confidence FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE regexp_matches(text, '{pattern}')))"""
+
+
+_NAMES = ", ".join(f"('{label}', '{n}', {c}::DOUBLE)" for label, own, c in T.GAZETTEERS for n in own)
+
+
+@query(f"""SELECT doc_id, label, name AS text, CAST(strpos(lower(text), lower(name)) - 1 AS INT) AS start, CAST(strpos(lower(text), lower(name)) - 1 + length(name) AS INT) AS "end", confidence FROM documents, (VALUES {_NAMES}) g(label, name, confidence) WHERE contains(lower(text), lower(name))
+  UNION ALL {" UNION ALL ".join(_matches_sql(*p) for p in T.PATTERNS)}""")
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, T2, T3."""
     return T.extracted(load(spark, sf_dir, "documents"), "text", "doc_id")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseloom.functions import normalize as N
+from caseloom.operators.graph import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -69,8 +70,13 @@ def ingested(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """
     raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
     clean = F.to_json(F.struct(*(_normalizer(c).alias(c) for c in df.columns)))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(raw.alias("raw"), clean.alias("normalized"))
-    return ranged.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0]["raw"], x[0]["normalized"])).toDF("row_index long, raw string, normalized string")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(raw.alias("raw"), clean.alias("normalized"), F.monotonically_increasing_id().alias("at"))
+    kept = cut(ranged)
+    # The id holds the partition above its 33 low bits and the row's place below; there is one count for each partition.
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    first = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return kept.withColumn("part", part).join(F.broadcast(first), "part").select((F.col("before") + place + 1).alias("row_index"), "raw", "normalized")
 
 
 def detected_format(path: str) -> str:

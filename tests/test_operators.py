@@ -169,3 +169,45 @@ def test_records_and_sources(spark, tmp_path):
         files.checked_ingest("CSV", "DATASET_ONLY")
     assert records.searched(rows, "100%_", ("person_name",)).count() == 0 and records.searched(rows, "A ", ("person_name",)).count() == 1
     assert places.time_bounds("all", "2024-01-01") == (None, None)
+
+
+def test_ingest_numbers_rows_over_partitions(spark):
+    rows = spark.range(1000, 0, -1).select("id", F.lit(" x ").alias("word")).repartition(7)
+    out = files.ingested(rows, ["id"]).collect()
+    assert [(r["row_index"], r["raw"]) for r in sorted(out)] == [(i, f'{{"id":{i},"word":" x "}}') for i in range(1, 1001)]
+    assert files.ingested(rows.where("id < 0"), ["id"]).count() == 0
+
+
+def test_seeded_and_ranked_anomalies(spark):
+    at = "2024-01-10 12:00:00"
+    events = spark.sql("SELECT 1L AS event_id, 'a' AS entity_id, timestamp_ntz'2024-01-10 11:30:00' AS ts UNION ALL SELECT 2L, NULL, timestamp_ntz'2024-01-10 12:10:00' UNION ALL SELECT 3L, 'q', timestamp_ntz'2024-01-10 12:00:00'")
+    people = spark.createDataFrame([("a", "A", "PERSON")], "entity_id string, name string, type string")
+    near = {r["event_id"]: (r["entity_name"], r["timing"], r["minutes"], r["unassigned"]) for r in temporal.window_events(events, people, at, 60, 60).collect()}
+    assert near == {1: ("A", "BEFORE", -30, False), 2: (None, "AFTER", 10, True), 3: (None, "AT_CRIME", 0, False)}
+    found = temporal.seeded(temporal.temporal_anomalies(events, at, 60, 60, 5), people.select("entity_id").union(spark.createDataFrame([("z",)], "entity_id string")))
+    rows = {r["entity_id"]: r for r in found.collect()}
+    assert set(rows) == {"a", "q", "z"} and rows["z"]["score"] == 0 and rows["z"]["status"] == "NO_HISTORICAL_ACTIVITY" and rows["z"]["requires_review"]
+    assert [(r["rank"], r["entity_id"]) for r in temporal.ranked_anomalies(found, 2).orderBy("rank").collect()] == [(1, "a"), (2, "q")]
+
+
+def test_places_by_linked_names(spark):
+    nodes = spark.createDataFrame([("p", "Ann", "PERSON"), ("q", "Ann", "ORGANIZATION"), ("x", "Here", "LOCATION"), ("y", "There", "LOCATION")], "id string, name string, type string")
+    links = spark.createDataFrame([("p", "x", 2), ("q", "x", 3), ("x", "p", 9), ("p", "y", 1)], "src string, dst string, n int")
+    assert {tuple(r) for r in places.linked_places(links, nodes).collect()} == {("x", "Here", 1, 5, 100.0), ("y", "There", 1, 1, 20.0)}
+    assert {tuple(r) for r in places.place_members(links, nodes).collect()} == {("x", "Ann", "ORGANIZATION", 5), ("y", "Ann", "PERSON", 1)}
+
+
+def test_injected_anomalies_are_measured(spark):
+    own = spark.createDataFrame([(f"r{i}", i % 3) for i in range(20)], "id string, a int")
+    both = ml.with_injected(own, spark.createDataFrame([("m0",), ("m1",)], "id string"))
+    assert both.where("is_injected = 1").agg(F.sum("a")).first()[0] == 0 and both.count() == 22
+    scored = both.withColumn("anomaly_score", F.when(F.col("id").isin("m0", "r5"), 0.9).otherwise(0.1)).withColumn("is_anomaly", F.col("anomaly_score") > 0.5)
+    assert tuple(ml.injected_metrics(scored, ["id"], (1, 2)).first()) == (0.5, 0.05, 1.0, 0.5)
+
+
+def test_review_decisions_leave_an_audit_row(spark):
+    pairs = spark.createDataFrame([(1, 2, "A", "B", 90, "PENDING_REVIEW"), (1, 3, "A", "C", 70, "REJECTED")], "id_a int, id_b int, name_a string, name_b string, confidence int, review_status string")
+    made = spark.createDataFrame([(1, 2, "CONFIRMED_ALIAS", "u", "n"), (1, 3, "CONFIRMED_ALIAS", "u", "n")], "id_a int, id_b int, decision string, reviewer string, note string")
+    audit = resolution.review_audit(pairs, made).collect()
+    assert [(r["id_b"], r["action"], r["detail"]) for r in audit] == [(2, "ENTITY_RESOLUTION_CONFIRMED_ALIAS", "[Decision: CONFIRMED_ALIAS] A and B (confidence 90%)")]
+    assert {r["id_b"]: r["review_status"] for r in resolution.reviewed(pairs, made).collect()} == {2: "CONFIRMED_ALIAS", 3: "REJECTED"}
