@@ -162,3 +162,9 @@ def injected_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as JSON, numbered in their order."""
     return S.ingested(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), ["c_custkey"])
+
+
+@query(f"WITH {V.CASES_SQL}, {V.CONTACTS_SQL} SELECT 'cases' AS name, count(*) AS n FROM cs UNION ALL SELECT 'communications', count(*) FROM ct WHERE kind = 'call' UNION ALL SELECT 'transactions', count(*) FROM ct WHERE kind = 'transaction' UNION ALL SELECT 'evidence', count(*) FROM documents")
+def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes by name."""
+    return R.counted(V.scoped(spark, sf_dir, "cases", "communications", "transactions", "evidence"))

@@ -58,3 +58,23 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIVITY_SQL = """ac AS (SELECT o_orderkey AS id, substr(o_orderpriority, 3, 20) AS source, o_orderstatus AS event_type, c_name AS subject, r_name AS state, n_name AS district, c_mktsegment AS place,
   CAST(n_nationkey % 20 - 2 AS DOUBLE) AS lat, CAST(n_nationkey * 3 % 50 + 1 AS DOUBLE) AS lon, o_totalprice > 400000 AS flagged, o_orderdate AS ts
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+#: What a client may ask for by name; a scope is read only if it is asked for.
+SCOPES = {
+    "cases": cases,
+    "events": events,
+    "communications": lambda spark, sf_dir: contacts(spark, sf_dir).where("kind = 'call'"),
+    "transactions": lambda spark, sf_dir: contacts(spark, sf_dir).where("kind = 'transaction'"),
+    "locations": activity,
+    "entities": lambda spark, sf_dir: load(spark, sf_dir, "customer"),
+    "evidence": lambda spark, sf_dir: load(spark, sf_dir, "documents"),
+    "blocks": lambda spark, sf_dir: load(spark, sf_dir, "pages"),
+}
+
+
+def scoped(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named scopes, all without a name; ValueError for one that does not exist."""
+    if unknown := set(names) - set(SCOPES):
+        raise ValueError(f"no scope {', '.join(sorted(unknown))}")
+    return {n: SCOPES[n](spark, sf_dir) for n in names or SCOPES}

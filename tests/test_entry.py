@@ -1,5 +1,7 @@
 """The driver contract and the streams."""
 
+import pytest
+
 import __spark_entry__ as entry
 from caseloom import queries as own
 from caseloom.plans import views
@@ -39,3 +41,9 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     key = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windowed")) == key(counters.windowed(rows, "ts", ["event_type"]))
     assert counters.visits(rows, "ts").count() > 0 and counters.off_hours(rows, "ts").count() > 0
+
+
+def test_scopes_are_read_by_name(spark):
+    assert set(views.scoped(spark, SMALL)) == set(views.SCOPES) and list(views.scoped(spark, SMALL, "events")) == ["events"]
+    with pytest.raises(ValueError):
+        views.scoped(spark, SMALL, "nothing")
