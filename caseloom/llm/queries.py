@@ -81,7 +81,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_warc_round_trip, op7_embedding_near_dedup, op8_secret_scan, op9_best_fit_packing, op10_url_filter)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups, word_counts
+
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents"), damage=199))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_warc_round_trip, op7_embedding_near_dedup, op8_secret_scan, op9_best_fit_packing, op10_url_filter, op11_spelling_variants, op12_line_dedup, op13_vector_codes)}
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": sql.NEAR_DEDUP,
     "op4_benchmark_decontamination": sql.DECONTAMINATION,
@@ -90,4 +108,7 @@ SQL: dict[str, str] = {
     "op7_embedding_near_dedup": sql.VECTORS,
     "op8_secret_scan": sql.SECRETS,
     "op10_url_filter": sql.URLS,
+    "op11_spelling_variants": sql.SPELLING,
+    "op12_line_dedup": sql.LINES,
+    "op13_vector_codes": sql.CODES,
 }

@@ -42,6 +42,30 @@ URLS = r"""WITH h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr
   b AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(kind, length(rh || rp)) AS own FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
   SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)"""
 
+#: Distinct words at one edit: one is the other without a code point, or both without the same place are equal. crc32 is a fold over the bytes (two for each letter beyond ASCII).
+SPELLING = rf"""WITH RECURSIVE cr(i, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM cr WHERE k < 8), tb AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM cr WHERE k = 8),
+  r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents), o AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+  h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM o, tb),
+  d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h), v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+  x AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+  p AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON less = v.word UNION SELECT v.word, x.word FROM x JOIN v ON less = v.word),
+  q AS (SELECT p.word, count(*) AS n_near, min({{'l': -v.n, 'near': near}}) AS best FROM p JOIN v ON near = v.word GROUP BY 1),
+  f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.l >= 5 * n THEN best.near END AS form, CASE WHEN -best.l >= 5 * n THEN -best.l END AS form_n FROM v LEFT JOIN q USING (word)),
+  u(word, root) AS (SELECT word, word FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON u.root = f.word WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, u.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN u USING (word) JOIN f z ON u.root = z.word WHERE z.form IS NULL"""
+
+LINES = f"""WITH l AS (SELECT doc_id, i, lines[i] AS line, trim(translate(lines[i], {_AZ}), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+  c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < last) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id >= last), '')) AS kept_sha256 FROM l LEFT JOIN c USING (k) GROUP BY 1"""
+
+_NEAREST = "SELECT r, part, v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, p.part, v, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {book} b ON p.part = b.part) GROUP BY 1, 2, 3"
+_MOVED = "b{i} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{before} b LEFT JOIN (SELECT part, entry, list(c ORDER BY pos) AS c FROM (SELECT part, entry, pos, CAST(floor(sum(v[pos]) / count(*)) AS BIGINT) AS c FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS pos FROM ({nearest})) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, entry))"
+CODES = f"""WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS v FROM e, range(8) t(part)), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS c FROM p WHERE r <= 16),
+  {", ".join(_MOVED.format(i=i, before=i - 1, nearest=_NEAREST.format(book=f"b{i - 1}")) for i in range(1, 7))},
+  o AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({_NEAREST.format(book="b6")}) GROUP BY 1)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256 FROM e JOIN o USING (r)"""
+
 
 def _rule(order: int) -> str:
     rule = (BASE + MORE)[order]
