@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.normalize import temporal_parts
 from caseloom.functions.scores import fallback_lead_score, priority_band, weak_lead_label
+from caseloom.operators.graph import cut
+from caseloom.operators.ranking import exact_quantile
 
 
 def unified_events(*sources: tuple[DataFrame, dict[str, str]]) -> DataFrame:
@@ -87,23 +89,25 @@ def location_stats(features: DataFrame, colocations: DataFrame) -> DataFrame:
 
 def hotspots(stats: DataFrame, quantile: float = 0.85) -> DataFrame:
     """stats with hotspot_score .3 visits + .4 people + .3 co-locations and whether it reaches its exact quantile."""
-    scored = stats.withColumn("hotspot_score", F.round(0.3 * F.col("total_visits") + 0.4 * F.col("unique_people") + 0.3 * F.col("co_locations"), 6))
-    cut = scored.agg(F.percentile("hotspot_score", F.lit(quantile)).alias("cut"))
-    return scored.join(F.broadcast(cut)).withColumn("is_hotspot", F.col("hotspot_score") >= F.round("cut", 9)).drop("cut")
+    scored = cut(stats.withColumn("hotspot_score", F.round(0.3 * F.col("total_visits") + 0.4 * F.col("unique_people") + 0.3 * F.col("co_locations"), 6)))
+    least = F.lit(exact_quantile(scored, "hotspot_score", quantile)).cast("double")
+    return scored.withColumn("is_hotspot", F.col("hotspot_score") >= F.round(least, 9))
 
 
 def lead_features(contacts: DataFrame) -> DataFrame:
-    """Per unordered pair of contacts(p1, p2, kind, duration, amount, case_id): counts, sums, sources and guarded means."""
+    """Per unordered pair of contacts(p1, p2, kind (call or transaction), duration, amount, case_id): counts, sums, sources and guarded means."""
     call, money = F.col("kind") == "call", F.col("kind") == "transaction"
     pairs = contacts.where("p1 is not null and p2 is not null and p1 != p2").select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), "kind", "duration", "amount", "case_id")
-    own = pairs.groupBy("p1", "p2").agg(
-        F.count_if(call).alias("communication_frequency"),
-        F.count_if(money).alias("transaction_count"),
+    # Distinct cases are counted in two steps, of sums by case and then of those; kinds by one sum each. So no row is copied for a distinct count.
+    by_case = pairs.groupBy("p1", "p2", "case_id").agg(F.count_if(call).alias("calls"), F.count_if(money).alias("moves"), F.sum("amount").alias("amount"), F.sum("duration").alias("duration"), F.count("*").alias("n"))
+    own = by_case.groupBy("p1", "p2").agg(
+        F.sum("calls").alias("communication_frequency"),
+        F.sum("moves").alias("transaction_count"),
         F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 4).alias("total_amount"),
         F.coalesce(F.sum("duration"), F.lit(0.0)).alias("total_duration"),
-        F.count_distinct("case_id").alias("shared_case_count"),
-        F.count("*").alias("evidence_count"),
-        F.count_distinct("kind").alias("multi_source_support"),
+        F.count("case_id").alias("shared_case_count"),
+        F.sum("n").alias("evidence_count"),
+        ((F.sum("calls") > 0).cast("long") + (F.sum("moves") > 0).cast("long")).alias("multi_source_support"),
     )
     mean = lambda s, n: F.round(F.when(F.col(n) > 0, F.col(s) / F.col(n)).otherwise(0.0), 6)
     return own.withColumns({"average_call_duration": mean("total_duration", "communication_frequency"), "average_amount": mean("total_amount", "transaction_count")}).drop("total_duration")
@@ -111,9 +115,10 @@ def lead_features(contacts: DataFrame) -> DataFrame:
 
 def labelled_leads(features: DataFrame, quantile: float = 0.9) -> DataFrame:
     """features with the weak label is_lead, from exact quantiles of frequency and amount."""
-    cuts = features.agg(F.percentile("communication_frequency", F.lit(quantile)).alias("hf"), F.percentile("total_amount", F.lit(quantile)).alias("ha"))
-    label = weak_lead_label(*(F.col(c) for c in ("multi_source_support", "communication_frequency", "total_amount", "shared_case_count")), F.round("hf", 9), F.round("ha", 9))
-    return features.join(F.broadcast(cuts)).withColumn("is_lead", label).drop("hf", "ha")
+    features = cut(features)
+    often, much = (F.round(F.lit(exact_quantile(features, c, quantile)).cast("double"), 9) for c in ("communication_frequency", "total_amount"))
+    label = weak_lead_label(*(F.col(c) for c in ("multi_source_support", "communication_frequency", "total_amount", "shared_case_count")), often, much)
+    return features.withColumn("is_lead", label)
 
 
 def ranked_leads(features: DataFrame, least: float = 0.4, person: str | None = None) -> DataFrame:

@@ -9,21 +9,17 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
-from collections import defaultdict, deque
-from collections.abc import Iterator
+import uuid
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Edges up to which one task may hold the whole graph; beyond it, kernels run as joins.
-IN_MEMORY_EDGES = 500_000
 _TMP: list[tempfile.TemporaryDirectory] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder. Where none is set, a local session gets a temporary one; on a cluster, where that would split the data over machines, it is an error."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_dir(context) -> str:
+    """The shared folder. Where none is set, a local session gets a temporary one; on a cluster, where that would split the data over machines, it is an error."""
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = context.getConf().get("spark.checkpoint.dir")
         if not found and not re.match(r"local(\[|$)", context.master):
@@ -33,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(_TMP[-1].cleanup)
             found = _TMP[-1].name
         context.setCheckpointDir(found)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_checkpoint_dir(spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
@@ -77,7 +84,9 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def community_ids(labels: DataFrame) -> DataFrame:
     """labels(id, component) with community_id 1, 2, ... by size, then by smallest member."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    numbered = sizes.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    from caseloom.operators.ranking import ranked
+
+    numbered = ranked(sizes, F.desc("size"), "component", name="community_id")
     return labels.join(numbered.select("component", "community_id"), "component")
 
 
@@ -171,82 +180,79 @@ def diameter_estimate(vertices: DataFrame, edges: DataFrame, sources: int = 15)
     return distances(vertices, edges, vertices.orderBy("id").limit(sources)).agg(F.max("dist").alias("diameter_estimate"))
 
 
-def _dependencies(sources: list, near: dict) -> dict:
-    """Sum over sources of the share of shortest paths that pass each vertex."""
-    total: dict = defaultdict(float)
-    for s in sources:
-        dist, sigma, order, before = {s: 0}, defaultdict(float, {s: 1.0}), [], defaultdict(list)
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near.get(v, ()):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    before[w].append(v)
-        share: dict = defaultdict(float)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += sigma[v] / sigma[w] * (1 + share[w])
-            if w != s:
-                total[w] += share[w]
-    return total
-
-
-def betweenness(vertices: DataFrame, edges: DataFrame, in_memory: int = IN_MEMORY_EDGES) -> DataFrame:
-    """(id, betweenness): unweighted, over (N - 1)(N - 2), 6 digits.
-
-    A graph of at most in_memory neighbour pairs (checked) goes to every task, which sweeps its share of sources. A
-    larger one is swept for all sources at once by joins, level by level: forward for path counts, backward for shares.
+#: Sources whose numbers stand in one row of betweenness(), and rows of a vertex in a pass.
+SOURCES, ROWS = 16, 128
+
+
+def betweenness(vertices: DataFrame, edges: DataFrame, sources: int = SOURCES, rows: int = ROWS) -> DataFrame:
+    """(id, betweenness): the share of shortest paths through a vertex, unweighted, over (N - 1)(N - 2), 6 digits.
+
+    Breadth first for `sources` (at most 62) sources in a row: a column for each, with the number of shortest paths to the vertex, and
+    a bit for each that has reached it. A level forward is one join with the neighbours and one sum by vertex; a level
+    back, the same with each vertex's (1 + share) / paths, and a join with the paths of the level before. Sums are partial before
+    every exchange. A pass takes `rows` rows for each vertex, so what is kept of it is bounded by the vertices, and what
+    is added up of it is a number a vertex.
     """
-    near = cut(neighbours(edges))
+    near = cut(neighbours(edges).repartition("id"))
+    own = cut(near.select("id").distinct().withColumn("row", F.monotonically_increasing_id()))
     n = vertices.count()
     factor = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if near.count() <= in_memory:
-        table: dict = defaultdict(list)
-        for r in near.orderBy("id", "other").toLocalIterator():
-            table[r["id"]].append(r["other"])
-        table = dict(table)
-
-        def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                total = _dependencies(list(part["id"]), table)
-                yield pd.DataFrame({"id": list(total), "share": list(total.values())})
-
-        kind = dict(vertices.dtypes)["id"]
-        shares = near.select("id").distinct().mapInPandas(sweep, f"id {kind}, share double").groupBy("id").agg(F.sum("share").alias("share"))
-    else:
-        reach = cut(distances(vertices, edges, paths=True))
-        deepest = reach.agg(F.max("dist")).first()[0] or 0
-        delta = reach.where(F.col("dist") == deepest).select("source", "id", "dist", "sigma", F.lit(0.0).alias("share"))
-        every = delta = cut(delta)
-        for level in range(deepest - 1, -1, -1):
-            passed = delta.join(near, "id").select("source", F.col("other").alias("id"), ((1 + F.col("share")) / F.col("sigma")).alias("part"))
-            here = reach.where(F.col("dist") == level).join(passed.groupBy("source", "id").agg(F.sum("part").alias("part")), ["source", "id"], "left")
-            delta = cut(here.select("source", "id", "dist", "sigma", F.coalesce(F.col("part") * F.col("sigma"), F.lit(0.0)).alias("share")))
-            every = every.union(delta)
-        shares = every.where("source != id").groupBy("id").agg(F.sum("share").alias("share"))
-    return vertices.select("id").join(shares, "id", "left").select("id", F.round(F.coalesce("share", F.lit(0.0)) * factor, 6).alias("betweenness"))
+    place = own.select("id", F.floor(F.col("row") / sources).alias("block"), F.pmod("row", F.lit(sources)).cast("int").alias("bit"))
+    blocks = place.select("block").distinct()
+    place = cut(place.join(blocks.withColumn("pass", F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks.count() // rows))))), "block"))
+    paths, gained = [f"p{i}" for i in range(sources)], [f"d{i}" for i in range(sources)]
+    bits = sum((F.when(F.col(c) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(paths)), F.lit(0).cast("long"))
+    shares = []
+    for (which,) in place.select("pass").distinct().orderBy("pass").collect():
+        start = place.where(F.col("pass") == which).select("block", "id", *(F.when(F.col("bit") == i, 1.0).otherwise(0.0).alias(c) for i, c in enumerate(paths)))
+        levels = [cut(start)]
+        seen = levels[0].select("block", "id", bits.alias("seen"))
+        while True:
+            met = levels[-1].join(near, "id").groupBy("block", F.col("other").alias("id")).agg(*(F.sum(c).alias(c) for c in paths))
+            met = met.join(seen, ["block", "id"], "left").select("block", "id", *(F.when(F.coalesce("seen", F.lit(0)).bitwiseAND(F.lit(1 << i)) == 0, F.col(c)).otherwise(0.0).alias(c) for i, c in enumerate(paths)))
+            front = cut(met.where(" or ".join(f"{c} > 0" for c in paths)))
+            if front.isEmpty():
+                break
+            levels.append(front)
+            seen = cut(seen.union(front.select("block", "id", bits.alias("seen"))).groupBy("block", "id").agg(F.bit_or("seen").alias("seen")))
+        below = None
+        for level in levels[:0:-1]:
+            if below is None:
+                here = level.select("*", *(F.lit(0.0).alias(c) for c in gained))
+            else:
+                each = [F.when(F.col(p) > 0, (1 + F.col(d)) / F.col(p)).otherwise(0.0).alias(d) for p, d in zip(paths, gained, strict=True)]
+                passed = below.select("block", "id", *each).join(near, "id").groupBy("block", F.col("other").alias("id")).agg(*(F.sum(d).alias(d) for d in gained))
+                here = level.join(passed, ["block", "id"], "left").select("block", "id", *paths, *(F.coalesce(F.col(p) * F.col(d), F.lit(0.0)).alias(d) for p, d in zip(paths, gained, strict=True)))
+                here = cut(here)
+                shares.append(cut(here.groupBy("id").agg(F.sum(sum((F.col(d) for d in gained[1:]), F.col(gained[0]))).alias("share"))))
+            below = here
+    if not shares:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"))
+    total = reduce(DataFrame.union, shares).groupBy("id").agg(F.sum("share").alias("share"))
+    return vertices.select("id").join(total, "id", "left").select("id", F.round(F.coalesce("share", F.lit(0.0)) * factor, 6).alias("betweenness"))
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85, digits: int = 4) -> DataFrame:
-    """(id, pagerank): undirected, a fixed number of rounds; vertices without neighbours share their rank among all."""
+    """(id, pagerank): undirected, a fixed number of rounds; vertices without neighbours share their rank among all.
+
+    Nothing is sent to a vertex without neighbours, so all of them have one rank, a number that the driver carries on. The
+    others each get something, so a round is one join of the neighbours, dealt out by vertex once, with the ranks, and
+    one sum; a round's ranks are read once.
+    """
     near = neighbours(edges)
     count = near.groupBy("id").agg(F.count("*").alias("k"))
-    near = cut(near.join(count, "id").select("id", "other", "k"))
+    near = cut(near.join(count, "id").select("id", "other", "k").repartition("id"))
     n = vertices.count()
-    base = vertices.select("id").join(count, "id", "left")
-    rank = cut(base.select("id", F.col("k").isNull().alias("sink"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    linked = near.select("id").distinct()
+    alone, lone = n - linked.count(), 1 / max(n, 1)
+    rank = linked.select("id", F.lit(lone).alias("rank"))
     for i in range(iterations):
-        sent = near.join(rank, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.drop("rank").join(sent, "id", "left").join(F.broadcast(lost)).select("id", "sink", ((1 - damping + damping * F.col("lost")) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % 4 == 3:
+        base = (1 - damping + damping * alone * lone) / max(n, 1)
+        rank = near.join(rank, "id").groupBy(F.col("other").alias("id")).agg((base + damping * F.sum(F.col("rank") / F.col("k"))).alias("rank"))
+        lone = base
+        if i % 5 == 4:
             rank = cut(rank)
-    return rank.select("id", F.round("rank", digits).alias("pagerank"))
+    return vertices.select("id").join(rank, "id", "left").select("id", F.round(F.coalesce("rank", F.lit(lone)), digits).alias("pagerank"))
 
 
 def importance(degree: DataFrame, between: DataFrame, close: DataFrame, rank: DataFrame) -> DataFrame:
@@ -254,7 +260,9 @@ def importance(degree: DataFrame, between: DataFrame, close: DataFrame, rank: Da
     n = degree.agg(F.count("*").alias("nodes"))
     out = degree.join(between, "id").join(close, "id").join(rank, "id").join(F.broadcast(n))
     score = F.round(3.5 * F.col("degree_centrality") + 3.5 * F.col("betweenness") + 1.5 * F.col("closeness") + 1.5 * F.col("pagerank") * F.col("nodes"), 2)
-    return out.withColumn("importance", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "id"))).drop("nodes")
+    from caseloom.operators.ranking import ranked
+
+    return ranked(out.withColumn("importance", score).drop("nodes"), F.desc("importance"), "id")
 
 
 def importance_reason(metrics: DataFrame) -> DataFrame:

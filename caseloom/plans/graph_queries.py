@@ -105,7 +105,27 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(vertices(spark, sf_dir), edges(spark, sf_dir), digits=8)
 
 
-@query()
+#: Shortest paths forward and shares back, by level; no vertex of the network is further than LEVELS from another (the SQL returns nothing if one is).
+LEVELS = 6
+_FORWARD = "f{l} AS MATERIALIZED (SELECT f.source, nb.other AS id, sum(f.n) AS n FROM f{k} f JOIN nb ON f.id = nb.id JOIN dt ON dt.source = f.source AND dt.id = nb.other AND dt.dist = {l} GROUP BY 1, 2)"
+_BACK = "g{l} AS MATERIALIZED (SELECT f.source, f.id, f.n, f.n * coalesce(h.part, 0) AS share FROM f{l} f LEFT JOIN (SELECT g.source, nb.other AS id, sum((1 + g.share) / g.n) AS part FROM g{k} g JOIN nb ON g.id = nb.id GROUP BY 1, 2) h ON f.source = h.source AND f.id = h.id)"
+_BETWEEN = f"""{_KEYED.replace('dt(source, id, dist)', 'dq(source, id, dist)').replace('dt.', 'dq.').replace('FROM dt', 'FROM dq').replace('recurring.dt', 'recurring.dq')}, dt AS MATERIALIZED (SELECT * FROM dq), f0 AS (SELECT id AS source, id, CAST(1 AS DOUBLE) AS n FROM vs), {", ".join(_FORWARD.format(l=i, k=i - 1) for i in range(1, LEVELS + 1))},
+  g{LEVELS} AS (SELECT source, id, n, CAST(0 AS DOUBLE) AS share FROM f{LEVELS}), {", ".join(_BACK.format(l=i, k=i + 1) for i in range(LEVELS - 1, 0, -1))}, bw AS MATERIALIZED (SELECT vs.id, round(coalesce(s, 0) / ((SELECT count(*) FROM vs) - 1) / ((SELECT count(*) FROM vs) - 2), 6) AS betweenness FROM vs LEFT JOIN (SELECT id, sum(share) AS s FROM ({" UNION ALL ".join(f"SELECT id, share FROM g{i}" for i in range(1, LEVELS + 1))}) GROUP BY 1) USING (id) WHERE (SELECT max(dist) FROM dt) <= {LEVELS})"""
+_RANKS = f"kk AS (SELECT id, count(*) AS k FROM nb GROUP BY 1), r0 AS (SELECT id, CAST(1.0 AS DOUBLE) / (SELECT count(*) FROM vs) AS rank FROM vs), {', '.join(_STEP.format(k=i, j=i - 1) for i in range(1, 41))}"
+_METRICS = f"""{BASE}, {_CC}, {_BETWEEN}, {_RANKS}, cn AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) AS community_id FROM lb GROUP BY 1),
+  mt AS (SELECT vs.id, coalesce(d.n, 0) AS degree, coalesce(e.n, 0) AS edge_count, round(coalesce(d.n, 0) / ((SELECT count(*) FROM vs) - 1), 4) AS degree_centrality, betweenness, coalesce(round(r / ((SELECT count(*) FROM vs) - 1) * (r / s), 4), 0) AS closeness, round(rank, 4) AS pagerank, lb.component, community_id
+    FROM vs JOIN bw USING (id) JOIN r40 USING (id) JOIN lb USING (id) JOIN cn USING (component) LEFT JOIN (SELECT id, count(*) AS n FROM nb GROUP BY 1) d USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src AS id FROM es UNION ALL SELECT dst FROM es) GROUP BY 1) e USING (id) LEFT JOIN (SELECT source AS id, count(*) AS r, sum(dist) AS s FROM dt WHERE dist > 0 GROUP BY 1) c USING (id)),
+  im AS (SELECT *, round(3.5::DOUBLE * degree_centrality + 3.5::DOUBLE * betweenness + 1.5::DOUBLE * closeness + 1.5::DOUBLE * pagerank * (SELECT count(*) FROM vs), 2) AS importance FROM mt), ik AS (SELECT *, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM im)"""
+
+
+@query(f"WITH RECURSIVE {BASE}, {_BETWEEN} SELECT id, betweenness FROM bw")
+def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4."""
+    return G.betweenness(vertices(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_METRICS} SELECT id, degree, edge_count, degree_centrality, betweenness, closeness, pagerank, importance, rank, community_id, component, concat_ws(' ', CASE WHEN degree >= 4 THEN 'High direct connectivity with ' || degree || ' direct links (Hub Entity).' WHEN degree > 1 THEN 'Moderate connectivity with ' || degree || ' links in Cluster #' || community_id || '.'
+  WHEN degree = 1 THEN 'Single peripheral relationship in Cluster #' || community_id || '.' ELSE 'Isolated node with no active recorded relationships.' END, CASE WHEN betweenness >= 0.15 THEN 'Critical network bridge routing high-frequency multi-hop interactions.' WHEN betweenness > 0.05 THEN 'Intermediary broker connecting multiple sub-graphs.' END, CASE WHEN pagerank > 0.1 THEN 'High PageRank influence propagated from neighboring central nodes.' END) AS reason FROM ik""")
 def graph_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, G6, G11, G13, W1."""
     v, e = vertices(spark, sf_dir), edges(spark, sf_dir)
@@ -113,7 +133,9 @@ def graph_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.importance_reason(out.join(G.community_ids(G.components(v, e)), "id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_METRICS}, b AS (SELECT component, count(*) AS n FROM lb GROUP BY 1), i AS (SELECT component, count(*) AS m FROM es JOIN lb ON src = id WHERE src <> dst GROUP BY 1)
+  SELECT type, id, severity FROM (SELECT 'HUB_ENTITY' AS type, id, CASE WHEN degree >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM ik WHERE degree >= 3 ORDER BY rank LIMIT 3) UNION ALL SELECT * FROM (SELECT 'BRIDGE_NODE', id, 'HIGH' FROM ik WHERE betweenness > 0.1 AND degree >= 2 ORDER BY rank LIMIT 3)
+  UNION ALL SELECT 'DENSE_CELL', component, 'MEDIUM' FROM b LEFT JOIN i USING (component) WHERE n >= 3 AND round(coalesce(m, 0) * 2 / (n * (n - 1)), 3) >= 0.5""")
 def graph_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12, W2, on betweenness."""
     v, e = vertices(spark, sf_dir), edges(spark, sf_dir)

@@ -13,6 +13,7 @@ from caseloom.operators import reports as P
 from caseloom.operators import resolution as E
 from caseloom.operators import text as T
 from caseloom.plans import views as V
+from caseloom.plans.activity_queries import _STATS
 from caseloom.plans.function_queries import _SOUNDEX, _SQUEEZE, NAMES_SQL, names
 from caseloom.plans.graph_queries import edges
 from caseloom.registry import load, query
@@ -340,12 +341,19 @@ def behaviour_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.anomalies(f, ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy"), key=("person_id", "location_id")).select("person_id", "location_id", "anomaly_score", "anomaly_level", "is_anomaly")
 
 
-@query()
+_PLACE = ("total_visits", "unique_people", "average_night_ratio", "average_days", "co_locations")
+_SCALED = ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END AS x{i}" for i, c in enumerate(_PLACE))
+
+
+@query(f"""WITH RECURSIVE {_STATS}, z AS MATERIALIZED (SELECT location_id AS id, {_SCALED} FROM s), nr AS MATERIALIZED (SELECT a.id, b.id AS other FROM z a JOIN z b ON {" + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(_PLACE)))} <= 0.5::DOUBLE * 0.5::DOUBLE + 1e-12),
+  ce AS (SELECT id FROM nr GROUP BY 1 HAVING count(*) >= 3), ln AS (SELECT id, other FROM nr WHERE id IN (FROM ce) AND other IN (FROM ce)), rc(id, c) AS (SELECT id, id FROM ce UNION SELECT ln.other, rc.c FROM rc JOIN ln USING (id)), cl AS (SELECT id, min(c) AS c FROM rc GROUP BY 1),
+  fd AS (SELECT id, c, true AS is_core FROM cl UNION ALL SELECT b.id, cl.c, false FROM (SELECT id, min(other) AS other FROM nr WHERE id NOT IN (FROM ce) AND other IN (FROM ce) GROUP BY 1) b JOIN cl ON b.other = cl.id), nu AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS cluster FROM cl GROUP BY 1)
+  SELECT z.id AS location_id, coalesce(cluster, -1) AS cluster, coalesce(is_core, false) AS is_core FROM z LEFT JOIN fd USING (id) LEFT JOIN nu USING (c)""")
 def location_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2."""
     e = V.events(spark, sf_dir)
     stats = B.location_stats(B.person_location_features(e), B.colocation_features(e))
-    return K.density_clusters(stats, "location_id", ("total_visits", "unique_people", "average_night_ratio", "average_days", "co_locations"))
+    return K.density_clusters(stats, "location_id", _PLACE)
 
 
 @query()

@@ -157,6 +157,14 @@ def injected_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.injected_metrics(K.anomalies(_with_injected(spark, sf_dir), names, key=("person_id", "location_id")), ("person_id", "location_id"))
 
 
+@query()
+def injected_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U7, A27 of the forest: how many rows are flagged that were moved away from the mean by 1 to 8 standard deviations, and of the others."""
+    names = ("visit_count", "unique_days", "unique_event_types", "unique_cases", "night_visit_ratio", "weekend_visit_ratio", "duration_days", "visit_prob", "location_entropy")
+    rows = K.shifted(B.person_location_features(V.events(spark, sf_dir)), names, ("person_id", "location_id"), (1, 2, 3, 4, 6, 8))
+    return K.flagged_by_distance(K.anomalies(rows, names, key=("distance", "person_id", "location_id")))
+
+
 @query("""SELECT row_number() OVER (ORDER BY c_custkey) AS row_index, CAST(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_nationkey': c_nationkey}) AS VARCHAR) AS raw,
   CAST(to_json({'c_custkey': CAST(c_custkey AS VARCHAR), 'c_mktsegment': trim(c_mktsegment), 'c_nationkey': CAST(c_nationkey AS VARCHAR)}) AS VARCHAR) AS normalized FROM customer""")
 def ingested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

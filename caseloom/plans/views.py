@@ -32,6 +32,15 @@ CONTACTS_SQL = """ct AS (SELECT 'C' || o_custkey AS p1, 'S' || l_suppkey AS p2,
   UNION ALL SELECT 'S' || l_suppkey, 'C' || o_custkey, 'transaction', NULL, round(l_extendedprice * (1 - l_discount), 4), o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')"""
 
 
+def contact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p1, p2, source, record_id): the records that contacts() has of each unordered pair."""
+    o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    p1, p2 = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    record = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
+    sources = F.explode(F.when(F.col("l_returnflag") == "R", F.array(F.lit("calls"), F.lit("transactions"))).otherwise(F.array(F.lit("calls"))))
+    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.least(p1, p2).alias("p1"), F.greatest(p1, p2).alias("p2"), sources.alias("source"), record.alias("record_id"))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, opened, status, category, risk, place): orders with their customers' places."""
     o, c, n, r = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))

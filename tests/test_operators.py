@@ -2,12 +2,17 @@
 
 import datetime
 import inspect
+import itertools
+import math
+import random
+from collections import Counter
 from unittest.mock import MagicMock
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import behaviour, graph, ledger, ml, places, records, resolution, temporal, text
+from caseloom.operators import behaviour, explain, graph, ledger, ml, places, ranking, records, resolution, temporal, text
 from caseloom.sources import files
 
 
@@ -24,7 +29,6 @@ def as_dict(df, value):
 def test_path_and_isolate(spark):
     v, e = network(spark, [("a", "b"), ("b", "c"), ("b", "c")], extra=["z"])
     assert as_dict(graph.betweenness(v, e), "betweenness") == {"a": 0, "b": pytest.approx(2 / 6, abs=1e-6), "c": 0, "z": 0}
-    assert as_dict(graph.betweenness(v, e, in_memory=0), "betweenness") == as_dict(graph.betweenness(v, e), "betweenness")
     assert as_dict(graph.closeness(v, e), "closeness") == {"a": round(2 / 3 * 2 / 3, 4), "b": round(2 / 3, 4), "c": round(2 / 3 * 2 / 3, 4), "z": 0}
     assert as_dict(graph.components(v, e), "component") == {"a": "a", "b": "a", "c": "a", "z": "z"}
     assert as_dict(graph.degrees(v, e), "edge_count") == {"a": 1, "b": 3, "c": 2, "z": 0}
@@ -34,9 +38,115 @@ def test_path_and_isolate(spark):
     assert graph.shortest_path(e, "a", "c").first()["path"] == ["a", "b", "c"] and graph.shortest_path(e, "a", "z").count() == 0
 
 
-def test_betweenness_of_a_cycle_matches_both_ways(spark):
-    v, e = network(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e")])
-    assert as_dict(graph.betweenness(v, e, in_memory=0), "betweenness") == as_dict(graph.betweenness(v, e), "betweenness")
+def betweenness_brute(ids, pairs):
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} - {i} for i in ids}
+    total = dict.fromkeys(ids, 0.0)
+
+    def reach(s):
+        dist, ways, front = {s: 0}, {s: 1}, [s]
+        while front:
+            after = {}
+            for v in front:
+                for w in near[v]:
+                    if w not in dist or w in after:
+                        after[w] = after.get(w, 0) + ways[v]
+            dist |= {w: dist[front[0]] + 1 for w in after}
+            ways |= after
+            front = list(after)
+        return dist, ways
+
+    found = {s: reach(s) for s in ids}
+    for s in ids:
+        for t in found[s][0]:
+            for v in ids:
+                if v not in (s, t) and v in found[s][0] and t in found[v][0] and found[s][0][v] + found[v][0][t] == found[s][0][t]:
+                    total[v] += found[s][1][v] * found[v][1][t] / found[s][1][t]
+    return {v: round(x / ((len(ids) - 1) * (len(ids) - 2)), 6) for v, x in total.items()}
+
+
+def test_betweenness_against_pairs_of_ends(spark):
+    rng = random.Random(6)
+    ids = [f"v{i}" for i in range(30)]
+    pairs = [tuple(rng.sample(ids[:22], 2)) for _ in range(34)] + [("v24", "v25"), ("v25", "v26"), ("v26", "v26"), ("v27", "v28")]
+    v, e = network(spark, pairs, extra=ids)
+    want = pytest.approx(betweenness_brute(ids, pairs), abs=2e-6)
+    assert as_dict(graph.betweenness(v, e), "betweenness") == want
+    assert as_dict(graph.betweenness(v, e, sources=4, rows=3), "betweenness") == want  # several rows a vertex, several passes
+    assert set(as_dict(graph.betweenness(v, e.limit(0)), "betweenness").values()) == {0.0}
+
+
+def test_pagerank_with_vertices_without_neighbours(spark):
+    ids, pairs = [f"v{i}" for i in range(12)], [("v0", "v1"), ("v1", "v2"), ("v2", "v0"), ("v3", "v0"), ("v4", "v5"), ("v4", "v5")]
+    v, e = network(spark, pairs, extra=ids)
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in ids}
+    rank = dict.fromkeys(ids, 1 / 12)
+    for _ in range(7):
+        lost = sum(rank[i] for i in ids if not near[i])
+        rank = {i: 0.15 / 12 + 0.85 * lost / 12 + 0.85 * sum(rank[j] / len(near[j]) for j in near[i]) for i in ids}
+    assert as_dict(graph.pagerank(v, e, iterations=7, digits=10), "pagerank") == pytest.approx(rank, abs=1e-9)
+
+
+def test_ranks_and_exact_quantiles(spark):
+    rng = random.Random(2)
+    for values in ([3.0], [1.0, 1.0, 2.0], [rng.gauss(0, 1e6) for _ in range(500)], [7.0] * 300 + [rng.random() for _ in range(60)], [10.0 ** rng.randrange(-30, 30) for _ in range(80)]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double").cache()
+        for q in (0.0, 0.1, 0.5, 0.85, 1.0):
+            want = rows.where("x is not null and not isnan(x)").agg(F.percentile("x", F.lit(q))).first()[0]
+            assert ranking.exact_quantile(rows, "x", q) == pytest.approx(want, rel=1e-12, abs=0)
+    assert ranking.exact_quantile(rows.limit(0), "x", 0.5) is None
+    rows = spark.createDataFrame([(i, rng.randrange(5)) for i in range(300)], "id int, score int").repartition(7)
+    got = {r["id"]: r["rank"] for r in ranking.ranked(rows, F.desc("score"), "id").collect()}
+    assert got == {r["id"]: k + 1 for k, r in enumerate(sorted(rows.collect(), key=lambda r: (-r["score"], r["id"])))}
+    assert ranking.ranked(rows.limit(0), "id").count() == 0
+
+
+def test_contributions_are_shapley_values(spark):
+    rng = random.Random(5)
+    columns = ("a", "b", "c")
+    rows = spark.createDataFrame([(i, rng.random(), rng.randrange(4) / 4, rng.choice([None, 1.0, 2.0])) for i in range(300)], "id int, a double, b double, c double")
+    rows = rows.withColumn("is_lead", (F.col("a") + F.col("b") * F.coalesce("c", F.lit(0.0)) > 0.9).cast("int"))
+    model = ml.lead_model(rows, columns, iterations=4, depth=3)
+    trees = explain.fitted_trees(model, 3)
+    out = explain.explained(trees, rows, columns)
+    from pyspark.ml.functions import vector_to_array
+
+    margin = {r["id"]: r["m"] for r in model.transform(rows.fillna(0, list(columns))).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    for r in out.collect():
+        assert r["base_margin"] + sum(r["contributions"]) == pytest.approx(margin[r["id"]], abs=1e-9)
+    # The same by all subsets of known features over the trees themselves.
+    fitted = model.stages[-1]
+
+    def nodes(tree):
+        def grow(n):
+            if n.subtreeDepth() == 0:
+                return n.prediction(), n.impurityStats().count()
+            return n.split().featureIndex(), n.split().threshold(), grow(n.leftChild()), grow(n.rightChild()), n.impurityStats().count()
+
+        return grow(tree._call_java("rootNode"))
+
+    grown = [nodes(t) for t in fitted.trees]
+
+    def value(n, x, known):
+        if len(n) == 2:
+            return n[0]
+        f, cut, left, right, cover = n
+        if f in known:
+            return value(left if x[f] <= cut else right, x, known)
+        return (value(left, x, known) * left[-1] + value(right, x, known) * right[-1]) / cover
+
+    def whole(x, known):
+        return sum(w * value(t, x, known) for w, t in zip(fitted.treeWeights, grown, strict=True))
+
+    for r in out.orderBy("id").limit(25).collect():
+        x = [r["a"], r["b"], r["c"] or 0.0]
+        for j in range(3):
+            others = [k for k in range(3) if k != j]
+            want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (whole(x, {*s, j}) - whole(x, set(s))) for n in range(3) for s in itertools.combinations(others, n))
+            assert r["contributions"][j] == pytest.approx(want, abs=1e-9)
+    top = explain.top_factors(out, ("id",), columns, 2).where("id = 0").orderBy("place").collect()
+    first = out.where("id = 0").first()
+    assert [t["feature"] for t in top] == sorted(columns, key=lambda c: (-round(abs(first["contributions"][columns.index(c)]), 9), columns.index(c)))[:2]
+    assert all(t["direction"] == ("positive" if t["contribution"] > 0 else "negative") for t in top)
 
 
 def test_colocation_window_is_inclusive_and_symmetric(spark):
@@ -119,14 +229,73 @@ def test_anomalies_are_drawn_and_cut_over_all_rows(spark):
     out = ml.anomalies(rows, ("a", "b"), trees=8, sample=16).collect()
     flagged = sum(r["is_anomaly"] for r in out)
     assert len(out) == 3000 and 0.045 * 3000 <= flagged <= 0.05 * 3000
-    # A vector that holds a third of the rows holds about a third of what the forest is fitted on.
-    fitted = []
-    fit, ml.IsolationForest.fit = ml.IsolationForest.fit, lambda self, x: fitted.append(x) or fit(self, x)
-    try:
-        ml.anomalies(rows, ("a", "b"), trees=8, sample=64)
-    finally:
-        ml.IsolationForest.fit = fit
-    assert len(fitted[0]) == 512 and 0.2 < (fitted[0] == 7.0).all(axis=1).mean() < 0.45
+    # A vector that holds a third of the rows holds about a third of what the forest is grown on; each tree has rows of its own.
+    for n, trees, size in ((3000, 8, 64), (3000, 30, 256), (100, 4, 256)):
+        drawn = ml.tree_samples(rows.where(F.col("id") < n), n, ("a", "b"), ("id",), trees, size).collect()
+        assert Counter(r["tree"] for r in drawn) == dict.fromkeys(range(trees), min(n, size))
+        assert 0.2 < sum(r["a"] == 7.0 for r in drawn) / len(drawn) < 0.45
+    hot = rows.withColumn("id", F.lit(5))  # rows of one key go together, and no tree gets more than its sample
+    assert all(c <= 64 for c in Counter(r["tree"] for r in ml.tree_samples(hot, 3000, ("a", "b"), ("id",), 8, 64).collect()).values())
+    assert ml.anomalies(hot, ("a", "b"), trees=8, sample=64, key=("id",)).count() == 3000
+
+
+def test_forest_scores_rows_as_its_nodes_say(spark):
+    rng = random.Random(1)
+    x = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)]
+    rows = spark.createDataFrame(x, "id int, a double, b double")
+    forest = ml.grown_forest(ml.tree_samples(rows, 400, ("a", "b"), ("id",), 20, 64), ("a", "b"), 64, 3)
+    assert len(forest.trees) == 20
+
+    def depth(tree, row):
+        at = 0
+        while tree[0][at] >= 0:
+            at = tree[2][at] if row[tree[0][at]] < tree[1][at] else tree[3][at]
+        return tree[1][at]
+
+    usual = 2 * (math.log(63) + 0.5772156649) - 2 * 63 / 64
+    for _, *row in x[:40]:
+        want = 2 ** (-sum(depth(t, row) for t in forest.trees) / 20 / usual)
+        assert forest.score(np.array([row]))[0] == pytest.approx(want, rel=1e-12)
+    made = spark.createDataFrame([(1000 * k + i, k * math.cos(i), k * math.sin(i), k) for k in (2, 4, 6, 8) for i in range(25)], "id int, a double, b double, far int")
+    found = ml.anomalies(rows.withColumn("far", F.lit(0)).unionByName(made), ("a", "b"), contamination=0.2, trees=60, key=("id",))
+    rate = {r["far"]: r["flagged"] for r in found.groupBy("far").agg(F.avg(F.col("is_anomaly").cast("int")).alias("flagged")).collect()}
+    assert rate[0] < 0.1 and rate[8] > 0.9 and rate[2] <= rate[4] + 0.1 <= rate[6] + 0.2
+
+
+def clusters_brute(rows, eps, least):
+    cols = list(zip(*(r[1:] for r in rows), strict=True))
+    mean = [sum(c) / len(c) for c in cols]
+    dev = [math.sqrt(sum((v - m) ** 2 for v in c) / len(c)) or 1.0 for c, m in zip(cols, mean, strict=True)]
+    x = {r[0]: [(v - m) / s for v, m, s in zip(r[1:], mean, dev, strict=True)] for r in rows}
+    near = {i: [j for j in x if sum((a - b) ** 2 for a, b in zip(x[i], x[j], strict=True)) <= eps * eps + 1e-12] for i in x}
+    core = {i for i in x if len(near[i]) >= least}
+    label = {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            j = todo.pop()
+            if j not in label:
+                label[j] = i
+                todo += [k for k in near[j] if k in core]
+    number = {c: n for n, c in enumerate(sorted(set(label.values())))}
+    return {i: (number[label[i]], True) if i in core else (number[label[min(k for k in near[i] if k in core)]], False) if any(k in core for k in near[i]) else (-1, False) for i in x}
+
+
+@pytest.mark.parametrize(("d", "eps", "least"), [(1, 0.1, 3), (2, 0.25, 3), (2, 0.25, 6), (3, 0.5, 4), (5, 0.9, 3)])
+def test_density_clusters_against_all_pairs(spark, d, eps, least):
+    rng = random.Random(d * 10 + least)
+    names = [f"f{i}" for i in range(d)]
+    centres = [[rng.uniform(-3, 3) for _ in names] for _ in range(5)]
+    rows = [(i, *(v + rng.gauss(0, rng.choice([0.05, 0.4])) for v in centres[i % 5])) for i in range(140)] + [(500 + i, *(rng.uniform(-4, 4) for _ in names)) for i in range(30)]
+    rows += [(900 + i, *rows[3][1:]) for i in range(12)]
+    got = ml.density_clusters(spark.createDataFrame(rows, ", ".join(["id int", *(f"{n} double" for n in names)])), "id", names, eps, least)
+    assert {r["id"]: (r["cluster"], r["is_core"]) for r in got.collect()} == clusters_brute(rows, eps, least)
+
+
+def test_density_clusters_of_a_crowded_cell(spark):
+    rows = spark.range(100_000).selectExpr("id", "id % 1000 * 1e-7 as a", "id % 7 * 1e-7 as b").union(spark.createDataFrame([(200_000, 9.0, 9.0), (200_001, 9.0, 9.0), (200_002, -9.0, 9.0)], "id long, a double, b double"))
+    got = {(r["cluster"], r["is_core"]): r["n"] for r in ml.density_clusters(rows, "id", ("a", "b"), eps=0.5).groupBy("cluster", "is_core").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, True): 100_000, (-1, False): 3}
 
 
 def test_models_are_registered_with_the_production_settings(monkeypatch):
