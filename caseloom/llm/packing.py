@@ -73,46 +73,66 @@ def non_negative_least_squares(forms: np.ndarray, counts: np.ndarray, rounds: in
     return out
 
 
+def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, number of such sequences) by best fit, longest pieces first, for all pieces of a length at a time.
+
+    A piece goes to the sequence with the least room that holds it; that sequence then has the least room again, so each
+    takes as many pieces of the length as fit before the next one is looked at.
+    """
+    size, room = len(counts) - 1, defaultdict(list)
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        for free in [f for f in sorted(room) if f >= length]:
+            own, each = room.pop(free), free // length
+            while own and n:
+                form, m = own.pop()
+                full = min(m, n // each)
+                if full:
+                    room[free - each * length].append(((*form, *(length,) * each), full))
+                    n -= full * each
+                    m -= full
+                if m and n:  # fewer pieces are left than one sequence takes
+                    room[free - n * length].append(((*form, *(length,) * n), 1))
+                    m, n = m - 1, 0
+                if m:
+                    own.append((form, m))
+            if own:
+                room[free] += own
+            if not n:
+                break
+        each = size // length
+        if n >= each:
+            room[size - each * length].append(((length,) * each, n // each))
+        if n % each:
+            room[size - n % each * length].append(((length,) * (n % each), 1))
+    return [x for own in room.values() for x in own]
+
+
 def plan(counts: np.ndarray, depth: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) that use up counts[1:] exactly; no sequence is longer than len(counts) - 1."""
-    size, left, out = len(counts) - 1, counts.astype(np.int64).copy(), []
-    if left[size]:
-        out.append(((size,), int(left[size])))
-        left[size] = 0
-    if left.any():
-        forms = patterns(size, depth)
-        x = non_negative_least_squares(forms, left.astype(float))
+    """(lengths in a sequence, number of such sequences) that use up counts[1:] exactly; no sequence is longer than len(counts) - 1.
+
+    Patterns that fill a sequence take their fitted shares, rounded, and best fit packs what is left. Of the shares rounded to the
+    nearest number, rounded down, and none at all, those stay that need the fewest sequences: never more than best fit alone.
+    """
+    size, counts = len(counts) - 1, counts.astype(np.int64)
+    forms = patterns(size, depth) if counts.any() else np.zeros((0, 3), int)
+    x = non_negative_least_squares(forms, counts.astype(float))
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for rounded in (np.rint(x), np.floor(x), np.zeros(len(x))):
+        left, out = counts.copy(), []
         for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
-                break
+            if not rounded[i]:
+                continue
             form = tuple(int(v) for v in forms[i] if v)
-            n = min(int(np.rint(x[i])), *(left[v] // form.count(v) for v in form))
+            n = min(int(rounded[i]), *(left[v] // form.count(v) for v in form))
             if n > 0:
                 out.append((form, int(n)))
                 for v in form:
                     left[v] -= n
-    # Residuals: best fit, longest first, for all pieces of a length at a time.
-    room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
-    for length in np.flatnonzero(left)[::-1].tolist():
-        n = int(left[length])
-        for free in range(length, size + 1):
-            while n and room.get(free):
-                form, m = room[free].pop()
-                k = min(n, m)
-                if m > k:
-                    room[free].append((form, m - k))
-                room[free - length].append(((*form, length), k))
-                n -= k
-            if not n:
-                break
-        if n:
-            each = size // length
-            if n >= each:
-                room[size - each * length].append(((length,) * each, n // each))
-            if n % each:
-                room[size - n % each * length].append(((length,) * (n % each), 1))
-    out += [x for own in room.values() for x in own]
-    return out
+        out += best_fit(left)
+        if best is None or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
+    return best
 
 
 def places(counts: np.ndarray, depth: int = 3) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,10 +195,9 @@ def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, depth: int = 3, t
     number = min(SHARES_MOST, max(SHARES_LEAST, -(-table.count() // PIECES_EACH)))
     table = table.withColumn("share", F.pmod("dealt", F.lit(number)).cast("int")).drop("dealt")
     below = table.where(F.col("length") < size)
-    shares = below.groupBy("length", "share").count().collect()
+    shares = below.groupBy("length", "share").count().toArrow()
     counts = np.zeros((size + 1, number), np.int64)
-    for r in shares:
-        counts[r["length"], r["share"]] = r["count"]
+    counts[shares.column("length").to_numpy(), shares.column("share").to_numpy()] = shares.column("count").to_numpy()
     before = np.cumsum(counts, axis=1) - counts
     slots = places(counts.sum(axis=1), depth)
 

@@ -1,5 +1,6 @@
 """Substring dedup, archives, vectors, packing, URL filters and the pipeline against brute force on small tables."""
 
+import bisect
 import gzip
 import hashlib
 import random
@@ -167,6 +168,33 @@ def test_packing_is_gapless_and_whole(spark):
     assert packing.packed(frame.limit(0)).count() == 0
 
 
+def best_fit_decreasing(lengths, size):
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        n += i == len(rooms)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else size) - x)
+    return n
+
+
+def test_plan_needs_no_more_sequences_than_best_fit_decreasing():
+    rng = np.random.default_rng(9)
+    cases = [np.array([500] + [50] * 10), *(rng.integers(1, k + 1, 3000) for k in (30, 100, 200, 300, 1024)), np.clip(np.exp(rng.normal(5.5, 1, 8000)).astype(int), 1, 1024), *(rng.integers(1, 1025, n) for n in (1, 7, 40))]
+    needed = []
+    for lengths in cases:
+        own = packing.plan(np.bincount(lengths, minlength=1025))
+        used = np.zeros(1025, int)
+        for form, n in own:
+            assert sum(form) <= 1024
+            np.add.at(used, list(form), n)
+        assert (used == np.bincount(lengths, minlength=1025)).all()
+        needed.append(sum(n for _, n in own))
+        assert needed[-1] <= best_fit_decreasing(lengths.tolist(), 1024)
+        alone = sum(n for _, n in packing.best_fit(np.bincount(lengths, minlength=1025)))
+        assert alone == best_fit_decreasing(lengths.tolist(), 1024)
+    assert needed[0] == 1
+
+
 def test_plan_uses_up_every_histogram():
     rng = np.random.default_rng(1)
     for counts in (rng.integers(0, 50, 65), np.bincount(rng.integers(1, 64, 5), minlength=65), np.zeros(65, int), np.bincount([1] * 200, minlength=65)):
