@@ -266,13 +266,71 @@ def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resolution_statistics(E.pair_scores(r, E.blocked_pairs(r)))
 
 
+#: Syllables of made names.
+_SYLLABLES = (("ra", "su", "mi", "ka", "lo", "vi", "de"), ("hul", "nita", "rav", "man", "tesh", "jay", "pak", "shan", "vek", "dra", "nil"), ("ku", "shar", "pat", "ver", "sing", "men", "jo", "red", "ban", "gup", "das", "ro", "tha"), ("mar", "ma", "el", "on", "shi"))
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made registry entry for each customer: a name of syllables, its short form as alias, a phone, a vehicle and a place."""
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    part = lambda own, step: F.element_at(F.array(*(F.lit(x) for x in own)), (F.floor(k / step) % len(own) + 1).cast("int"))
+    a, b, c, d = (part(own, step) for own, step in zip(_SYLLABLES, (1, 7, 3, 39), strict=True))
+    return load(spark, sf_dir, "customer").select(
+        k.alias("candidate_id"), F.concat(a, b, F.lit(" "), c, d).alias("name"), F.array(F.concat(F.substring(a, 1, 1), F.lit(" "), c, d)).alias("aliases"), F.when(k % 11 == 0, "").otherwise("Person").alias("type"),
+        F.concat(F.lit("9"), F.lpad((k % 900).cast("string"), 9, "0")).alias("phone"), F.when(k % 3 == 0, F.concat(F.lit("dl 01 ab "), text)).otherwise("").alias("vehicle"), F.concat(F.lit("Sector "), (k % 40).cast("string"), F.lit(", "), F.lower("c_mktsegment")).alias("location"),
+    )
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, true_id, ...): each registry entry as it might be noted: by name with a phone, with a letter lost, by initials, by first name, or without a name."""
+    r, k = registry(spark, sf_dir), F.col("candidate_id")
+    turn = k % 5
+    name, first, none = F.col("name"), F.element_at(F.split("name", " "), 1), F.lit("")
+    lost = F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100))
+    return r.select(
+        (k + 1_000_000).alias("entity_id"), k.alias("true_id"), F.when(turn == 0, F.concat(F.lit("Dr. "), name)).when(turn == 1, lost).when(turn == 2, F.col("aliases")[0]).when(turn == 3, first).otherwise(none).alias("name"), F.when(turn == 4, F.col("aliases")[0]).otherwise(none).alias("alias"),
+        F.when(k % 13 == 0, "").otherwise("PERSON").alias("type"), F.when(turn.isin(0, 2), F.concat(F.lit("+91 "), F.col("phone"))).otherwise(none).alias("phone"), F.when(k % 2 == 0, F.col("vehicle")).otherwise(none).alias("vehicle"), F.when(k % 4 != 1, F.col("location")).otherwise(none).alias("location"),
+    )
+
+
+def _pick(own: tuple[str, ...], step: int) -> str:
+    return f"[{', '.join(repr(x) for x in own)}][c_custkey // {step} % {len(own)} + 1]"
+
+
+_A, _B, _C, _D = (_pick(own, step) for own, step in zip(_SYLLABLES, (1, 7, 3, 39), strict=True))
+_SEEN = f"""rg AS MATERIALIZED (SELECT c_custkey AS id, {_A} || {_B} || ' ' || {_C} || {_D} AS name, substr({_A}, 1, 1) || ' ' || {_C} || {_D} AS alias, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'PERSON' END AS kind, '9' || lpad(CAST(c_custkey % 900 AS VARCHAR), 9, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN 'DL01AB' || c_custkey ELSE '' END AS vehicle, 'sector ' || c_custkey % 40 || ' ' || lower(c_mktsegment) AS place FROM customer),
+  sg AS MATERIALIZED (SELECT id, CASE id % 5 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, 3) || substr(name, 5) WHEN 2 THEN alias WHEN 3 THEN split_part(name, ' ', 1) ELSE '' END AS name, CASE id % 5 WHEN 4 THEN alias ELSE '' END AS alias, CASE WHEN id % 13 = 0 THEN '' ELSE 'PERSON' END AS kind, CASE WHEN id % 5 IN (0, 2) THEN phone ELSE '' END AS phone, CASE WHEN id % 2 = 0 THEN vehicle ELSE '' END AS vehicle, CASE WHEN id % 4 <> 1 THEN place ELSE '' END AS place FROM rg)"""
+
+
+def _cosine(a: str, b: str) -> str:
+    x, y = (f"list_distinct(list_filter(string_split({t}, ' '), lambda w: w <> ''))" for t in (a, b))
+    return f"CASE WHEN {a} <> '' AND {b} <> '' THEN len(list_intersect({x}, {y})) / sqrt(CAST(len({x}) * len({y}) AS DOUBLE)) ELSE 0 END"
+
+
+_PART = "CASE WHEN s.name <> '' AND (contains(s.name, r.name) OR contains(r.name, s.name)) THEN least(length(s.name), length(r.name)) / CAST(greatest(length(s.name), length(r.name)) AS DOUBLE) * 0.8::DOUBLE + 0.2::DOUBLE ELSE 0 END"
+_BY_WORDS = f"""{_SEEN}, sc AS (SELECT s.id AS e, r.id AS candidate_id, r.name AS canonical_name, {_cosine("s.name", "r.name")} AS c, {_PART} AS p, {_cosine("CASE WHEN s.alias <> '' THEN s.alias ELSE s.name END", "r.alias")} AS a, {_cosine("s.place", "r.place")} AS l, s.name <> '' AS hn, s.alias <> '' OR s.name <> '' AS ha, s.phone <> '' AS hp, s.phone = r.phone AS p1, s.vehicle <> '' AND r.vehicle <> '' AS hv, s.vehicle = r.vehicle AS v1, s.place <> '' AS hl FROM sg s JOIN rg r ON s.kind = '' OR r.kind = '' OR s.kind = r.kind),
+  cf AS (SELECT e, candidate_id, canonical_name, round((CASE WHEN hn THEN greatest(c, p) * 0.35::DOUBLE + c * 0.10::DOUBLE ELSE 0 END + CASE WHEN ha THEN a * 0.20::DOUBLE ELSE 0 END + CASE WHEN hp AND p1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv AND v1 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN l * 0.05::DOUBLE ELSE 0 END) / nullif(CASE WHEN hn THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN ha THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hp THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN 0.05::DOUBLE ELSE 0 END, 0), 4) AS confidence FROM sc),
+  bm AS (SELECT e, arg_min(candidate_id, (-confidence, candidate_id)) AS matched_id, arg_min(canonical_name, (-confidence, candidate_id)) AS canonical_name, max(confidence) AS confidence FROM cf WHERE confidence >= 0.65 GROUP BY 1),
+  mt AS (SELECT id + 1000000 AS entity_id, id AS true_id, matched_id, canonical_name, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.85 THEN 'HIGH_CONFIDENCE_MATCH' WHEN confidence >= 0.65 THEN 'POTENTIAL_LEAD_REVIEW_REQUIRED' ELSE 'DISTINCT_ENTITY' END AS decision, coalesce(confidence < 0.85, false) AS requires_review FROM sg LEFT JOIN bm ON e = id)"""
+
+
 @query()
 def registry_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X25, J8, W4, A28's input."""
-    c, s = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
-    e = c.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("name"), F.lit("").alias("alias"), F.lit("LOCATION").alias("type"), F.lit("").alias("phone"), F.lit("").alias("vehicle"), F.lit("").alias("location"))
-    r = s.select(F.col("n_nationkey").alias("candidate_id"), F.replace(F.col("n_name"), F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lower("n_name")).alias("aliases"), F.lit("Location").alias("type"), F.lit("").alias("phone"), F.lit("").alias("vehicle"), F.lit("").alias("location"))
-    return E.best_matches(e, r)
+    """X25, J8, W4, by matching characters."""
+    return E.best_matches(sightings(spark, sf_dir), registry(spark, sf_dir))
+
+
+@query(f"WITH {_BY_WORDS} SELECT entity_id, matched_id, canonical_name, confidence, decision, requires_review FROM mt")
+def registry_matches_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X25, J8, W4, by words: the same index and weights, with a metric that SQL has."""
+    return E.best_matches(sightings(spark, sf_dir), registry(spark, sf_dir), name_metric="token_cosine")
+
+
+@query(f'WITH {_BY_WORDS} SELECT count(*) AS n, count(*) FILTER (matched_id = true_id) AS "right", round(count(*) FILTER (matched_id = true_id) / count(*), 4) AS accuracy FROM mt')
+def registry_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sightings are matched with the entry that they are of."""
+    seen = sightings(spark, sf_dir)
+    return E.resolution_accuracy(E.best_matches(seen, registry(spark, sf_dir), name_metric="token_cosine"), seen.select("entity_id", "true_id"))
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\\+91[\\-\\s]?)?[6-9]\\d{9}')) AS text FROM documents) SELECT doc_id, text, count(*) AS n FROM d GROUP BY 1, 2""")

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import datetime
+import difflib
 import inspect
 import itertools
 import math
@@ -203,6 +204,60 @@ def test_registry_match(spark):
     assert out["1"]["confidence"] >= 0.85 and out["1"]["decision"] == "HIGH_CONFIDENCE_MATCH" and not out["1"]["requires_review"]
 
 
+def registry_brute(entities, entries, least):
+    def ratio(x, y):
+        return difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+
+    def score(e, r):
+        _, name, alias, _, phone, vehicle, place = e
+        _, r_name, r_aliases, _, r_phone, r_vehicle, r_place = r
+        held = name and r_name and (name in r_name or r_name in name)
+        partial = min(len(name), len(r_name)) / max(len(name), len(r_name)) * 0.8 + 0.2 if held else 0.0
+        x, y = set(name.split()), set(r_name.split())
+        words = len(x & y) / math.sqrt(len(x) * len(y)) if x and y else 0.0
+        parts = [(0.35, max(ratio(name, r_name), partial), name and r_name), (0.2, max([ratio(alias or name, a) for a in r_aliases], default=0), (alias or name) and r_aliases), (0.2, phone == r_phone, phone and r_phone), (0.1, vehicle == r_vehicle, vehicle and r_vehicle), (0.05, ratio(place, r_place), place and r_place), (0.1, words, name and r_name)]
+        whole = sum(w for w, _, there in parts if there)
+        return round(sum(w * v for w, v, there in parts if there) / whole, 4) if whole else 0.0
+
+    out = {}
+    for e in entities:
+        found = [(-score(e, r), r[0]) for r in entries if not e[3] or not r[3] or e[3] == r[3]]
+        found = min((f for f in found if -f[0] >= least), default=(0.0, None))
+        out[e[0]] = (found[1], pytest.approx(-found[0], abs=1e-4))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.65, 0.5])
+def test_registry_index_loses_no_match(spark, least):
+    rng = random.Random(int(least * 100))
+    first, last = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)], ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)]
+
+    def changed(t):
+        at = rng.randrange(len(t) + 1)
+        return rng.choice([t, t, t[:at] + t[at + 1 :], t[:at] + rng.choice("xaeq") + t[at:], t.split()[0], " ".join(t.split()[::-1]), t.replace(" ", "")]) if t else t
+
+    def row(i):
+        name = rng.choice([f"{rng.choice(first)} {rng.choice(last)}"] * 6 + ["", rng.choice(first)])
+        return i, name, rng.choice(["PERSON", "PERSON", "FIRM", ""]), rng.choice(["", f"98765{rng.randrange(5):05d}"]), rng.choice(["", "", f"AB{rng.randrange(6)}"]), rng.choice(["", f"place {rng.choice(last)}"])
+
+    entries = [(i, name, [changed(name) for _ in range(rng.choice([0, 1, 2])) if name], kind, *rest) for i, name, kind, *rest in map(row, range(120))]
+    entities = []
+    for i in range(150):
+        _, name, _, kind, phone, vehicle, place = rng.choice(entries)
+        entities.append((1000 + i, changed(name), rng.choice(["", "", changed(name)]), rng.choice([kind, kind, ""]), rng.choice([phone, ""]), rng.choice([vehicle, ""]), rng.choice([place, changed(place), ""])))
+    entities += [(2000 + i, *entities[i][1:]) for i in range(20)]
+    e = spark.createDataFrame(entities, "entity_id int, name string, alias string, type string, phone string, vehicle string, location string")
+    r = spark.createDataFrame(entries + [(500 + i, *entries[i][1:]) for i in range(20)], "candidate_id int, name string, aliases array<string>, type string, phone string, vehicle string, location string")
+    got = {x["entity_id"]: (x["matched_id"], x["confidence"]) for x in resolution.best_matches(e, r, least).collect()}
+    assert got == registry_brute(entities, entries, least)
+    if least == 0.65:
+        _, own, known = resolution._signatures(e, r)
+        pairs = resolution.registry_candidates(own, known, least).count()
+        assert pairs < own.count() * known.count() / 8
+    with pytest.raises(ValueError, match="least score"):
+        resolution.best_matches(e, r, 0.2).count()
+
+
 def test_entities_in_text(spark):
     body = "Rahul Kumar called 9876512345 from DL-01-AB-1234 near Sector 18, paid Rs. 2,00,000 to ABC Logistics; 9811223344."
     rows = text.extracted(spark.createDataFrame([(1, body), (2, None)], "id int, text string"), "text", "id").collect()
