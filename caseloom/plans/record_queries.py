@@ -270,6 +270,74 @@ def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYLLABLES = (("ra", "su", "mi", "ka", "lo", "vi", "de"), ("hul", "nita", "rav", "man", "tesh", "jay", "pak", "shan", "vek", "dra", "nil"), ("ku", "shar", "pat", "ver", "sing", "men", "jo", "red", "ban", "gup", "das", "ro", "tha"), ("mar", "ma", "el", "on", "shi"))
 
 
+def varied_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three records for each made person, in which every signal of a pair comes out one way and the other."""
+    k = F.col("c_custkey")
+    p = F.floor(k / 3)
+    text = lambda v: v.cast("string")
+    part = lambda own, step: F.element_at(F.array(*(F.lit(x) for x in own)), (F.floor(p / step) % len(own) + 1).cast("int"))
+    first, last = (F.concat(part(_SYLLABLES[i], x), part(_SYLLABLES[j], y)) for i, x, j, y in ((0, 1, 1, 2), (2, 3, 3, 5)))
+    year = 1960 + p % 40 + F.when(k % 7 == 0, 3).when(k % 11 == 0, 1).otherwise(0)
+    padded = lambda v, n: F.lpad(text(v), n, "0")
+    raw = load(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 3 == 0, F.concat(first, F.lit(" "), last)).when(k % 3 == 1, F.concat(F.substring(first, 1, 2), F.substring(first, 4, 20), F.lit(" "), last)).otherwise(F.concat(last, F.lit(" "), first)).alias("name"),
+        F.when(k % 5 == 0, F.concat(first, F.lit(" "), last)).when(k % 5 == 1, F.concat(F.lit("x"), text(F.floor(k / 10)))).alias("aliases"),
+        F.when(k % 4 != 0, F.concat(F.lit("7"), padded(F.floor(k / 2) % 300, 9))).alias("phone"), F.when(k % 6 == 0, F.concat(F.lit("7"), padded((F.floor(k / 2) + 1) % 300, 9))).alias("alternate_phones"),
+        F.when(k % 13 != 0, F.concat(F.lit("born "), text(year))).alias("dob"), F.lit(None).cast("string").alias("age"), F.when(k % 9 == 0, "F").when(k % 9 <= 3, "M").alias("gender"),
+        F.when(k % 8 != 0, F.concat(F.lit("plot "), text(100 + p % 50), F.lit(" lane"), text(p % 7), F.when(k % 3 == 0, " gandhi circle").when(k % 3 == 1, " gandhi lake view").otherwise(" hill side"))).alias("address"),
+        F.when(k % 10 != 0, F.concat(F.lit("Town"), text(k % 12))).alias("city"), F.when(k % 10 == 5, text(100000 + p % 60)).alias("pincode"), F.when(k % 3 == 0, F.concat(F.lit("DL01AB"), padded(p % 400, 4))).alias("vehicle"),
+        F.when(k % 4 == 1, F.concat(F.lit("IDX"), padded(F.floor(k / 6), 5))).alias("national_id"), F.when(k % 7 == 3, F.concat(F.lit("CASE-"), text(F.floor(k / 14)))).alias("case_id"), F.when(k % 19 == 2, F.concat(F.lit("FIR-"), text(F.floor(k / 38)))).alias("fir_no"), F.concat(F.lit("PS"), text(k % 23)).alias("police_station"),
+    )
+    return E.validated(raw, 2024)
+
+
+def _of(own: tuple[str, ...], step: int) -> str:
+    return f"[{', '.join(repr(x) for x in own)}][p // {step} % {len(own)} + 1]"
+
+
+_VARIED = f"""v0 AS (SELECT c_custkey AS k, c_custkey // 3 AS p FROM customer), v1 AS (SELECT *, {_of(_SYLLABLES[0], 1)} || {_of(_SYLLABLES[1], 2)} AS f, {_of(_SYLLABLES[2], 3)} || {_of(_SYLLABLES[3], 5)} AS l FROM v0),
+  v2 AS (SELECT *, CASE k % 3 WHEN 0 THEN f || ' ' || l WHEN 1 THEN substr(f, 1, 2) || substr(f, 4) || ' ' || l ELSE l || ' ' || f END AS vname FROM v1), v3 AS (SELECT *, regexp_replace(upper(vname), '[^A-Z]', '', 'g') AS x, translate(regexp_replace(upper(vname), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS c FROM v2),
+  vr AS MATERIALIZED (SELECT k AS id, vname AS name, {_SOUNDEX} AS sound, string_split(vname, ' ') AS tokens, CASE k % 5 WHEN 0 THEN [f || ' ' || l] WHEN 1 THEN ['x' || k // 10] ELSE CAST([] AS VARCHAR[]) END AS aliases, CASE WHEN k % 4 <> 0 THEN '7' || lpad(CAST(k // 2 % 300 AS VARCHAR), 9, '0') END AS phone,
+    CASE WHEN k % 6 = 0 THEN ['7' || lpad(CAST((k // 2 + 1) % 300 AS VARCHAR), 9, '0')] ELSE CAST([] AS VARCHAR[]) END AS others, CASE WHEN k % 13 <> 0 THEN 1960 + p % 40 + CASE WHEN k % 7 = 0 THEN 3 WHEN k % 11 = 0 THEN 1 ELSE 0 END END AS born, CASE WHEN k % 9 = 0 THEN 'F' WHEN k % 9 <= 3 THEN 'M' END AS gender,
+    CASE WHEN k % 8 <> 0 THEN 'plot ' || (100 + p % 50) || ' lane' || p % 7 || CASE k % 3 WHEN 0 THEN ' gandhi circle' WHEN 1 THEN ' gandhi lake view' ELSE ' hill side' END END AS address, CASE WHEN k % 10 <> 0 THEN 'TOWN' || k % 12 END AS city, CASE WHEN k % 10 = 5 THEN CAST(100000 + p % 60 AS VARCHAR) END AS pin, CASE WHEN k % 3 = 0 THEN 'DL01AB' || lpad(CAST(p % 400 AS VARCHAR), 4, '0') END AS vehicle,
+    CASE WHEN k % 4 = 1 THEN 'IDX' || lpad(CAST(k // 6 AS VARCHAR), 5, '0') END AS nid, CASE WHEN k % 7 = 3 THEN 'CASE-' || k // 14 END AS case_id, CASE WHEN k % 19 = 2 THEN 'FIR-' || k // 38 END AS fir, 'PS' || k % 23 AS station FROM v3),
+  vk AS (SELECT id, 'phon:' || sound AS block FROM vr WHERE sound <> '0000' UNION SELECT id, 'name:' || tokens[1] FROM vr WHERE length(tokens[1]) > 2 UNION SELECT id, 'phone:' || phone FROM vr WHERE phone IS NOT NULL UNION SELECT id, 'veh:' || vehicle FROM vr WHERE vehicle IS NOT NULL UNION SELECT id, 'case:' || case_id FROM vr WHERE case_id IS NOT NULL UNION SELECT id, 'fir:' || fir FROM vr WHERE fir IS NOT NULL UNION SELECT id, coalesce('pin:' || pin, 'city:' || city) FROM vr WHERE coalesce(pin, city) IS NOT NULL)"""
+_JARO = """js AS (SELECT a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS r, 1 AS i, b AS f, '' AS l FROM np UNION ALL
+    SELECT a, b, r, i + 1, CASE WHEN k > 0 THEN substr(f, 1, low + k - 2) || chr(1) || substr(f, low + k) ELSE f END, CASE WHEN k > 0 THEN l || a[i] ELSE l END
+    FROM (SELECT *, greatest(1, i - r) AS low, instr(substr(f, greatest(1, i - r), i + r - greatest(1, i - r) + 1), a[i]) AS k FROM js WHERE i <= length(a))),
+  jm AS (SELECT a, b, l, length(l) AS m, array_to_string([b[n] for n in range(1, length(b) + 1) if f[n] = chr(1)], '') AS g FROM js WHERE i > length(a)),
+  jn AS (SELECT a AS name_a, b AS name_b, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - len([n for n in range(1, m + 1) if l[n] != g[n]]) / 2.0::DOUBLE) / m) / 3 END AS j, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END AS k FROM jm)"""
+_LONG_TOKENS = "list_distinct(list_filter(string_split(coalesce({}, ''), ' '), lambda x: length(x) > 2))"
+_VARIED_SCORES = f"""{_VARIED}, vp AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM vk x JOIN vk y ON x.block = y.block AND x.id < y.id), vs AS MATERIALIZED (SELECT a, b FROM vp JOIN vr a ON a.id = id_a JOIN vr b ON b.id = id_b), np AS MATERIALIZED (SELECT DISTINCT a.name AS a, b.name AS b FROM vs), {_JARO},
+  vt AS (SELECT a, b, a.id AS id_a, b.id AS id_b, a.name = b.name AS same_name, CASE WHEN a.name = b.name THEN 1.0::DOUBLE ELSE j + 0.1::DOUBLE * k * (1 - j) END AS jw, CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) / len(list_distinct(list_concat(a.tokens, b.tokens))) AS tj, list_contains(a.aliases, b.name) OR list_contains(b.aliases, a.name) OR list_has_any(a.aliases, b.aliases) AS alias,
+    coalesce(a.phone = b.phone, false) AS direct, coalesce(list_contains(b.others, a.phone), false) OR coalesce(list_contains(a.others, b.phone), false) OR list_has_any(a.others, b.others) AS other, coalesce(CAST(len(list_intersect({_LONG_TOKENS.format('a.address')}, {_LONG_TOKENS.format('b.address')})) AS DOUBLE) / nullif(len(list_distinct(list_concat({_LONG_TOKENS.format('a.address')}, {_LONG_TOKENS.format('b.address')}))), 0), 0) AS near, abs(a.born - b.born) AS apart,
+    coalesce(abs(a.born - b.born) >= 2, false) AS c_birth, coalesce(a.gender <> b.gender, false) AS c_gender, coalesce(a.nid <> b.nid, false) AS c_nid, a.born IS NOT DISTINCT FROM b.born AS born FROM vs JOIN jn ON a.name = name_a AND b.name = name_b),
+  vu AS (SELECT *, CASE WHEN same_name THEN 100 WHEN a.sound = b.sound THEN least(100, round(jw * 70 + tj * 30) + 15) ELSE round(jw * 70 + tj * 30) END AS base, CASE WHEN direct THEN 100 WHEN other THEN 80 ELSE 0 END AS contact_score, CASE WHEN near > 0.6 OR coalesce(a.address = b.address, false) THEN 100 WHEN coalesce(a.pin = b.pin, false) OR near > 0.3 THEN 65 WHEN coalesce(a.city = b.city, false) THEN 30 ELSE 0 END AS location_score,
+    CASE WHEN coalesce(a.vehicle = b.vehicle, false) THEN 100 ELSE 0 END AS vehicle_score, CASE WHEN coalesce(a.fir = b.fir, false) OR coalesce(a.case_id = b.case_id, false) THEN 100 WHEN a.station = b.station THEN 40 ELSE 0 END AS case_score, CASE apart WHEN 0 THEN 100 WHEN 1 THEN 70 ELSE 0 END AS birth_score, CASE WHEN coalesce(a.case_id = b.case_id, false) OR direct THEN 60 ELSE 0 END AS network_score,
+    CASE WHEN c_birth THEN 40 ELSE 0 END + CASE WHEN c_gender THEN 30 ELSE 0 END + CASE WHEN c_nid THEN 50 ELSE 0 END AS penalty FROM vt),
+  vv AS (SELECT *, CAST(CASE WHEN alias THEN greatest(base, 85) ELSE base END AS INT) AS name_score FROM vu), vw AS (SELECT *, name_score * 0.25::DOUBLE + contact_score * 0.15::DOUBLE + location_score * 0.15::DOUBLE + vehicle_score * 0.10::DOUBLE + case_score * 0.15::DOUBLE + birth_score * 0.10::DOUBLE + network_score * 0.10::DOUBLE AS plain FROM vv),
+  vx AS (SELECT *, CAST(greatest(0, least(99, floor(CASE WHEN alias AND (location_score >= 60 OR case_score >= 60) THEN greatest(plain, 75) ELSE plain END - penalty * 0.75::DOUBLE + 0.5::DOUBLE))) AS INT) AS confidence FROM vw),
+  vy AS (SELECT *, CASE WHEN same_name AND direct AND coalesce(a.born = b.born, false) THEN 'POSSIBLE DUPLICATE' WHEN name_score >= 60 AND penalty >= 35 THEN 'IDENTITY CONFLICT' WHEN direct AND (penalty >= 30 OR name_score < 45) THEN 'POSSIBLE ASSOCIATION' WHEN alias AND (location_score >= 60 OR case_score >= 60 OR born) THEN 'PROBABLE SAME ENTITY' WHEN alias OR (location_score >= 80 AND born AND name_score < 70) THEN 'POSSIBLE ALIAS'
+    WHEN confidence >= 70 AND penalty = 0 THEN 'PROBABLE SAME ENTITY' WHEN (confidence >= 40 AND name_score >= 50) OR (name_score >= 50 AND case_score >= 60 AND penalty < 35) THEN 'POSSIBLE SAME ENTITY' WHEN case_score >= 60 OR contact_score >= 60 OR location_score >= 60 THEN 'POSSIBLE ASSOCIATION' ELSE 'DIFFERENT ENTITY' END AS classification FROM vx)"""
+_FOR = "[CASE WHEN alias THEN 'Known / Recorded Alias Match' WHEN name_score >= 80 THEN 'High Name Similarity' WHEN name_score >= 50 THEN 'Moderate Name & Phonetic Resemblance' END, CASE WHEN direct THEN 'Direct Phone Number Match' WHEN other THEN 'Shared Alternate / Historical Contact' END, CASE location_score WHEN 100 THEN 'Exact / High Address Overlap' WHEN 65 THEN 'Shared Geographic Vicinity / Pincode' WHEN 30 THEN 'Same City Association' END, CASE WHEN vehicle_score = 100 THEN 'Identical Vehicle Registration Number' END, CASE case_score WHEN 100 THEN 'Co-occurrence in Same Investigation Docket / FIR' WHEN 40 THEN 'Common Police Station Jurisdiction' END, CASE WHEN apart = 0 THEN 'Exact Date of Birth / Age Match' END]"
+_AGAINST = "[CASE WHEN NOT direct AND NOT other AND a.phone IS NOT NULL AND b.phone IS NOT NULL THEN 'Different Primary Phone Numbers' END, CASE WHEN location_score = 0 AND a.city IS NOT NULL AND b.city IS NOT NULL THEN 'Disjoint Geographic Locations' END, CASE WHEN a.vehicle <> b.vehicle THEN 'Different Registered Vehicles' END, CASE WHEN c_birth THEN 'Significant Date of Birth Discrepancy' END, CASE WHEN c_gender THEN 'Conflicting Gender Records' END, CASE WHEN c_nid THEN 'Conflicting National ID Documents' END]"
+
+
+@query(f"WITH RECURSIVE {_VARIED_SCORES} SELECT id_a, id_b, name_score, contact_score, location_score, vehicle_score, case_score, birth_score, network_score, penalty, confidence, classification, array_to_string(list_filter({_FOR}, lambda x: x IS NOT NULL), '; ') AS supporting, array_to_string(list_filter({_AGAINST}, lambda x: x IS NOT NULL), '; ') AS counter FROM vy WHERE classification <> 'DIFFERENT ENTITY'")
+def varied_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7, X27-X29, G16 over records in which every signal varies; the SQL makes all pairs of every block, cities too."""
+    r = varied_records(spark, sf_dir)
+    titles = lambda c: F.array_join(F.transform(c, lambda e: e["title"]), "; ")
+    out = E.pair_scores(r, E.blocked_pairs(r)).where("classification != 'DIFFERENT ENTITY'")
+    return out.withColumns({c: titles(F.col(c)) for c in ("supporting", "counter")}).drop("explanation", "review_status")
+
+
+@query(f"WITH {_VARIED}, n AS (SELECT block, count(*) AS records FROM vk GROUP BY 1 HAVING count(*) > 1) SELECT split_part(block, ':', 1) AS kind, block, records, records * (records - 1) // 2 AS pairs FROM n")
+def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs each block stands for."""
+    return E.block_counts(varied_records(spark, sf_dir))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made registry entry for each customer: a name of syllables, its short form as alias, a phone, a vehicle and a place."""
     k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")

@@ -204,6 +204,31 @@ def test_registry_match(spark):
     assert out["1"]["confidence"] >= 0.85 and out["1"]["decision"] == "HIGH_CONFIDENCE_MATCH" and not out["1"]["requires_review"]
 
 
+def test_city_pairs_that_say_nothing_are_not_made(spark):
+    rng = random.Random(12)
+    made = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(500)]
+
+    def row(i):
+        name = " ".join(rng.sample(made, 2))
+        return i, name, rng.choice([None, None, rng.choice(made) + " " + rng.choice(made)]), rng.choice([None, f"98{rng.randrange(200):08d}"]), rng.choice([None, f"97{rng.randrange(60):08d}"]), rng.choice([None, str(1960 + rng.randrange(5))]), rng.choice([None, " ".join(rng.sample(made, 3))]), "Somewhere", f"ps{rng.randrange(3)}"
+
+    rows = [row(i) for i in range(300)]
+    for i in range(40):
+        old = list(rng.choice(rows[:300]))
+        at = rng.randrange(len(old[1]))
+        old[0], old[1] = 1000 + i, rng.choice([old[1][:at] + old[1][at + 1 :], " ".join(old[1].split()[::-1]), "7" + old[1][1:], old[1]])
+        old[3] = None
+        rows.append(tuple(old))
+    rows += [(2000, "12 34", None, None, None, None, None, "Somewhere", None), (2001, "12 35", None, None, None, "1961", None, "Somewhere", None), (2002, "", None, None, None, None, None, "Somewhere", None), (2003, None, None, None, None, None, None, "Somewhere", None)]
+    raw = spark.createDataFrame(rows, "id int, name string, aliases string, phone string, alternate_phones string, dob string, address string, city string, police_station string")
+    r = resolution.validated(raw, 2024).cache()
+    every = r.select(F.col("id").alias("id_a")).join(r.select(F.col("id").alias("id_b")), F.col("id_a") < F.col("id_b"))
+    pairs = resolution.blocked_pairs(r).cache()
+    kinds = lambda p: {(x["id_a"], x["id_b"]): (x["classification"], x["confidence"]) for x in resolution.pair_scores(r, p).where("classification != 'DIFFERENT ENTITY'").collect()}
+    assert kinds(pairs) == kinds(every) and pairs.count() < every.count() / 4
+    assert resolution.blocked_pairs(r.limit(0)).count() == 0
+
+
 def registry_brute(entities, entries, least):
     def ratio(x, y):
         return difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
