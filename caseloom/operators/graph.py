@@ -290,19 +290,34 @@ def ego_network(edges: DataFrame, center: DataFrame, hops: int = 2) -> tuple[Dat
     return members, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def _half_paths(both: DataFrame, start, hops: int, avoid) -> list[DataFrame]:
+    """[(at, path, edge_ids)] by length 0 to hops: paths from start that repeat no vertex and do not pass `avoid`."""
+    out = [both.sparkSession.range(1).select(F.lit(start).alias("at"), F.array(F.lit(start)).alias("path"), F.array().cast(f"array<{dict(both.dtypes)['edge_id']}>").alias("edge_ids"))]
+    for _ in range(hops):
+        step = out[-1].join(both, "at").where((F.col("next") != avoid) & ~F.array_contains("path", F.col("next")))
+        out.append(cut(step.select(F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"))))
+    return out
+
+
 def simple_paths(edges: DataFrame, start, end, longest: int = 4) -> DataFrame:
-    """(path, edge_ids, hops): all paths of at most so many edges that repeat no vertex; parallel edges give paths of their own."""
-    both = edges.where("src != dst").select("edge_id", "src", "dst").union(edges.where("src != dst").select("edge_id", "dst", "src")).toDF("edge_id", "at", "next")
-    # Steps that cannot still reach the end in time are left out.
-    reach = distances(edges.select(F.lit(end).alias("id")).limit(1), edges, edges.select(F.lit(end).alias("id")).limit(1), longest).select(F.col("id").alias("next"), F.col("dist").alias("left"))
-    both = cut(both.join(reach, "next"))
-    front = both.where((F.col("at") == start) & (F.col("left") < longest)).select(F.array("at", "next").alias("path"), F.array("edge_id").alias("edge_ids"), F.col("next").alias("at"))
-    found = front.where(F.col("at") == end)
-    for k in range(2, longest + 1):
-        front = front.where(F.col("at") != end).join(both.where(F.col("left") <= longest - k), "at").where(~F.array_contains("path", F.col("next")))
-        front = front.select(F.array_append("path", F.col("next")).alias("path"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.col("next").alias("at"))
-        found = found.union(front.where(F.col("at") == end))
-    return found.select("path", "edge_ids", F.size("edge_ids").alias("hops"))
+    """(path, edge_ids, hops): all paths of at most so many edges that repeat no vertex; parallel edges give paths of their own.
+
+    Paths grow from both ends, each by half the length, and meet at a middle vertex if they share no other one. So what is
+    held is the paths of half the length and not all beginnings, most of which never reach the end.
+    """
+    if start == end:
+        return edges.limit(0).select(F.array("src").alias("path"), F.array("edge_id").alias("edge_ids"), F.lit(0).alias("hops"))
+    own = edges.where("src != dst")
+    both = cut(own.select(F.col("src").alias("at"), F.col("dst").alias("next"), "edge_id").union(own.select("dst", "src", "edge_id")))
+    ahead, back = _half_paths(both, start, (longest + 1) // 2, end), _half_paths(both, end, longest // 2, start)
+    direct = both.where((F.col("at") == start) & (F.col("next") == end)).select(F.array("at", "next").alias("path"), F.array("edge_id").alias("edge_ids"))
+    found = [direct]
+    for hops in range(2, longest + 1):
+        left = ahead[(hops + 1) // 2]
+        right = back[hops // 2].select("at", F.reverse("path").alias("rest"), F.reverse("edge_ids").alias("rest_ids"))
+        met = left.join(right, "at").where(F.size(F.array_intersect("path", "rest")) == 1)
+        found.append(met.select(F.concat("path", F.slice("rest", 2, longest)).alias("path"), F.concat("edge_ids", "rest_ids").alias("edge_ids")))
+    return reduce(DataFrame.union, found).select("path", "edge_ids", F.size("edge_ids").alias("hops"))
 
 
 def shortest_path(edges: DataFrame, start, end, longest: int | None = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.scores import temporal_band
+from caseloom.operators.ranking import ranked
 
 
 def _score(observed: Column, mean: Column, std: Column, history: Column) -> Column:
@@ -131,7 +132,7 @@ def seeded(anomalies: DataFrame, seed: DataFrame) -> DataFrame:
     return anomalies.join(own, "entity_id", "full").fillna({k: v for k, v in zeros.items() if k != "entity_id"}).fillna(texts).fillna(True, ["requires_review"])
 
 
-def ranked_anomalies(anomalies: DataFrame, k: int = 100) -> DataFrame:
-    """(rank, entity_id, score, activity) of the k highest scores, then most events in the window, then smallest ids."""
-    top = anomalies.select("entity_id", "score", (F.col("before_count") + F.col("after_count")).alias("activity")).orderBy(F.desc("score"), F.desc("activity"), "entity_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("activity"), "entity_id")))
+def ranked_anomalies(anomalies: DataFrame) -> DataFrame:
+    """(rank, entity_id, score, activity) of every entity: by score, then by most events in the window, then by smallest id."""
+    rows = anomalies.select("entity_id", "score", (F.col("before_count") + F.col("after_count")).alias("activity"))
+    return ranked(rows, F.desc("score"), F.desc("activity"), "entity_id")

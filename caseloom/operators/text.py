@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.graph import cut
+
 #: Gazetteers, patterns and confidences of the extractor.
 PEOPLE = ("Rahul Kumar", "Amit Sharma", "Suresh Verma", "Priya Singh", "Arjun Mehta", "Vikram Patel", "Ravi Kumar")
 PLACES = ("Sector 18", "Central Market", "Industrial Area", "Vasant Vihar", "Noida", "South Delhi")
@@ -44,6 +50,41 @@ def extracted(rows: DataFrame, text: str, key: str, gazetteers=GAZETTEERS, patte
     return rows.select(key, F.explode(F.concat(hits.cast(_ENTITY), *lists)).alias("e")).select(key, "e.*")
 
 
+#: Words of names and texts.
+_WORD = re.compile(r"[^\W_]+")
+
+
+def dictionary_entities(rows: DataFrame, text: str, key: str, names: DataFrame) -> DataFrame:
+    """(key, label, text, start, end, confidence): the first place of each name of names(label, name, confidence) in each text, as whole words in a row, case and what parts them aside.
+
+    Every run of as many words as some name has is a key of one join, so neither the plan nor the work on a text grows with the number of
+    names, only with how many different lengths they have. A text gives each run once, at its first place. A name
+    that is there twice, under one label, counts with its highest confidence; null texts and names without words find nothing.
+    """
+    words_of = F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    known = names.select("label", "confidence", words_of.alias("words")).where(F.size("words") > 0)
+    known = cut(known.groupBy("label", "words").agg(F.max("confidence").alias("confidence")))
+    lengths = sorted(r["n"] for r in known.select(F.size("words").alias("n")).distinct().collect())
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column("body")):
+                at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(body.as_py() or "")]
+                first: dict[str, tuple[int, int]] = {}
+                for n in lengths:
+                    for j in range(len(at) - n + 1):
+                        first.setdefault(" ".join(w for _, _, w in at[j : j + n]), (at[j][0], at[j + n - 1][1]))
+                own, text_of = batch.column(key).slice(i, 1), body.as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [own.take(pa.array([0] * len(first), pa.int64())), pa.array(list(first), pa.string()), pa.array([text_of[a:b] for a, b in first.values()], pa.string()), pa.array([a for a, _ in first.values()], pa.int32()), pa.array([b for _, b in first.values()], pa.int32())],
+                    names=[key, "phrase", "text", "start", "end"],
+                )
+
+    runs = rows.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"{key} {kinds[key]}, phrase string, text string, start int, end int")
+    return runs.join(known.select("label", F.array_join("words", " ").alias("phrase"), "confidence"), "phrase").select(key, "label", "text", "start", "end", "confidence")
+
+
 def rule_hits(rows: DataFrame, text: str, key: str, phones: tuple[str, ...] = (), names: tuple[tuple[str, tuple[str, ...], int], ...] = (("PERSON", PEOPLE, 90), ("LOCATION", PLACES, 88), ("ORGANIZATION", FIRMS, 85))) -> DataFrame:
     """(key, type, value, confidence) of listed names in the text, case aside, and of phones in its digits alone."""
     items = [F.when(F.lower(F.col(text)).contains(v.lower()), F.struct(F.lit(kind).alias("type"), F.lit(v).alias("value"), F.lit(conf).alias("confidence"))) for kind, own, conf in names for v in own]

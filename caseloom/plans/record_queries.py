@@ -401,6 +401,19 @@ def registry_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resolution_accuracy(E.best_matches(seen, registry(spark, sf_dir), name_metric="token_cosine"), seen.select("entity_id", "true_id"))
 
 
+@query("""WITH l AS (SELECT DISTINCT l_orderkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), f AS (SELECT l_orderkey, string_agg(s_name, ', ' ORDER BY s_name) AS firms FROM l GROUP BY 1), t AS (SELECT o_orderkey, c_name, 'Order of ' || lower(c_name) || ' (' || c_mktsegment || '), delivered by ' || firms || '; paid by ' || c_name || '.' AS note FROM orders JOIN customer ON o_custkey = c_custkey JOIN f ON o_orderkey = l_orderkey),
+  n AS (SELECT o_orderkey, note, 'PERSON' AS label, c_name AS name, 0.95::DOUBLE AS confidence FROM t UNION ALL SELECT o_orderkey, note, 'ORGANIZATION', s_name, 0.90::DOUBLE FROM t JOIN l ON o_orderkey = l_orderkey)
+  SELECT o_orderkey, label, substr(note, strpos(lower(note), lower(name)), length(name)) AS text, CAST(strpos(lower(note), lower(name)) - 1 AS INT) AS start, CAST(strpos(lower(note), lower(name)) - 1 + length(name) AS INT) AS "end", confidence FROM n""")
+def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, T2 by table: customers and suppliers, all of them, found in a note on each order."""
+    c, s, o, li = (load(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
+    sold = o.join(c, o.o_custkey == c.c_custkey).join(li, o.o_orderkey == li.l_orderkey).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    firms = F.array_join(F.array_sort(F.collect_set("s_name")), ", ")
+    notes = sold.groupBy("o_orderkey", "c_name", "c_mktsegment").agg(firms.alias("firms")).select("o_orderkey", F.concat(F.lit("Order of "), F.lower("c_name"), F.lit(" ("), "c_mktsegment", F.lit("), delivered by "), "firms", F.lit("; paid by "), "c_name", F.lit(".")).alias("note"))
+    names = c.select(F.lit("PERSON").alias("label"), F.col("c_name").alias("name"), F.lit(0.95).alias("confidence")).union(s.select(F.lit("ORGANIZATION"), "s_name", F.lit(0.90)))
+    return T.dictionary_entities(notes, "note", "o_orderkey", names)
+
+
 @query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\\+91[\\-\\s]?)?[6-9]\\d{9}')) AS text FROM documents) SELECT doc_id, text, count(*) AS n FROM d GROUP BY 1, 2""")
 def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 without places, T4."""

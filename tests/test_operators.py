@@ -290,6 +290,38 @@ def test_entities_in_text(spark):
     assert all(body[r["start"] : r["end"]].upper() == r["text"].upper() for r in rows) and sum(r["label"] == "PHONE" for r in rows) == 2
 
 
+def test_names_of_a_table_in_text(spark):
+    names = spark.createDataFrame([("P", "Rahul Kumar", 0.9), ("P", "rahul  kumar", 0.95), ("P", "Kumar", 0.9), ("F", "ABC Logistics Pvt Ltd", 0.8), ("L", "Zürich", 0.7), ("L", "", 0.5), ("L", None, 0.5), ("L", "--", 0.5)], "label string, name string, confidence double")
+    body = "kumar, RAHUL-Kumar met Rahul Kumar of abc logistics (Pvt) Ltd in ZÜRICH; Kumars of Zürich1"
+    rows = spark.createDataFrame([(1, body, "x"), (2, None, "x"), (3, "", "x"), (4, "kumar " * 200_000, "x"), (4, "Kumar", "x")], "id int, body string, label string")
+    got = sorted((r["id"], r["label"], r["text"], r["start"], r["end"], r["confidence"]) for r in text.dictionary_entities(rows, "body", "id", names).collect())
+    want = [(1, "F", "abc logistics (Pvt) Ltd", 38, 61, 0.8), (1, "L", "ZÜRICH", 65, 71, 0.7), (1, "P", "RAHUL-Kumar", 7, 18, 0.95), (1, "P", "kumar", 0, 5, 0.9), (4, "P", "Kumar", 0, 5, 0.9), (4, "P", "kumar", 0, 5, 0.9)]
+    assert got == want and all(body[a:b] == t for i, _, t, a, b, _ in got if i == 1)
+    assert text.dictionary_entities(rows, "body", "id", names.limit(0)).count() == 0
+
+
+def test_paths_from_both_ends_against_a_walk(spark):
+    rng = random.Random(4)
+    ids = [f"v{i}" for i in range(9)]
+    pairs = [tuple(rng.choice(ids) for _ in range(2)) for _ in range(22)]
+    _, e = network(spark, pairs)
+
+    def walk(path, used, longest):
+        if path[-1] == "v1":
+            yield path, used
+            return
+        for k, (a, b) in enumerate(pairs):
+            if len(used) < longest and a != b and path[-1] in (a, b):
+                to = b if path[-1] == a else a
+                if to not in path:
+                    yield from walk([*path, to], [*used, f"e{k}"], longest)
+
+    for longest in (1, 2, 3, 4, 5):
+        got = sorted((r["path"], r["edge_ids"], r["hops"]) for r in graph.simple_paths(e, "v0", "v1", longest).collect())
+        assert got == sorted((p, u, len(u)) for p, u in walk(["v0"], [], longest))
+    assert graph.simple_paths(e, "v0", "v0").count() == 0
+
+
 def test_models(spark):
     rows = spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(200)] + [(999, 80.0, 90.0)], "id int, a double, b double")
     out = {r["id"]: r["anomaly_score"] for r in ml.anomalies(rows, ("a", "b"), trees=40).collect()}
@@ -436,7 +468,7 @@ def test_seeded_and_ranked_anomalies(spark):
     found = temporal.seeded(temporal.temporal_anomalies(events, at, 60, 60, 5), people.select("entity_id").union(spark.createDataFrame([("z",)], "entity_id string")))
     rows = {r["entity_id"]: r for r in found.collect()}
     assert set(rows) == {"a", "q", "z"} and rows["z"]["score"] == 0 and rows["z"]["status"] == "NO_HISTORICAL_ACTIVITY" and rows["z"]["requires_review"]
-    assert [(r["rank"], r["entity_id"]) for r in temporal.ranked_anomalies(found, 2).orderBy("rank").collect()] == [(1, "a"), (2, "q")]
+    assert [(r["rank"], r["entity_id"]) for r in temporal.ranked_anomalies(found).orderBy("rank").limit(2).collect()] == [(1, "a"), (2, "q")] and temporal.ranked_anomalies(found).count() == found.count()
 
 
 def test_places_by_linked_names(spark):
