@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,27 @@ def linked_places(links: DataFrame, nodes: DataFrame) -> DataFrame:
     most = F.broadcast(own.agg(F.greatest(F.max("activity"), F.lit(1)).alias("most")))
     named = own.join(nodes.select(F.col("id").alias("place_id"), "name"), "place_id").join(most)
     return named.select("place_id", "name", "entities", "activity", F.round(100 * F.col("activity") / F.col("most"), 2).alias("share"))
+
+
+def hierarchy_listing(records: DataFrame, areas: int = 15) -> DataFrame:
+    """(state, district, areas, first_areas): each district with how many areas it has and the first of them by name."""
+    own = records.select("state", "district", "place").where("state is not null and district is not null and place is not null").distinct()
+    order = Window.partitionBy("state", "district").orderBy("place")
+    first = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= areas).groupBy("state", "district").agg(F.array_sort(F.collect_list("place")).alias("first_areas"))
+    return own.groupBy("state", "district").agg(F.count("*").alias("areas")).join(first, ["state", "district"])
+
+
+def requested_hotspots(records: DataFrame, state: str | None = None, district: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Clusters at the level that a request asks for, with the level: areas of a district if one is given, else districts of a state, else states."""
+    level = "district" if district else "state" if state else "india"
+    return rolled_up(records, level, state, district, known).withColumn("level", F.lit(level))
+
+
+def activity_records(sources: dict[str, DataFrame], limits: dict[str, int] | None = None) -> DataFrame:
+    """(category, id, source, event_type, subject, state, district, detail, lat, lon, confidence, ts, flagged, case_id) of all sources by category; with limits, of each the newest so many (ties by id), else all."""
+    names = ("id", "source", "event_type", "subject", "state", "district", "detail", "lat", "lon", "confidence", "ts", "flagged", "case_id")
+    parts = []
+    for category, rows in sources.items():
+        own = rows.select(F.lit(category).alias("category"), *(F.col(n) for n in names))
+        parts.append(own.orderBy(F.desc_nulls_last("ts"), "id").limit(limits[category]) if limits and category in limits else own)
+    return reduce(DataFrame.unionByName, parts)

@@ -90,12 +90,31 @@ def timeline(*sources: tuple[DataFrame, str, str, str], key: str | None = None)
 
 
 def by_id_or_name(people: DataFrame, rows: DataFrame, person_id: str = "person_id", name: str = "name") -> DataFrame:
-    """Rows of people(person_id, name) by equal id or equal name, case aside: two equi-joins, each row once per person."""
-    p = people.select(F.col("person_id").alias("_p"), F.lower("name").alias("_n"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    a = keyed.join(p, keyed[person_id] == p["_p"]).drop("_n")
-    b = keyed.join(p, F.lower(keyed[name]) == p["_n"]).drop("_n")
-    return a.unionByName(b).dropDuplicates(["_row", "_p"]).drop("_row").withColumnRenamed("_p", "person")
+    """Rows of people(person_id, name) by equal id or equal name, case aside: two equi-joins, the second of which leaves out what the first finds, so each row comes once for each person."""
+    p = people.select(F.col("person_id").alias("_p"), F.lower("name").alias("_n")).distinct()
+    a = rows.join(p.select("_p").distinct(), F.col(person_id) == F.col("_p"))
+    b = rows.join(p, (F.lower(F.col(name)) == F.col("_n")) & ~F.col(person_id).eqNullSafe(F.col("_p"))).drop("_n")
+    return a.unionByName(b).withColumnRenamed("_p", "person")
+
+
+def filtered_timeline(rows: DataFrame, kinds: Sequence[str] = (), entity: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """rows(kind, id, key, ts) of the given kinds (any without one), of one entity, from day to day inclusive; newest first, ties by kind and id."""
+    day = F.to_date("ts")
+    for test in (F.col("kind").isin(*kinds) if kinds else None, F.col("key") == entity if entity is not None else None, day >= F.to_date(F.lit(since)) if since else None, day <= F.to_date(F.lit(until)) if until else None):
+        rows = rows if test is None else rows.where(test)
+    return rows.orderBy(F.desc("ts"), "kind", "id")
+
+
+def audit_reference(event_id: Column) -> Column:
+    """An audit event's number as shown: AUD- and six digits at least."""
+    text = event_id.cast("string")
+    return F.concat(F.lit("AUD-"), F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0")))
+
+
+def audit_event(events: DataFrame, reference: str) -> DataFrame:
+    """Events(event_id) of this id, or whose number begins with the given one if that starts with AUD-; with the number."""
+    own = events.withColumn("reference", audit_reference(F.col("event_id")))
+    return own.where(F.col("reference").startswith(reference) if reference.upper().startswith("AUD-") else F.col("event_id").cast("string") == reference)
 
 
 def case_counts(cases: DataFrame, parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:

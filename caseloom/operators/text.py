@@ -100,7 +100,7 @@ def deduplicated(entities: DataFrame, *key: str) -> DataFrame:
 
 def case_context(cases: DataFrame, profile: DataFrame, case: str) -> DataFrame:
     """(case, context): a sentence on each case with its people and places; also the static summary of a case."""
-    text = F.format_string("Case %s is %s in category %s. People: %s.", F.col(case).cast("string"), F.col("status"), F.col("category"), F.array_join("people", ", "))
+    text = F.format_string("Case %s is %s in category %s. People: %s.", F.col(case).cast("string"), F.col("status"), F.col("category"), F.coalesce(F.array_join("people", ", "), F.lit("")))
     return cases.join(profile, case, "left").select(case, text.alias("context"))
 
 

@@ -84,7 +84,7 @@ _SCORED = """SELECT title, activity_count, source_count, flagged_count, lat, lon
 
 @query(f"WITH {_ACTIVITY}, c AS (SELECT state AS title, {_CLUSTER} FROM lo GROUP BY 1) {_SCORED}")
 def rollup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17 (india), A18, W7, M17."""
+    """A17 (india), A18, W7."""
     return P.rolled_up(V.activity(spark, sf_dir), "india")
 
 
@@ -106,7 +106,7 @@ def rollup_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ACTIVITY} SELECT CAST(CASE grouping(state, district, place) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INT) AS level, state, district, place, count(*) AS n FROM lo GROUP BY ROLLUP (state, district, place)")
 def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17 in one pass, M16."""
+    """A17 in one pass."""
     return P.hierarchy(V.activity(spark, sf_dir))
 
 
@@ -166,9 +166,15 @@ def off_hours_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.unusual_hours(load(spark, sf_dir, "events")).select("event_id", "user_id", "anomaly")
 
 
+@query("SELECT event_id, user_id, value AS speed_kmh, 'EXCESSIVE_SPEED' AS anomaly, 'HIGH' AS severity FROM events WHERE value > 120")
+def excessive_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the values of events taken as speeds."""
+    return T.above(load(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").alias("speed_kmh")), "speed_kmh", 120, "EXCESSIVE_SPEED")
+
+
 @query("SELECT o_orderkey, o_totalprice, 'UNUSUAL_AMOUNT' AS anomaly, 'HIGH' AS severity FROM orders WHERE o_totalprice > 200000")
 def large_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F20 (F21 with speeds)."""
+    """F20."""
     return T.above(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 200000, "UNUSUAL_AMOUNT")
 
 

@@ -60,7 +60,7 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {BASE}, {_CC} SELECT n AS nodes, m AS edges, (SELECT count(*) FROM vs WHERE id NOT IN (SELECT id FROM nb)) AS isolates, (SELECT count(DISTINCT component) FROM lb) AS components, round(m * 2 / (n * (n - 1)), 4) AS density, round(2 * m / n, 2) AS average_degree FROM (SELECT count(*) AS n FROM vs), (SELECT count(*) AS m FROM es)""")
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A24, C5."""
+    """A24."""
     v, e = vertices(spark, sf_dir), edges(spark, sf_dir)
     return G.graph_stats(v, e, G.components(v, e))
 
@@ -76,7 +76,7 @@ def ego_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE}, {_NEAR3} SELECT edge_id, src, dst FROM es WHERE src IN (SELECT id FROM d2) AND dst IN (SELECT id FROM d2)")
 def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G10, G17, J1."""
+    """G10, J1."""
     return G.ego_network(edges(spark, sf_dir), vertices(spark, sf_dir).where("id = 'S1'"), 2)[1].select("edge_id", "src", "dst")
 
 
@@ -187,7 +187,7 @@ def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE}, u AS (SELECT id, name, type, 0 AS part FROM vs UNION ALL SELECT 'C' || o_custkey, o_orderpriority, 'CASE', 1 FROM orders UNION ALL SELECT 'O' || o_orderkey, o_orderpriority, 'CASE', 1 FROM orders) SELECT id, arg_min(name, (part, name)) AS name, arg_min(type, (part, name)) AS type FROM u GROUP BY 1")
 def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first definition of an id stays."""
+    """The first definition of an id stays."""
     o = load(spark, sf_dir, "orders")
     again = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("name"), F.lit("CASE").alias("type"))
     docket = o.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("name"), F.lit("CASE").alias("type"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import behaviour as B
@@ -116,7 +116,7 @@ def case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, user_id, coalesce(c_name, CAST(user_id AS VARCHAR), 'SYSTEM') AS user_name, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10') AS total
   FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""")
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7, F16, J3."""
+    """F7, J3."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts", F.col("props").alias("detail"))
     users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
     return R.audit_page(e, users, equal={"action": "error"}, since="2024-01-10", limit=50, offset=50).select("event_id", "user_id", "user_name", "total")
@@ -140,7 +140,7 @@ _PEOPLE = "pe AS (SELECT c_custkey AS person_id, c_name AS name FROM customer WH
 
 @query(f"WITH {_PEOPLE} SELECT DISTINCT row_id, pe.person_id AS person FROM rw JOIN pe ON rw.person_id = pe.person_id OR lower(rw.name) = lower(pe.name)")
 def dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An OR-join as two equi-joins."""
+    """An OR-join as two equi-joins."""
     people = load(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.lit(10).alias("risk"))
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("person_id"), F.concat(F.lit("Customer#"), F.lpad((F.col("o_orderkey") % 1500).cast("string"), 9, "0")).alias("name"), F.col("o_orderdate").alias("ts"))
     return P.dossier(people, {"orders": (rows, "row_id", "ts")}, edges(spark, sf_dir))["orders"].select("row_id", "person")
@@ -156,10 +156,19 @@ def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS case_id, list_sort(list_distinct(list(o_orderstatus))) AS statuses, list_sort(list_distinct(list(CAST(o_custkey AS VARCHAR)))) AS people FROM orders GROUP BY 1")
 def case_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J17, T6."""
+    """J17."""
     return R.linked_case_profile(load(spark, sf_dir, "orders").withColumn("who", F.col("o_custkey").cast("string")), "o_orderpriority", statuses="o_orderstatus", people="who").withColumnRenamed("o_orderpriority", "case_id")
 
 
+@query("""WITH s AS (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list('S' || l_suppkey))), ', ') AS people FROM lineitem GROUP BY 1) SELECT o_orderkey AS case_id, 'Case ' || o_orderkey || ' is ' || o_orderstatus || ' in category ' || o_orderpriority || '. People: ' || coalesce(people, '') || '.' AS context FROM orders LEFT JOIN s ON o_orderkey = l_orderkey""")
+def case_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6, T7's static text: a sentence on every case with its people."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("category"))
+    own = load(spark, sf_dir, "lineitem").withColumn("who", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    people = R.linked_case_profile(own, "l_orderkey", people="who").withColumnRenamed("l_orderkey", "case_id")
+    return T.case_context(o, people.withColumn("people", F.array_sort("people")), "case_id")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unlinked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an insert-if-absent would write."""
@@ -188,7 +197,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'case' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS key, o_orderdate AS ts FROM orders UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), ts FROM events")
 def merged_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U3-U5, L4, C6."""
+    """U4, L4."""
     o = load(spark, sf_dir, "orders").withColumn("who", F.col("o_custkey"))
     return R.timeline((o, "case", "o_orderkey", "o_orderdate"), (load(spark, sf_dir, "events").withColumn("who", F.col("user_id")), "event", "event_id", "ts"), key="who")
 
@@ -438,30 +447,50 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.extracted(load(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load(spark, sf_dir, "pages")
-    return L.chained(pages.select(F.col("page_id").alias("idx"), F.lit("2024-01-01T00:00:00").alias("ts"), F.sha2("html", 256).alias("data_hash"), F.lit("ADD").alias("action")))
+def _ledger(spark: SparkSession, sf_dir: str, case: int | None = None) -> DataFrame:
+    """A ledger for each customer, or that of one: the orders in time, each a block."""
+    o = load(spark, sf_dir, "orders")
+    o = o if case is None else o.where(F.col("o_custkey") == case)
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    digest = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderstatus")), 256)
+    return L.chained(o.select(F.col("o_custkey").alias("case_id"), (F.row_number().over(order) - 1).alias("idx"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ts"), digest.alias("data_hash"), F.col("o_orderstatus").alias("action")), "case_id")
+
+
+def _tampered(spark: SparkSession, sf_dir: str, case: int | None = None) -> DataFrame:
+    """The ledgers with the data of every 41st block's place changed, and the previous hash of some others."""
+    turn = F.pmod(F.col("case_id") * 7 + F.col("idx"), F.lit(41))
+    return _ledger(spark, sf_dir, case).withColumns({"data_hash": F.when(turn == 0, F.lit("0")).otherwise(F.col("data_hash")), "previous_hash": F.when(turn == 5, F.lit("1")).otherwise(F.col("previous_hash"))})
 
 
-@query("""WITH RECURSIVE b AS (SELECT page_id AS idx, sha256(html) AS data_hash FROM pages), c AS (SELECT idx, data_hash, repeat('0', 64) AS previous_hash, sha256(concat_ws('|', idx, '2024-01-01T00:00:00', data_hash, repeat('0', 64), 'ADD')) AS hash FROM b WHERE idx = 0
-  UNION ALL SELECT b.idx, b.data_hash, c.hash, sha256(concat_ws('|', b.idx, '2024-01-01T00:00:00', b.data_hash, c.hash, 'ADD')) FROM c JOIN b ON b.idx = c.idx + 1) SELECT idx, data_hash, previous_hash, hash FROM c""")
+_CHAIN = """lo AS (SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts, sha256(concat_ws('|', o_orderkey, o_orderpriority, o_orderstatus)) AS data_hash, o_orderstatus AS action FROM orders),
+  lc AS (SELECT *, repeat('0', 64) AS previous_hash, sha256(concat_ws('|', idx, ts, data_hash, repeat('0', 64), action)) AS hash FROM lo WHERE idx = 0 UNION ALL SELECT lo.*, lc.hash, sha256(concat_ws('|', lo.idx, lo.ts, lo.data_hash, lc.hash, lo.action)) FROM lc JOIN lo ON lo.case_id = lc.case_id AND lo.idx = lc.idx + 1)"""
+_CHECKED = """tp AS (SELECT case_id, idx, ts, CASE WHEN (case_id * 7 + idx) % 41 = 0 THEN '0' ELSE data_hash END AS data_hash, action, CASE WHEN (case_id * 7 + idx) % 41 = 5 THEN '1' ELSE previous_hash END AS previous_hash, hash FROM lc),
+  tb AS (SELECT *, hash <> sha256(concat_ws('|', idx, ts, data_hash, previous_hash, action)) OR previous_hash <> coalesce(lag(hash) OVER (PARTITION BY case_id ORDER BY idx), repeat('0', 64)) AS broken FROM tp)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT case_id, CAST(idx AS INT) AS idx, data_hash, previous_hash, hash FROM lc")
 def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10, X31."""
-    return _ledger(spark, sf_dir).select("idx", "data_hash", "previous_hash", "hash")
+    """A chain for each case, side by side."""
+    return _ledger(spark, sf_dir).select("case_id", "idx", "data_hash", "previous_hash", "hash")
 
 
-@query("SELECT (SELECT count(*) FROM pages) AS blocks, false AS intact, CAST(40 AS BIGINT) AS broken_index")
+@query(f"WITH RECURSIVE {_CHAIN}, {_CHECKED} SELECT case_id, count(*) AS blocks, count(*) FILTER (broken) = 0 AS intact, CAST(min(idx) FILTER (broken) AS INT) AS broken_index FROM tb GROUP BY 1")
 def ledger_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One block tampered with."""
-    tampered = _ledger(spark, sf_dir).withColumn("data_hash", F.when(F.col("idx") == 40, F.lit("0")).otherwise(F.col("data_hash")))
-    return L.verified(tampered)
+    """Data and links tampered with in some of the ledgers."""
+    return L.verified(_tampered(spark, sf_dir), "case_id")
+
+
+@query(f"WITH RECURSIVE {_CHAIN}, {_CHECKED} SELECT case_id, CAST(idx AS INT) AS idx FROM tb WHERE broken")
+def broken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which blocks do not hold."""
+    return L.checked(_tampered(spark, sf_dir), "case_id").where("broken").select("case_id", "idx")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, doc_id <> 5 AS intact FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, sha256(CASE WHEN doc_id % 11 = 5 THEN text || '.' WHEN doc_id % 11 = 7 THEN replace(text, 'zzzz', '') ELSE text END) = sha256(text) AS intact FROM documents")
 def evidence_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12, F3."""
     noted = L.notarized(load(spark, sf_dir, "documents"), "text")
-    changed = noted.withColumn("text", F.when(F.col("doc_id") == 5, F.concat(F.col("text"), F.lit("."))).otherwise(F.col("text")))
+    changed = noted.withColumn("text", F.when(F.col("doc_id") % 11 == 5, F.concat(F.col("text"), F.lit("."))).when(F.col("doc_id") % 11 == 7, F.replace("text", F.lit("zzzz"), F.lit(""))).otherwise(F.col("text")))
     return L.evidence_check(changed, "text").select("doc_id", "sha256", "intact")
 
 
@@ -502,9 +531,9 @@ def learned_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.predicted_leads(K.lead_model(f), f).select("p1", "p2", "is_lead", "lead_score")
 
 
-@query("SELECT 'lines' AS metric, CAST(count(*) AS VARCHAR) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey = 77) UNION ALL SELECT 'ledger', 'INTACT'")
+@query(f"WITH RECURSIVE {_CHAIN}, {_CHECKED} SELECT 'lines' AS metric, CAST(count(*) AS VARCHAR) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 77 UNION ALL SELECT 'ledger', CASE WHEN count(*) FILTER (broken) = 0 THEN 'INTACT' ELSE 'COMPROMISED' END FROM tb WHERE case_id = 77")
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M13, C14."""
-    o = load(spark, sf_dir, "orders").where("o_orderkey = 77").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority")
-    lines = load(spark, sf_dir, "lineitem").withColumn("case_id", F.col("l_orderkey"))
-    return P.case_report(o, {"lines": lines}, _ledger(spark, sf_dir))["metrics"]
+    """C14, M13's metrics of one case (that limit is the feature): its lines, and whether its ledger holds."""
+    o = load(spark, sf_dir, "orders").where("o_custkey = 77").select(F.col("o_custkey").alias("case_id")).distinct()
+    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("case_id", F.col("o_custkey"))
+    return P.case_report(o, {"lines": lines}, _tampered(spark, sf_dir, 77).drop("case_id"))["metrics"]
