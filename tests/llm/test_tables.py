@@ -4,6 +4,7 @@ import bisect
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -237,6 +238,15 @@ def test_url_links_are_all_resolved(spark):
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def test_url_links_in_very_long_pages(spark):
+    """A MB of tags that never end, of spaces, and of tags that are no links: the time must not grow with the square."""
+    end = '<link rel="canonical" href="http://i.org/x">'
+    bodies = ["<link " * 170_000 + ">" + end, "<link " * 170_000, '<link rel=canonical href="' + " " * 1_000_000 + '"><p>' + end, "<meta http-equiv=refresh content='" + "url " * 250_000 + "'>" + end, "<link rel=x>" * 80_000 + end, "<meta content='" * 70_000 + ">" + end]
+    began = time.monotonic()
+    got = {tuple(r) for r in urls.link_edges(spark.createDataFrame([(f"http://h{i}.org/", b) for i, b in enumerate(bodies)], "url string, html string")).collect()}
+    assert got == {(f"http://h{i}.org/", "http://i.org/x") for i in (0, 2, 3, 4, 5)} and time.monotonic() - began < 60
+
+
 def test_url_classes_against_brute_force(spark):
     """Chains, cycles, a hub, urls without a page, and rules that disagree in a class, from a generated edge table."""
     rng = random.Random(12)
