@@ -268,6 +268,7 @@ def importance(degree: DataFrame, between: DataFrame, close: DataFrame, rank: Da
 def importance_reason(metrics: DataFrame) -> DataFrame:
     """metrics(degree, betweenness, pagerank, community_id) with a sentence on why a vertex ranks where it does."""
     d, b = F.col("degree"), F.col("betweenness")
+    # The sentences and their limits.
     own = F.when(d >= 4, F.format_string("High direct connectivity with %d direct links (Hub Entity).", d)).when(d > 1, F.format_string("Moderate connectivity with %d links in Cluster #%d.", d, F.col("community_id"))).when(d == 1, F.format_string("Single peripheral relationship in Cluster #%d.", F.col("community_id"))).otherwise("Isolated node with no active recorded relationships.")
     bridge = F.when(b >= 0.15, "Critical network bridge routing high-frequency multi-hop interactions.").when(b > 0.05, "Intermediary broker connecting multiple sub-graphs.")
     influence = F.when(F.col("pagerank") > 0.1, "High PageRank influence propagated from neighboring central nodes.")
