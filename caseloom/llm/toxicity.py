@@ -28,15 +28,24 @@ EXCEPTIONS = ("pathetic fallacy", "trash can", "trash bin", "class clown fish",
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {i: chr(0x61 + i - a) for a in (0xFF21, 0xFF41) for i in range(a, a + 26)}
-_MIXED = re.compile(r"[\w@$!]*[^\W\d_][\d@$!][\w@$!]*|[\d@$][\w@$!]*[^\W\d_][\w@$!]*")
+_RUN = re.compile(r"[\w@$!]+")
+_INSIDE = re.compile(r"[^\W\d_][\d@$!]")
+_FIRST = re.compile(r"[\d@$]")
 _WORD = re.compile(r"[^\W\d_]+")
+_UNLEET = str.maketrans(DIGITS)
 
 
 def _unleet(m: re.Match) -> str:
-    word = m[0]
-    tail = len(word) - len(word.rstrip("!"))
-    own = word[: len(word) - tail]
-    return "".join(DIGITS.get(c, c) for c in own) + word[len(own) :]
+    """A run of letters, digits and signs: all of it is read as letters if a digit or sign follows a letter, else what
+    begins with the first digit that has a letter after it; signs of exclamation at the end stay. Each step looks at the run once."""
+    run, at = m[0], 0
+    if not _INSIDE.search(run):
+        first = _FIRST.search(run)
+        if not first or not _LETTERS.search(run, first.end()):
+            return run
+        at = first.start()
+    end = len(run.rstrip("!"))
+    return run[:at] + run[at:end].translate(_UNLEET) + run[end:]
 
 
 _SIGN = re.compile(r"[0-9@$!]")
@@ -51,11 +60,21 @@ def folded(text: str) -> str:
         if m.start() >= done:
             start = max(done, text.rfind(" ", done, m.start()) + 1, text.rfind("\n", done, m.start()) + 1)
             end = _SPACE.search(text, m.end()).start()
-            out += [text[done:start], _MIXED.sub(_unleet, text[start:end])]
+            out += [text[done:start], _RUN.sub(_unleet, text[start:end])]
             done = end
     return "".join([*out, text[done:]])
 
 
+def _outside(places: list[int], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which places lie in none of the spans (start, end): the furthest end of the spans that begin up to a place decides."""
+    if not spans:
+        return [True] * len(places)
+    begin, end = np.array(sorted(spans)).T
+    reach = np.concatenate(([-1], np.maximum.accumulate(end)))
+    at = np.array(places, np.int64)
+    return (reach[np.searchsorted(begin, at, "right")] <= at).tolist()
+
+
 @dataclass
 class Lexicon:
     """Folded words (whole) and word beginnings with their weights, and the logistic curve of a text's score."""
@@ -96,7 +115,7 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found[start] = max(x, found.get(start, 0.0))
-        total = sum(x for at, x in found.items() if not any(a <= at < b for a, b in spared))
+        total = sum(x for x, out in zip(found.values(), _outside(list(found), spared), strict=True) if out)
         return float(np.log1p(total)), float(np.log1p(100 * total / max(25, len(words))))
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -177,7 +196,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) for each row; a null or empty text has the score of a text without a match. Extra columns are not read."""
+    """(doc_id, score) for each row; a null or empty text has the score of a text without a match. Extra columns are not read.
+
+    Rows are scored one by one: repeated rows get equal scores as often as they occur, a null doc_id stays null, an empty
+    table gives an empty result. A very long text, spaced or not, takes time in proportion to its length; it is held by one task.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = np.array([lexicon.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)

@@ -1,5 +1,6 @@
 """License and secret scans, toxicity and decontamination against brute force on small tables."""
 
+import math
 import random
 import re
 import time
@@ -152,6 +153,52 @@ def features_brute(lexicon, text):
     return float(np.log1p(total)), float(np.log1p(100 * total / max(25, len(words))))
 
 
+def test_toxicity_fold_by_characters():
+    """Each run against the rule said character by character."""
+    rng = random.Random(11)
+    digit = lambda c: c.isdecimal() or c in "@$"
+
+    def slow(run: str) -> str:
+        n = len(run)
+        letter = [c.isalnum() and not c.isdecimal() for c in run]
+        at = n
+        if any(letter[i] and (digit(run[i + 1]) or run[i + 1] == "!") for i in range(n - 1)):
+            at = 0
+        else:
+            at = min((i for i in range(n) if digit(run[i]) and any(letter[i + 1 :])), default=n)
+        end = n
+        while end > at and run[end - 1] == "!":
+            end -= 1
+        return run[:at] + "".join(toxicity.DIGITS.get(c, c) for c in run[at:end]) + run[end:]
+
+    for _ in range(5000):
+        runs = ["".join(rng.choices("ab_10@$!7", k=rng.randint(1, 7))) for _ in range(3)]
+        assert toxicity.folded(" ".join(runs)) == " ".join(slow(r) for r in runs), runs
+    assert toxicity.folded("a.b1t,\tx1\n1_a") == "a.bit,\txi\ni_a"
+
+
+def test_toxicity_of_very_long_texts(spark):
+    """A run of a megabyte with one sign, and exceptions by the hundred thousand, take time by their length."""
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "trash": 1.5}, {"clow": 2.0})
+    half = "x" * 500_000
+    texts = ["!" + half + half, half + "1" + half, "1" * 1_000_000, "!" * 1_000_000, "_1" * 500_000, "trash can " * 100_000, "trash can idiot " * 60_000]
+    start = time.monotonic()
+    got = [lexicon.features(t) for t in texts]
+    assert time.monotonic() - start < 30
+    assert [f[0] for f in got[:6]] == [0.0] * 6 and abs(got[6][0] - math.log1p(180_000)) < 1e-9
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, "idiot")]
+    out = toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()
+    assert len(out) == 9 and len({r["score"] for r in out if r["doc_id"] == 0}) == 1
+
+
+def test_toxicity_exceptions_that_overlap():
+    rng = random.Random(5)
+    for _ in range(500):
+        spans = [(a := rng.randint(0, 30), a + rng.randint(0, 9)) for _ in range(rng.randint(0, 6))]
+        places = [rng.randint(0, 40) for _ in range(8)]
+        assert toxicity._outside(places, spans) == [not any(a <= p < b for a, b in spans) for p in places]
+
+
 def test_toxicity_scores_against_brute_force(spark):
     rng = random.Random(7)
     lexicon = toxicity.Lexicon({"idiot": 3.0, "clown": 2.0, "trash": 1.5, "loser": 1.0}, {"lowei": 4.0, "idio": 0.5, "clow": 2.5}, curve=(-2.0, 1.5, 0.5))
