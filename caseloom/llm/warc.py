@@ -85,10 +85,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, per_file
     Equal payloads of at least LEAST_SHARED bytes are stored once, with the smallest page_id; the others refer to it.
     Files are written by Spark's committed writer, so a lost task leaves no half file: a record is a line of text whose
     separator is the WARC record's closing two line ends. A null html is an empty payload; null ids and urls have no header.
+    Rows that repeat a whole row of the smallest page_id are responses like it; an empty table gives no records; other
+    columns are not read. A very long payload is held by one task and goes out in segments.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
-    shared = pages.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain and a digest of very many pages can be split.
+    shared = written(pages.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc_shared")
     again = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     rows = pages.join(shared, "digest", "left").select("page_id", "url", "digest", again.alias("refers_to"), F.when(again.isNull(), F.col("payload")).alias("payload"))
 
@@ -223,7 +226,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     whole = table.where("segment is null").unionByName(table.where("segment is not null").groupBy("origin_id").applyInArrow(joined, PARSED))
     names = ["record_id", "page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "error"]
     plain = whole.where("record_type != 'revisit'").select(*names)
-    origin = plain.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest"), "payload", "payload_bytes", "payload_digest", "error").dropDuplicates(["refers_to", "header_digest"])
+    wanted = table.where("record_type = 'revisit'").select("refers_to", "header_digest").distinct()
+    origin = plain.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest"), "payload", "payload_bytes", "payload_digest", "error")
+    origin = written(origin.join(wanted, ["refers_to", "header_digest"], "left_semi").dropDuplicates(["refers_to", "header_digest"]), "warc_origins")
     revisits = whole.where("record_type = 'revisit'").drop("payload", "payload_bytes", "payload_digest", "error").join(origin, ["refers_to", "header_digest"], "left")
     lost = F.when(F.col("payload_digest").isNull() & F.col("error").isNull(), F.lit("its response is missing")).otherwise(F.col("error"))
     return plain.unionByName(revisits.withColumn("error", lost).select(*names))

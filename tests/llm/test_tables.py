@@ -64,6 +64,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_hot_payload(spark):
+    """One payload on most pages: joins have written sides that can be split, and every page refers to the smallest id."""
+    hot = "error page " * 20
+    rows = [(i, f"http://h/{i}", hot if i % 4 else f"page {i} " * 20) for i in range(2000)] + [(1, "http://h/1", hot), (2001, "http://h/l", "z" * (1 << 20))]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and not any(r["error"] for r in got)
+    assert sorted(r["page_id"] for r in got if r["record_type"] == "revisit") == [i for i in range(2000) if i % 4 and i != 1]
+    assert {(r["refers_to"], r["payload_bytes"]) for r in got if r["record_type"] == "revisit"} == {(1, len(hot))}
+
+
 def test_broken_segments_and_framing(spark, tmp_path):
     own = list(warc.records(1, "u", b"x" * 1000, "d", None, segment=300))
     assert len(own) > 3
