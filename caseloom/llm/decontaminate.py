@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Words, binary, by_batch, distinct_sorted, written
 from .minhash import _SIGMA, _pi, mix
 
-#: Classes of benchmark items, and shingles of theirs, held in memory at once; a larger benchmark takes as many passes over the documents as it has blocks.
+#: Classes of benchmark items, and shingles of theirs, held in memory at once, on the driver too; a larger benchmark takes as many passes over the documents as it has blocks.
 BLOCK, SHINGLES = 20_000, 2_000_000
 COORDINATES = 64
 #: Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
@@ -117,8 +117,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, contai
     tables give empty results.
 
     Classes are formed over the whole benchmark and divided into blocks of bounded size, each class in one, so the
-    result does not depend on the blocks. Only one block is in memory at a time, so the benchmark may be of any size;
-    documents are never shuffled.
+    result does not depend on the blocks. Of several blocks each is searched and its findings are written before the next
+    is read, so that driver and tasks hold one at a time; the documents are read once for each block and never shuffled.
+    A very long text is a step of its own, which holds some numbers for each of its words.
     """
     sets = written(_item_sets(benchmark, shingle).where(F.lit(short) | (F.col("words") == shingle)), "item_sets")
     low = sets.groupBy("key").agg(F.min("item_id").alias("item_id"))
@@ -153,5 +154,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, contai
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
         part = by_batch(docs, run, "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        part = part if blocks == 1 else written(part, "contaminated")
         out = part if out is None else out.union(part)
     return out
