@@ -21,13 +21,14 @@ SHARD = 4096
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: a regex, and least lengths of the whole match and of a group (0 for none)."""
+    """A kind of secret: a regex, least lengths of the whole match and of a group (0 for none), and a group that only leads up to the secret (0 for none)."""
 
     kind: str
     regex: str
     least: int = 0
     group: int = 0
     group_least: int = 0
+    lead: int = 0
 
 
 #: The base rules, in the order of their kinds.
@@ -42,7 +43,8 @@ MORE = (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # Of a run of its characters only the first eyJ can begin a match, so the search goes from run to run and reads each a few times at most.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])((?:(?!eyJ)[A-Za-z0-9_-])*+)eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++", lead=1),
     Rule("stripe", r"sk_live_[0-9A-Za-z]{16,}"),
     Rule("url_login", r"://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+-]{1,64}@"),
 )
@@ -202,16 +204,18 @@ def _verified(rule: Rule, order: int) -> Column:
     text, regex = F.col("text"), F.lit(rule.regex)
     gaps = F.transform(F.split(text, rule.regex, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
-    group = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length) if rule.group else F.lit(None).cast("array<int>")
+    size = lambda n: F.transform(F.regexp_extract_all(text, regex, F.lit(n)), F.length) if n else F.lit(None).cast("array<int>")
 
     def spans(x: Column) -> Column:
         ends = _running(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["whole"])), x["whole"], lambda a, b: a + b), lambda a, b: a + b, 0)
         found = F.zip_with(ends, x["whole"], lambda end, n: F.struct((end - n).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        if rule.lead:
+            found = F.zip_with(found, x["lead"], lambda s, n: s.withField("start", s["start"] + n))
         if rule.group:
             found = F.zip_with(found, x["own"], lambda s, n: F.when(n >= rule.group_least, s))
         return F.filter(found, lambda s: s.isNotNull() & (s["end"] - s["start"] >= rule.least))
 
-    return _given(F.struct(gaps.alias("gaps"), whole.alias("whole"), group.alias("own")), spans)
+    return _given(F.struct(gaps.alias("gaps"), whole.alias("whole"), size(rule.group).alias("own"), size(rule.lead).alias("lead")), spans)
 
 
 def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -224,7 +228,7 @@ def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Dat
     The trigram index is built once, each rule's Boolean query is answered from its postings, and a row is matched only
     against the rules that it is a candidate of; rules without mandatory trigrams scan every row. Candidates are a narrow
     table that Spark broadcasts if it is small; else rows and candidates meet by key. Work on a text grows with its
-    length and its matches.
+    length and its matches: no rule reads a part of a text more than a fixed number of times.
     """
     queries = [trigram_query(r.regex) for r in rules]
     grams = sorted({g for q in queries for g in trigrams(q)})

@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from caseloom.llm import licenses, secrets, toxicity
+from caseloom.llm import licenses, secrets, sql, toxicity
 from caseloom.llm.decontaminate import contaminated, item_classes
 
 DOCS = "doc_id long, text string, words int, spans int, found int, label int"
@@ -105,6 +105,22 @@ def test_secret_postings_and_many_matches(spark):
     assert took[2] < 8 * took[1], took
 
 
+def test_token_rule_finds_what_its_plain_form_finds(spark):
+    """The rule that goes from run to run against the plain regex, and its time on one run of 1 MB without dots and on very many dots."""
+    rng, order = random.Random(11), [r.kind for r in secrets.BASE + secrets.MORE].index("jwt")
+    parts = ["eyJ", "eyJhbGciOi", ".", ".", "eyJzdWIiOiI", "abc", "_", "-", " ", "😀", "\n", "eyJ01234567", "x."]
+    texts = ["", None, "eyJ01234567.eyJ01234567.a.eyJ01234567.eyJ01234567.b", *("".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(1500))]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["order"] == order] for r in secrets.found_secrets(frame(spark, enumerate(texts))).select("doc_id", "spans").collect()}
+    want = {i: [m.span() for m in re.finditer(sql.PLAIN["jwt"], t or "")] for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 100
+    assert set(secrets.trigram_query(secrets.MORE[order - 3].regex)) == {"and", "eyj", ".ey"}
+    long = ["eyJ" * 350_000, "eyJ01234567." * 90_000 + "é", "eyJ01234567.x " * 80_000, "x" * 1_000_000 + "eyJ01234567.eyJ01234567.end"]
+    began = time.time()
+    spans = [[(s["start"], s["end"]) for s in r["spans"] if s["order"] == order] for r in secrets.found_secrets(frame(spark, enumerate(long))).orderBy("doc_id").collect()]
+    assert time.time() - began < 60
+    assert spans == [[], [(36 * i, 36 * i + 35) for i in range(30_000)], [], [(1_000_000, 1_000_027)]]
+
+
 def test_trigram_queries_hold_on_their_own_matches():
     assert secrets.trigram_query("[0-9a-f]{24,}") is True
     assert secrets.trigram_query("AKIA[A-Z]+") == ("and", "aki", "kia")
