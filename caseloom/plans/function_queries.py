@@ -102,28 +102,41 @@ def name_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", M.match_score(a, b).alias("match_score"), M.exact(a, b).alias("exact"), F.round(M.partial(a, b), 6).alias("partial"), F.round(M.token_cosine(a, b), 6).alias("token_cosine"), F.round(M.set_jaccard(M.tokens(a), M.tokens(b)), 6).alias("token_jaccard"))
 
 
-@query()
+#: For p(id, a, b): j(id, a, b, j) with the Jaro similarity, a step for each character of a.
+_JARO = """s AS (SELECT id, a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS r, 1 AS i, b AS f, '' AS l FROM p UNION ALL
+    SELECT id, a, b, r, i + 1, CASE WHEN k > 0 THEN substr(f, 1, low + k - 2) || chr(1) || substr(f, low + k) ELSE f END, CASE WHEN k > 0 THEN l || a[i] ELSE l END
+    FROM (SELECT *, greatest(1, i - r) AS low, instr(substr(f, greatest(1, i - r), i + r - greatest(1, i - r) + 1), a[i]) AS k FROM s WHERE i <= length(a))),
+  m AS (SELECT id, a, b, l, length(l) AS m, array_to_string([b[n] for n in range(1, length(b) + 1) if f[n] = chr(1)], '') AS g FROM s WHERE i > length(a)),
+  j AS (SELECT id, a, b, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - len([n for n in range(1, m + 1) if l[n] != g[n]]) / 2.0::DOUBLE) / m) / 3 END AS j FROM m)"""
+_WINKLER = "round(j + 0.1::DOUBLE * CASE WHEN a[1] != b[1] THEN 0 WHEN a[2] != b[2] THEN 1 WHEN a[3] != b[3] THEN 2 WHEN a[4] != b[4] THEN 3 ELSE 4 END * (1 - j), 6)"
+#: Of x and y: n * 1000 - i of the longest common text, n characters from x[i] on, the first of equal ones; null if there is none.
+_LONGEST = "list_max(flatten([[n * 1000 - i for n in range(1, length(x) - i + 2) if contains(y, substr(x, i, n))] for i in range(1, length(x) + 1)]))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, strip_accents(p_name) AS a, lower(p_type) AS b FROM part),
+  {_JARO},
+  q AS (SELECT id, x, y, {_LONGEST} AS v FROM (SELECT id, a AS x, b AS y FROM p) UNION ALL
+    SELECT id, x, y, {_LONGEST} FROM (SELECT id, unnest([substr(x, 1, i - 1), substr(x, i + n)]) AS x, unnest([substr(y, 1, k - 1), substr(y, k + n)]) AS y
+      FROM (SELECT *, instr(y, substr(x, i, n)) AS k FROM (SELECT *, n * 1000 - v AS i FROM (SELECT *, (v + 999) // 1000 AS n FROM q WHERE v IS NOT NULL)))) WHERE x != '' AND y != ''),
+  n AS (SELECT id, coalesce(sum((v + 999) // 1000), 0) AS same FROM q GROUP BY 1)
+  SELECT id, round(2.0::DOUBLE * same / (length(a) + length(b)), 6) AS sequence_ratio, {_WINKLER} AS jaro_winkler FROM j JOIN n USING (id)""")
 def name_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two character matchers and accents, over parts' names and types."""
+    """The two character matchers and accents, over all parts' names and types."""
     rows = load(spark, sf_dir, "part")
     a, b = N.remove_accents(F.col("p_name")), F.lower("p_type")
-    return rows.select(F.col("p_partkey").alias("id"), F.round(M.sequence_ratio(a, b), 6).alias("sequence_ratio"), F.round(M.jaro_winkler_udf(a, b), 6).alias("jaro_winkler"))
+    return rows.select(F.col("p_partkey").alias("id"), F.round(M.sequence_ratio(a, b), 6).alias("sequence_ratio"), F.round(M.jaro_winkler(a, b), 6).alias("jaro_winkler"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type || ' ' || split_part(p_name, ' ', 2)) AS b FROM part UNION ALL SELECT -p_partkey, lower(p_name), substr(lower(p_name), 1, 3) || lower(p_type) FROM part),
-  s AS (SELECT id, a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS r, 1 AS i, b AS f, '' AS l FROM p UNION ALL
-    SELECT id, a, b, r, i + 1, CASE WHEN k > 0 THEN substr(f, 1, low + k - 2) || chr(1) || substr(f, low + k) ELSE f END, CASE WHEN k > 0 THEN l || a[i] ELSE l END
-    FROM (SELECT *, greatest(1, i - r) AS low, instr(substr(f, greatest(1, i - r), i + r - greatest(1, i - r) + 1), a[i]) AS k FROM s WHERE i <= length(a))),
-  m AS (SELECT id, a, b, l, length(l) AS m, array_to_string([b[n] for n in range(1, length(b) + 1) if f[n] = chr(1)], '') AS g FROM s WHERE i > length(a)),
-  j AS (SELECT id, a, b, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - len([n for n in range(1, m + 1) if l[n] != g[n]]) / 2.0::DOUBLE) / m) / 3 END AS j FROM m)
-  SELECT id, round(j + 0.1::DOUBLE * CASE WHEN a[1] != b[1] THEN 0 WHEN a[2] != b[2] THEN 1 WHEN a[3] != b[3] THEN 2 WHEN a[4] != b[4] THEN 3 ELSE 4 END * (1 - j), 6) AS jaro_winkler FROM j""")
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type || ' ' || split_part(p_name, ' ', 2)) AS b FROM part UNION ALL SELECT -p_partkey, lower(p_name), substr(lower(p_name), 1, 3) || lower(p_type) FROM part),
+  {_JARO}
+  SELECT id, {_WINKLER} AS jaro_winkler FROM j""")
 def name_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X22 over all parts, with pairs that share a beginning and pairs that need not."""
     a, kind = F.lower("p_name"), F.lower("p_type")
     rows = load(spark, sf_dir, "part")
     apart = rows.select(F.col("p_partkey").alias("id"), a.alias("a"), F.lower(F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), 2))).alias("b"))
     alike = rows.select((-F.col("p_partkey")).alias("id"), a.alias("a"), F.concat(F.substring(a, 1, 3), kind).alias("b"))
-    return apart.unionByName(alike).select("id", F.round(M.jaro_winkler_udf("a", "b"), 6).alias("jaro_winkler"))
+    return apart.unionByName(alike).select("id", F.round(M.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
 
 
 @query("""SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(day(ts) AS INT) AS day_of_month, CAST(month(ts) AS INT) AS month,

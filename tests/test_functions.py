@@ -1,5 +1,6 @@
 """Normalizers, similarities and scores: worked examples and independent formulas."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -57,8 +58,39 @@ def test_similarities(spark):
     x = F.lit
     got = one(spark, M.sequence_ratio(x("rahul kumar"), x("rahul kmar")), M.partial(x("rahul"), x("rahul kumar")), M.match_score(x("A b"), x("a B")), M.match_score(x("a"), x("a b")), M.match_score(x("a"), x("c")), M.token_cosine(x("a b"), x("b c")), M.set_jaccard(F.array(x("a"), x("b")), F.array(x("b"))))
     assert got[0] > 0.85 and got[1] > 0.5 and got[2:5] == (100, 80, 0) and abs(got[5] - 0.5) < 1e-12 and got[6] == 0.5
-    assert M.jaro_winkler("martha", "marhta") > 0.96 and M.jaro_winkler("", "a") == 0 and M.jaro_winkler("abc", "abc") == 1
-    assert abs(M.jaro_winkler("dwayne", "duane") - 0.84) < 0.001 and abs(M.jaro_winkler("ab", "ax") - (0.5 + 0.5 / 3 + 0.1 * (1 - (0.5 + 0.5 / 3)))) < 1e-9
+
+
+def jaro_winkler(a, b):
+    if a == b or not a or not b:
+        return float(a == b)
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    free, left = list(b), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] == c), None)
+        if j is not None:
+            free[j] = None
+            left.append(c)
+    if not left:
+        return 0.0
+    right = [c for c, f in zip(b, free, strict=True) if f is None]
+    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    prefix = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
+    return jaro + 0.1 * prefix * (1 - jaro)
+
+
+def test_character_matchers_against_brute_force(spark):
+    """Both matchers on random texts with many equal characters, spaces, signs of two and four bytes, empty and null texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(rng.choice(["ab", "abc ", "aé😀b", "abcdefghij "]), k=rng.randrange(0, 25)))
+    pairs = [("martha", "marhta"), ("dwayne", "duane"), ("ab", "ax"), ("", "a"), ("a", ""), ("", ""), ("abc", "abc"), ("private thread", "private volatile thread"), *((word(), word()) for _ in range(1500))]
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None), (None, None)], "a string, b string")
+    got = rows.select("a", "b", M.sequence_ratio(F.col("a"), F.col("b")).alias("s"), M.jaro_winkler(F.col("a"), F.col("b")).alias("j")).collect()
+    for r in got:
+        a, b = r["a"] or "", r["b"] or ""
+        assert abs(r["j"] - jaro_winkler(a, b)) < 1e-12, (a, b)
+        assert abs(r["s"] - (difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0)) < 1e-12, (a, b)
+    assert len(got) == len(pairs) + 3 and got[0]["j"] > 0.96 and abs(got[1]["j"] - 0.84) < 0.001
 
 
 def test_scores(spark):
