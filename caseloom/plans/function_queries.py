@@ -112,14 +112,18 @@ _WINKLER = "round(j + 0.1::DOUBLE * CASE WHEN a[1] != b[1] THEN 0 WHEN a[2] != b
 #: Of x and y: n * 1000 - i of the longest common text, n characters from x[i] on, the first of equal ones; null if there is none.
 _LONGEST = "list_max(flatten([[n * 1000 - i for n in range(1, length(x) - i + 2) if contains(y, substr(x, i, n))] for i in range(1, length(x) + 1)]))"
 
+#: For p(id, a, b): ratios(id, ratio) of matching characters, by the longest common text and what lies left and right of it, again and again.
+RATIO = f"""q AS (SELECT id, x, y, {_LONGEST} AS v FROM (SELECT id, a AS x, b AS y FROM p) UNION ALL
+    SELECT id, x, y, {_LONGEST} FROM (SELECT id, unnest([substr(x, 1, i - 1), substr(x, i + n)]) AS x, unnest([substr(y, 1, k - 1), substr(y, k + n)]) AS y
+      FROM (SELECT *, instr(y, substr(x, i, n)) AS k FROM (SELECT *, n * 1000 - v AS i FROM (SELECT *, (v + 999) // 1000 AS n FROM q WHERE v IS NOT NULL)))) WHERE x != '' AND y != ''),
+  n AS (SELECT id, coalesce(sum((v + 999) // 1000), 0) AS same FROM q GROUP BY 1),
+  ratios AS (SELECT id, 2.0::DOUBLE * same / (length(a) + length(b)) AS ratio FROM p JOIN n USING (id))"""
+
 
 @query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, strip_accents(p_name) AS a, lower(p_type) AS b FROM part),
   {_JARO},
-  q AS (SELECT id, x, y, {_LONGEST} AS v FROM (SELECT id, a AS x, b AS y FROM p) UNION ALL
-    SELECT id, x, y, {_LONGEST} FROM (SELECT id, unnest([substr(x, 1, i - 1), substr(x, i + n)]) AS x, unnest([substr(y, 1, k - 1), substr(y, k + n)]) AS y
-      FROM (SELECT *, instr(y, substr(x, i, n)) AS k FROM (SELECT *, n * 1000 - v AS i FROM (SELECT *, (v + 999) // 1000 AS n FROM q WHERE v IS NOT NULL)))) WHERE x != '' AND y != ''),
-  n AS (SELECT id, coalesce(sum((v + 999) // 1000), 0) AS same FROM q GROUP BY 1)
-  SELECT id, round(2.0::DOUBLE * same / (length(a) + length(b)), 6) AS sequence_ratio, {_WINKLER} AS jaro_winkler FROM j JOIN n USING (id)""")
+  {RATIO}
+  SELECT id, round(ratio, 6) AS sequence_ratio, {_WINKLER} AS jaro_winkler FROM j JOIN ratios USING (id)""")
 def name_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two character matchers and accents, over all parts' names and types."""
     rows = load(spark, sf_dir, "part")

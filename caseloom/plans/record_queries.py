@@ -16,6 +16,7 @@ from caseloom.plans import views as V
 from caseloom.plans.activity_queries import _STATS
 from caseloom.plans.function_queries import _SOUNDEX, _SQUEEZE, NAMES_SQL, names
 from caseloom.plans.graph_queries import edges
+from caseloom.plans.function_queries import RATIO
 from caseloom.registry import load, query
 
 _CASES = f"WITH {V.CASES_SQL}"
@@ -385,13 +386,22 @@ def _cosine(a: str, b: str) -> str:
 
 
 _PART = "CASE WHEN s.name <> '' AND (contains(s.name, r.name) OR contains(r.name, s.name)) THEN least(length(s.name), length(r.name)) / CAST(greatest(length(s.name), length(r.name)) AS DOUBLE) * 0.8::DOUBLE + 0.2::DOUBLE ELSE 0 END"
-_BY_WORDS = f"""{_SEEN}, sc AS (SELECT s.id AS e, r.id AS candidate_id, r.name AS canonical_name, {_cosine("s.name", "r.name")} AS c, {_PART} AS p, {_cosine("CASE WHEN s.alias <> '' THEN s.alias ELSE s.name END", "r.alias")} AS a, {_cosine("s.place", "r.place")} AS l, s.name <> '' AS hn, s.alias <> '' OR s.name <> '' AS ha, s.phone <> '' AS hp, s.phone = r.phone AS p1, s.vehicle <> '' AND r.vehicle <> '' AS hv, s.vehicle = r.vehicle AS v1, s.place <> '' AS hl FROM sg s JOIN rg r ON s.kind = '' OR r.kind = '' OR s.kind = r.kind),
-  cf AS (SELECT e, candidate_id, canonical_name, round((CASE WHEN hn THEN greatest(c, p) * 0.35::DOUBLE + c * 0.10::DOUBLE ELSE 0 END + CASE WHEN ha THEN a * 0.20::DOUBLE ELSE 0 END + CASE WHEN hp AND p1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv AND v1 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN l * 0.05::DOUBLE ELSE 0 END) / nullif(CASE WHEN hn THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN ha THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hp THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN 0.05::DOUBLE ELSE 0 END, 0), 4) AS confidence FROM sc),
+#: Of sc(e, candidate_id, canonical_name, n, c, p, a, l, h*): the scores of name, its words, its part, alias and place, with what is there; the best entry of each sighting.
+_BEST = """cf AS (SELECT e, candidate_id, canonical_name, round((CASE WHEN hn THEN greatest(n, p) * 0.35::DOUBLE + c * 0.10::DOUBLE ELSE 0 END + CASE WHEN ha THEN a * 0.20::DOUBLE ELSE 0 END + CASE WHEN hp AND p1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv AND v1 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN l * 0.05::DOUBLE ELSE 0 END) / nullif(CASE WHEN hn THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN ha THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hp THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN hv THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN hl THEN 0.05::DOUBLE ELSE 0 END, 0), 4) AS confidence FROM sc),
   bm AS (SELECT e, arg_min(candidate_id, (-confidence, candidate_id)) AS matched_id, arg_min(canonical_name, (-confidence, candidate_id)) AS canonical_name, max(confidence) AS confidence FROM cf WHERE confidence >= 0.65 GROUP BY 1),
   mt AS (SELECT id + 1000000 AS entity_id, id AS true_id, matched_id, canonical_name, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.85 THEN 'HIGH_CONFIDENCE_MATCH' WHEN confidence >= 0.65 THEN 'POTENTIAL_LEAD_REVIEW_REQUIRED' ELSE 'DISTINCT_ENTITY' END AS decision, coalesce(confidence < 0.85, false) AS requires_review FROM sg LEFT JOIN bm ON e = id)"""
-
-
-@query()
+_SCORED = "s.name <> '' AS hn, s.alias <> '' OR s.name <> '' AS ha, s.phone <> '' AS hp, s.phone = r.phone AS p1, s.vehicle <> '' AND r.vehicle <> '' AS hv, s.vehicle = r.vehicle AS v1, s.place <> '' AS hl FROM sg s JOIN rg r ON s.kind = '' OR r.kind = '' OR s.kind = r.kind"
+_CHECKED = "CASE WHEN s.alias <> '' THEN s.alias ELSE s.name END"
+_BY_WORDS = f"""{_SEEN}, sc AS (SELECT s.id AS e, r.id AS candidate_id, r.name AS canonical_name, {_cosine("s.name", "r.name")} AS c, c AS n, {_PART} AS p, {_cosine(_CHECKED, "r.alias")} AS a, {_cosine("s.place", "r.place")} AS l, {_SCORED}),
+  {_BEST}"""
+_BY_CHARACTERS = f"""{_SEEN}, p AS MATERIALIZED (SELECT row_number() OVER () AS id, a, b FROM (SELECT DISTINCT s.name AS a, r.name AS b FROM (SELECT DISTINCT name FROM sg) s, (SELECT DISTINCT name FROM rg) r UNION SELECT s.place, r.place FROM (SELECT DISTINCT place FROM sg) s, (SELECT DISTINCT place FROM rg) r UNION SELECT s.x, r.alias FROM (SELECT DISTINCT {_CHECKED} AS x FROM sg s) s, (SELECT DISTINCT alias FROM rg) r) WHERE a <> '' AND b <> ''),
+  {RATIO}, rt AS MATERIALIZED (SELECT a AS x, b AS y, ratio FROM p JOIN ratios USING (id)),
+  sd AS (SELECT s.id AS e, r.id AS candidate_id, r.name AS canonical_name, {_cosine("s.name", "r.name")} AS c, {_PART} AS p, s.name AS s1, r.name AS r1, {_CHECKED} AS s2, r.alias AS r2, s.place AS s3, r.place AS r3, {_SCORED}),
+  sc AS (SELECT sd.*, coalesce(u.ratio, 0) AS n, coalesce(v.ratio, 0) AS a, coalesce(w.ratio, 0) AS l FROM sd LEFT JOIN rt u ON u.x = s1 AND u.y = r1 LEFT JOIN rt v ON v.x = s2 AND v.y = r2 LEFT JOIN rt w ON w.x = s3 AND w.y = r3),
+  {_BEST}"""
+
+
+@query(f"WITH RECURSIVE {_BY_CHARACTERS} SELECT entity_id, matched_id, canonical_name, confidence, decision, requires_review FROM mt")
 def registry_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X25, J8, W4, by matching characters."""
     return E.best_matches(sightings(spark, sf_dir), registry(spark, sf_dir))
