@@ -232,6 +232,15 @@ def test_url_rules_and_aliases(spark):
     assert urls.filtered(frame.limit(0)).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    """net/de/ is allowed, with example.net/de/8 as the blocked exception."""
+    fixed = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {host + path: verdict for verdict, host, path in urls.RULES} == fixed
+    rows = [(1, "https://x.net/de/8", None), (2, "http://example.net/de/7", None), (3, "http://a.example.net/de/80", None), (4, "http://example.net/fr/8", None)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: (None, "allow")}
+
+
 def test_url_links_are_all_resolved(spark):
     canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     cases = [
