@@ -492,3 +492,22 @@ def test_review_decisions_leave_an_audit_row(spark):
     audit = resolution.review_audit(pairs, made).collect()
     assert [(r["id_b"], r["action"], r["detail"]) for r in audit] == [(2, "ENTITY_RESOLUTION_CONFIRMED_ALIAS", "[Decision: CONFIRMED_ALIAS] A and B (confidence 90%)")]
     assert {r["id_b"]: r["review_status"] for r in resolution.reviewed(pairs, made).collect()} == {2: "CONFIRMED_ALIAS", 3: "REJECTED"}
+
+
+def test_case_counts_by_the_id_that_a_part_names(spark):
+    """Case and other ids overlap: lines of case 7 are not those of the case whose other id is 7."""
+    cases = spark.createDataFrame([("1", "7"), ("7", "9"), ("5", "5"), ("6", None), ("8", "7")], "case_id string, other_id string")
+    lines, people = spark.createDataFrame([(1,), (7,), (7,), (5,)], "k long"), spark.createDataFrame([(7,), (5,), (1,), (None,)], "k long")
+    both = {r["case_id"]: (r["lines"], r["people"]) for r in records.case_counts(cases, {"lines": (lines, "k", "case_id"), "people": (people, "k", "other_id")}).collect()}
+    assert both == {"1": (1, 1), "7": (2, 0), "5": (1, 1), "6": (0, 0), "8": (0, 1)}
+    either = {r["case_id"]: r["lines"] for r in records.case_counts(cases, {"lines": (lines, "k")}).collect()}
+    assert either == {"1": 3, "7": 2, "5": 1, "6": 0, "8": 2}
+
+
+def test_search_reads_what_edges_say_but_not_their_ids(spark):
+    v, e = network(spark, [("a", "b"), ("c", "d"), ("x", "y")])
+    e = e.withColumn("edge_id", F.concat(F.lit("0001-"), "edge_id"))
+    assert graph.search_network(v, e, "0001")[0].count() == 0
+    told = e.withColumn("detail", F.when(F.col("src") == "c", "Seen at Dock 0001"))
+    nodes, inside = graph.search_network(v, told, "dock 0001")
+    assert {r["id"] for r in nodes.collect()} == {"c", "d"} and inside.count() == 1
