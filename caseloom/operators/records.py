@@ -117,12 +117,28 @@ def audit_event(events: DataFrame, reference: str) -> DataFrame:
     return own.where(F.col("reference").startswith(reference) if reference.upper().startswith("AUD-") else F.col("event_id").cast("string") == reference)
 
 
-def case_counts(cases: DataFrame, parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """cases(case_id, other_id) with a count of each part's rows under either id: one union and one aggregate."""
-    ids = cases.select("case_id", F.explode(F.array_distinct(F.array_compact(F.array("case_id", "other_id")))).alias("key"))
-    rows = reduce(DataFrame.union, (df.select(F.col(k).cast("string").alias("key"), F.lit(n).alias("part")) for n, (df, k) in parts.items()))
-    sums = ids.join(rows, "key").groupBy("case_id").agg(*(F.count_if(F.col("part") == n).alias(n) for n in parts))
-    return cases.join(sums, "case_id", "left").fillna(0, list(parts))
+def case_counts(cases: DataFrame, parts: dict[str, tuple[DataFrame, str] | tuple[DataFrame, str, str]]) -> DataFrame:
+    """cases(case_id, other_id) with a count of each part's rows under either id, or only under the one that the part names.
+
+    The ids may overlap: a part that belongs to one of them must name it. All counts come from one union and one aggregate by
+    id, case and other ids apart, so that a case's row meets one row of counts for each of its ids; ids that are the same count once.
+    """
+    sides = ("case_id", "other_id")
+    side_of = {n: part[2:] or sides for n, part in parts.items()}
+    each = lambda names: F.explode(F.array(*(F.lit(s) for s in names)))
+    rows = reduce(DataFrame.union, (part[0].select(F.col(part[1]).cast("string").alias("_key"), F.lit(n).alias("_part")).where("_key is not null").select(each(side_of[n]).alias("_side"), "_key", "_part") for n, part in parts.items()))
+    counts = rows.groupBy("_side", "_key").agg(*(F.count_if(F.col("_part") == n).alias(n) for n in parts))
+    out = cases
+    for s in sides:
+        own = counts.where(F.col("_side") == s).select(F.col("_key").alias(f"_{s}"), *(F.col(n).alias(f"_{s}_{n}") for n in parts))
+        out = out.join(own, F.col(s).cast("string") == F.col(f"_{s}"), "left")
+    same = F.col("case_id").eqNullSafe(F.col("other_id"))
+
+    def count(n: str) -> Column:
+        case, other = (F.coalesce(f"_{s}_{n}", F.lit(0)) for s in sides)
+        return (case + (F.when(same, 0).otherwise(other) if side_of[n] == sides else other)).cast("long").alias(n)
+
+    return out.select(*cases.columns, *(count(n) for n in parts))
 
 
 def inserted(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
