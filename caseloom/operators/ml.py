@@ -229,10 +229,12 @@ def lead_model(features: DataFrame, columns: Sequence[str] = LEAD_FEATURES, labe
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), trees]).fit(features.fillna(0, list(columns)))
 
 
-def predicted_leads(model, features: DataFrame, columns: Sequence[str] = LEAD_FEATURES) -> DataFrame:
-    """features with lead_score, the model's probability."""
+def predicted_leads(model, features: DataFrame, columns: Sequence[str] = LEAD_FEATURES, label: str = "is_lead") -> DataFrame:
+    """features with lead_score, the model's probability; without a model, as only one class is there, that class is certain."""
     from pyspark.ml.functions import vector_to_array
 
+    if model is None:
+        return features.fillna(0, list(columns)).withColumn("lead_score", F.col(label).cast("double"))
     out = model.transform(features.fillna(0, list(columns)))
     return out.withColumn("lead_score", F.round(vector_to_array("probability")[1], 6)).drop("_x", "rawPrediction", "probability", "prediction")
 

@@ -511,3 +511,11 @@ def test_search_reads_what_edges_say_but_not_their_ids(spark):
     told = e.withColumn("detail", F.when(F.col("src") == "c", "Seen at Dock 0001"))
     nodes, inside = graph.search_network(v, told, "dock 0001")
     assert {r["id"] for r in nodes.collect()} == {"c", "d"} and inside.count() == 1
+
+
+def test_leads_of_one_class_are_certain(spark):
+    rows = spark.createDataFrame([("a", "b", 1), ("a", "c", 1)], "p1 string, p2 string, is_lead int").withColumns({c: F.lit(1.0) for c in ml.LEAD_FEATURES})
+    for label in (1, 0):
+        own = rows.withColumn("is_lead", F.lit(label))
+        model = ml.lead_model(own)
+        assert model is None and {r["lead_score"] for r in ml.predicted_leads(model, own).collect()} == {float(label)}
