@@ -18,43 +18,51 @@ from caseloom.operators.ledger import FIRST_PREVIOUS
 Step = Callable[[tuple, int, int, tuple], tuple[tuple, list[tuple], list[tuple[int, int, tuple]]]]
 
 
-def in_time_order(stream: DataFrame, key: str, ts: str, tie: str, columns: dict[str, str], state: dict[str, tuple[str, object]], step: Step, output: str, late: str) -> DataFrame:
+#: Groups into which keys are dealt: each wakes once a trigger and holds the state of its keys.
+BUCKETS = 1024
+
+
+def in_time_order(stream: DataFrame, key: str, ts: str, tie: str, columns: dict[str, str], state: dict[str, tuple[str, object]], step: Step, output: str, late: str, buckets: int = BUCKETS) -> DataFrame:
     """What `step` puts out for the rows of each key, taken by time and then by `tie` (a long), whatever order they arrive in.
 
-    A row waits in its key's state until the watermark, `late` behind the latest time seen, has passed it; a timer wakes
+    A row waits in the state until the watermark, `late` behind the latest time seen, has passed it; a timer wakes
     keys without new rows. Rows later than that are dropped by the watermark; rows without key or time are left out.
     `columns` are the types of the other columns that a row carries, `state` the type and first value of what `step`
-    remembers. A key's state holds the rows of one span of `late` and no others, so it does not grow with the stream.
+    remembers of a key. Keys share a group by their hash, as a group of its own for each of very many keys costs more than its
+    rows; a group's state is what its keys remember and the rows of one span of `late`.
     """
-    names, first, n = list(columns), tuple(v for _, v in state.values()), len(state)
+    names, first = list(columns), tuple(v for _, v in state.values())
     held = {"_at": "long", "_tie": "long", **columns}
     own = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", late)
-    own = own.select(F.col(key).alias("_key"), "_time", F.unix_micros("_time").alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(-1)).alias("_tie"), *names)
+    own = own.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), F.col(key).alias("_key"), "_time", F.unix_micros("_time").alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(-1)).alias("_tie"), *names)
+    kind = dict(own.dtypes)["_key"]
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         serial = count()
-        mine, waiting = first, []
+        mine, waiting = {}, []
         if group.exists:
-            kept = group.get
-            mine, waiting = tuple(kept[:n]), [(at, t, next(serial), tuple(rest)) for at, t, *rest in zip(*kept[n:], strict=True)]
+            known, *kept = group.get
+            mine = dict(zip(known, zip(*kept[: len(first)], strict=True), strict=True))
+            waiting = [(at, t, next(serial), who, tuple(rest)) for who, at, t, *rest in zip(*kept[len(first) :], strict=True)]
         for frame in frames:
-            waiting += [(at, t, next(serial), tuple(rest)) for at, t, *rest in zip(*(frame[c].tolist() for c in held), strict=True)]
+            waiting += [(at, t, next(serial), who, tuple(rest)) for who, at, t, *rest in zip(*(frame[c].tolist() for c in ("_key", *held)), strict=True)]
         heapq.heapify(waiting)
         mark, out = group.getCurrentWatermarkMs(), []
         while waiting and waiting[0][0] // 1000 < mark:
-            at, t, _, rest = heapq.heappop(waiting)
-            mine, found, later = step(mine, at, t, rest)
+            at, t, _, who, rest = heapq.heappop(waiting)
+            mine[who], found, later = step(mine.get(who, first), at, t, rest)
             out += found
             for when, t, rest in later:
-                heapq.heappush(waiting, (when, t, next(serial), rest))
-        rows = [(at, t, *rest) for at, t, _, rest in sorted(waiting)]
-        group.update((*mine, *([list(c) for c in zip(*rows, strict=True)] or [[]] * len(held))))
+                heapq.heappush(waiting, (when, t, next(serial), who, rest))
+        rows = [(who, at, t, *rest) for at, t, _, who, rest in sorted(waiting)]
+        lists = lambda found, n: [list(c) for c in zip(*found, strict=True)] or [[]] * n
+        group.update((list(mine), *lists(mine.values(), len(first)), *lists(rows, len(held) + 1)))
         if rows:
-            group.setTimeoutTimestamp(max(rows[0][0] // 1000, mark + 1))
+            group.setTimeoutTimestamp(max(rows[0][1] // 1000, mark + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in output.split(", ")])
 
-    kinds = ", ".join([f"{c} {t}" for c, (t, _) in state.items()] + [f"{c} array<{t}>" for c, t in held.items()])
-    return own.groupBy("_key").applyInPandasWithState(run, output, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = ", ".join([f"_keys array<{kind}>", *(f"{c} array<{t}>" for c, (t, _) in state.items()), f"_whose array<{kind}>", *(f"{c} array<{t}>" for c, t in held.items())])
+    return own.groupBy("_bucket").applyInPandasWithState(run, output, kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def locks(logins: DataFrame, failures: int = 5, minutes: int = 15, late: str = "1 hour") -> DataFrame:

@@ -58,3 +58,12 @@ def test_stream_without_rows(spark):
 
     empty = spark.createDataFrame([], "user_id long, login_id long, ts timestamp_ntz, success boolean")
     assert streamed(empty, "ts", state.locks).count() == 0
+
+
+def test_keys_share_groups(spark, tmp_path):
+    """Very many keys are dealt into a fixed number of groups, each with the state of all its keys."""
+    schema = "user_id long, login_id long, ts timestamp_ntz, success boolean"
+    spark.range(3 * state.BUCKETS).selectExpr("id user_id", "id login_id", "timestamp_ntz'2024-01-01 00:00:00' ts", "false success").coalesce(1).write.parquet(f"{tmp_path}/in")
+    query = state.locks(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= state.BUCKETS
