@@ -99,3 +99,10 @@ def test_scores(spark):
     text = one(spark, S.feature_text(x("night_visit_ratio"), x(0.25), x(True)), S.feature_text(x("other"), x(1.0), x(False)), S.feature_source(x("average_call_duration")))
     assert text[0].startswith("An unusually high 25%") and text[0].endswith("investigation.") and text[1] == "Feature other contributed negatively." and text[2] == "calls"
     assert one(spark, S.weighted({"a": (x(1.0), x(True)), "b": (x(0.0), x(False))}, {"a": 0.3, "b": 0.7}), S.weighted({"a": (x(1.0), x(False))}, {"a": 1.0})) == (1.0, 0.0)
+
+
+def test_winkler_of_pairs_is_jaro_winkler(spark):
+    texts = ["", "a", "abc", "martha", "marhta", "dixon", "dicksonx", "rahul kumar 12", "rahul kmar 21", "rahul kumar 12 x", "öäü", "öüä", None]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string").select("a", "b", M.winkler_of_pairs(F.col("a"), F.col("b")).alias("w"), M.jaro_winkler(F.col("a"), F.col("b")).alias("j"))
+    for r in rows.collect():
+        assert r["w"] == r["j"], r
