@@ -519,3 +519,11 @@ def test_leads_of_one_class_are_certain(spark):
         own = rows.withColumn("is_lead", F.lit(label))
         model = ml.lead_model(own)
         assert model is None and {r["lead_score"] for r in ml.predicted_leads(model, own).collect()} == {float(label)}
+
+
+def test_blocked_pairs_are_made_once_in_shares(spark, monkeypatch):
+    """Pairs of blocks of several shares, with two keys in common, come once and all."""
+    monkeypatch.setattr(resolution, "BLOCK_SHARE", 7)
+    raw = spark.createDataFrame([(i, f"Rahul Kumar {i // 3}", f"9{i % 4:09d}") for i in range(60)], "id long, name string, phone string")
+    got = sorted(map(tuple, resolution.blocked_pairs(resolution.validated(raw, 2024)).collect()))
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60)]
