@@ -76,6 +76,24 @@ def test_betweenness_against_pairs_of_ends(spark):
     assert set(as_dict(graph.betweenness(v, e.limit(0)), "betweenness").values()) == {0.0}
 
 
+def test_closeness_and_betweenness_over_several_blocks_and_components(spark):
+    rng = random.Random(11)
+    pairs = {(f"v{a:02}", f"v{b:02}") for a, b in (rng.sample(range(11), 2) for _ in range(22))} | {(f"w{i}", f"w{i + 1}") for i in range(3)}
+    v, e = network(spark, sorted(pairs), extra=["z"])
+    ids = [r["id"] for r in v.collect()]
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in ids}
+    want = {}
+    for i in ids:
+        dist, front = {i: 0}, [i]
+        while front:
+            front = sorted({o for f in front for o in near[f]} - dist.keys())
+            dist |= dict.fromkeys(front, max(dist.values()) + 1)
+        r, d = len(dist) - 1, sum(dist.values())
+        want[i] = round(r / (len(ids) - 1) * (r / d), 4) if d else 0
+    assert as_dict(graph.closeness(v, e, size=8), "closeness") == pytest.approx(want, abs=1.1e-4)
+    assert as_dict(graph.betweenness(v, e, sources=12, size=8), "betweenness") == pytest.approx(betweenness_brute(ids, pairs), abs=2e-6)
+
+
 def test_pagerank_with_vertices_without_neighbours(spark):
     ids, pairs = [f"v{i}" for i in range(12)], [("v0", "v1"), ("v1", "v2"), ("v2", "v0"), ("v3", "v0"), ("v4", "v5"), ("v4", "v5")]
     v, e = network(spark, pairs, extra=ids)
