@@ -80,6 +80,34 @@ def colocation_features(events: DataFrame, minutes: int = 30) -> DataFrame:
     return pairs.agg(F.count("*").alias("co_location_count"), F.round(F.min("delta"), 6).alias("minimum_time_difference"), F.round(F.avg("delta"), 3).alias("average_time_difference"), F.sum("shared_case").alias("shared_case_count"), F.sum("shared_type").alias("shared_event_type_count"))
 
 
+def _close_pairs(events: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(location_id, n): by place, the pairs of events(us, ...) of one group at most `width` apart that colocation_pairs() would make of different people.
+
+    An event at t meets those before t less those before t - width: so sums of counts up to both points suffice, inside buckets
+    and over buckets, and no pair is made. Of events at one time those of different, known ids are pairs.
+    """
+    at = events.groupBy(*keys, "us").agg(F.count("*").alias("n"))
+    points = at.select(*keys, "us", F.col("n").alias("add"), F.col("n").alias("weight")).union(at.select(*keys, F.col("us") - width, F.lit(0).cast("long"), -F.col("n")))
+    points = points.groupBy(*keys, "us").agg(F.sum("add").alias("add"), F.sum("weight").alias("weight")).withColumn("bucket", F.floor(F.col("us") / width))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("add").over(before([*keys, "bucket"], "us")), F.lit(0))
+    buckets = points.withColumn("inside", inside).groupBy(*keys, "bucket").agg(F.sum("add").alias("add"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("inside")).alias("own"))
+    earlier = F.coalesce(F.sum("add").over(before(keys, "bucket")), F.lit(0))
+    apart = buckets.select("location_id", (F.col("own") + F.col("weight") * earlier).alias("n"))
+    ids = events.where("event_id is not null").groupBy(*keys, "us", "event_id").agg(F.count("*").alias("m"))
+    ties = ids.groupBy(*keys, "us").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same")).select("location_id", F.expr("(m * m - same) div 2").alias("n"))
+    return apart.union(ties).groupBy("location_id").agg(F.sum("n").alias("n"))
+
+
+def colocation_counts(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """(location_id, co_location_count): how many colocation_pairs() a place has, without making them: pairs of all its events less those of one person. It grows with the events, not with the pairs."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(dict(events.dtypes)["ts"]), F.col("ts"))
+    own = events.where("person_id is not null and location_id is not null and ts is not null").select("event_id", "person_id", "location_id", us.alias("us"))
+    width = 60_000_000 * minutes
+    every, same = _close_pairs(own, ["location_id"], width), _close_pairs(own, ["location_id", "person_id"], width)
+    return every.union(same.select("location_id", -F.col("n"))).groupBy("location_id").agg(F.sum("n").alias("co_location_count"))
+
+
 def location_stats(features: DataFrame, colocations: DataFrame) -> DataFrame:
     """Per place: visits, people, mean night share and mean days, and its co-locations (0 without any)."""
     own = features.groupBy("location_id").agg(F.sum("visit_count").alias("total_visits"), F.count_distinct("person_id").alias("unique_people"), F.round(F.avg("night_visit_ratio"), 6).alias("average_night_ratio"), F.round(F.avg("unique_days"), 6).alias("average_days"))

@@ -44,7 +44,7 @@ _STATS = f"""{_PAIRS}, {_FEATURES}, st AS (SELECT location_id, CAST(sum(visit_co
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16, A26, J10, K3."""
     e = V.events(spark, sf_dir)
-    return B.hotspots(B.location_stats(B.person_location_features(e), B.colocation_features(e)))
+    return B.hotspots(B.location_stats(B.person_location_features(e), B.colocation_counts(e)))
 
 
 _LEADS = f"""{V.CONTACTS_SQL}, ld AS (SELECT least(p1, p2) AS p1, greatest(p1, p2) AS p2, count(*) FILTER (kind = 'call') AS communication_frequency, count(*) FILTER (kind = 'transaction') AS transaction_count, round(coalesce(sum(amount), 0), 4) AS total_amount,

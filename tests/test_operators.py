@@ -168,6 +168,19 @@ def test_contributions_are_shapley_values(spark):
     assert all(t["direction"] == ("positive" if t["contribution"] > 0 else "negative") for t in top)
 
 
+def test_colocations_are_counted_without_their_pairs(spark):
+    rng = random.Random(3)
+    base = datetime.datetime(2024, 1, 1)
+    times = [base + datetime.timedelta(seconds=rng.choice([0, 1, 900, 1800, 1801, 3600, rng.randrange(9000)]), microseconds=rng.choice([0, 0, 1])) for _ in range(300)]
+    rows = [(rng.choice([None, *range(200)]), rng.choice(["p", "q", "r", None]), rng.choice(["x", "y", None]), t, None, "e") for t in times] + [(1, "p", "lone", base, None, "e"), (2, None, "x", None, None, "e")]
+    schema = "event_id int, person_id string, location_id string, ts timestamp_ntz, case_id string, event_type string"
+    events = spark.createDataFrame(rows, schema)
+    want = {r[0]: r[1] for r in behaviour.colocation_pairs(events).groupBy("location_id").count().collect()}
+    assert {r[0]: r[1] for r in behaviour.colocation_counts(events).collect() if r[1]} == want and set(want) == {"x", "y"}
+    crowd = spark.range(60_000).selectExpr("id as event_id", "cast(id as string) as person_id", "'x' as location_id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 600) as ts")
+    assert behaviour.colocation_counts(crowd).first()["co_location_count"] == 60_000 * 59_999 // 2
+
+
 def test_colocation_window_is_inclusive_and_symmetric(spark):
     t = datetime.datetime(2024, 1, 1)
     m = lambda k: t + datetime.timedelta(minutes=k)
