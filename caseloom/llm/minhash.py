@@ -18,6 +18,8 @@ BANDS, ROWS = 32, 5
 ROUNDS = 2
 #: Members that hold a shingle up to which it counts as rare in the last comparison.
 COMMON = 24
+#: 64-bit words in which a member's frequent shingles are marked for the last comparison.
+MARKS = 16
 _SIGMA = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,25 +101,31 @@ def _rest(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int,
     shares at most the lesser f and its common rare shingles. So either the lesser f suffices, and the pair is formed
     in a bucket, or it has a rare shingle in common, and then one among the first r - (0.8 n - f) + 1 of both in order
     of frequency. Postings of rare shingles are short, so the work follows the text and not a group's square.
+    In a bucket, frequent shingles are also marked in 64 x MARKS bits inside the join: a bit that only one member has is
+    a shingle that the other lacks, which lowers what they can share. So of copies too far from each other only a few
+    make a pair, if their sets are not much larger than the bits; and a pair is formed in the least of its buckets only.
     Tables that can go after the pairs are written are added to `spare`.
     """
     spark = sets.sparkSession
     own = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     held = written(own.mapInArrow(_exploded, "rep long, shingle long").distinct(), "held_shingles")
     count = held.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = held.join(count, "shingle").groupBy("rep").agg(F.count_if(F.col("df") > COMMON).alias("f"), F.sort_array(F.collect_list(F.when(F.col("df") <= COMMON, F.struct("df", "shingle")))).alias("rare"))
+    marks = (F.expr(f"bit_or(if(df > {COMMON} and pmod(shingle, {64 * MARKS}) div 64 = {i}, shiftleft(1L, cast(pmod(shingle, 64) as int)), 0L))") for i in range(MARKS))
+    ranked = held.join(count, "shingle").groupBy("rep").agg(F.count_if(F.col("df") > COMMON).alias("f"), F.array(*marks).alias("marks"), F.sort_array(F.collect_list(F.when(F.col("df") <= COMMON, F.struct("df", "shingle")))).alias("rare"))
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("f"))
     table = ranked.join(members, "rep").withColumn("k", F.size("rare") - needed + 1)
-    table = written(table.select("rep", "n", "component", "f", F.when(F.col("k") > 0, F.expr("filter(slice(rare, 1, cast(k as int)), x -> x.df > 1).shingle")).alias("prefix")), "ranked")
+    table = written(table.select("rep", "n", "component", "f", "marks", F.when(F.col("k") > 0, F.expr("filter(slice(rare, 1, cast(k as int)), x -> x.df > 1).shingle")).alias("prefix")), "ranked")
     spare += [held, table]
     freed(spark)
     bound = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    other = {"rep": "b", "n": "m", "component": "other", "f": "g"}
+    other = {"rep": "b", "n": "m", "component": "other", "f": "g", "marks": "marked", "every": "also"}
     keyed = table.select("rep", "n", "component", F.explode("prefix").alias("shingle"))
     rare = keyed.withColumnRenamed("rep", "a").join(keyed.select("shingle", *(F.col(c).alias(other[c]) for c in ("rep", "n", "component"))), "shingle").where("component < other").where(bound)
-    enough = F.expr(f"{100 + percent} * least(f, g) >= {percent} * (n + m)")
-    common = buckets.join(table.where(f"100 * f >= {percent} * n").drop("prefix", "n"), "rep").select("bucket", "rep", "n", "component", "f")
-    near = common.withColumnRenamed("rep", "a").join(common.select("bucket", *(F.col(c).alias(other[c]) for c in other)), "bucket").where("component < other").where(bound & enough)
+    lacks = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(MARKS))
+    enough = F.expr(f"{100 + percent} * least(f, g) >= {percent} * (n + m)") & F.expr(f"{100 + percent} * least(f - ({lacks('marks', 'marked')}), g - ({lacks('marked', 'marks')})) >= {percent} * (n + m)")
+    every = buckets.groupBy("rep").agg(F.collect_set("bucket").alias("every"))
+    common = every.join(table.where(f"100 * f >= {percent} * n").drop("prefix"), "rep").select(F.explode("every").alias("bucket"), "every", "rep", "n", "component", "f", "marks")
+    near = common.withColumnRenamed("rep", "a").join(common.select("bucket", *(F.col(c).alias(other[c]) for c in other)), "bucket").where("component < other").where(bound & enough & F.expr("array_min(array_intersect(every, also)) = bucket"))
     return rare.select("a", "b").union(near.select("a", "b"))
 
 

@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import numpy as np
+
 from caseloom.llm.components import components
-from caseloom.llm.minhash import near_duplicates
+from caseloom.llm.minhash import _rest, near_duplicates
 
 
 def brute(rows, k, percent=80):
@@ -65,3 +67,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(61)}, **{j: 100 for j in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_far_copies_of_a_bucket_make_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    base, own = rng.integers(0, 1 << 62, 120), {}
+    for i in range(100):
+        own[i] = np.sort(np.delete(base, rng.choice(120, 20, replace=False)))
+    own[100] = np.sort(np.append(own[7], 5))
+    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in own.items()], "doc_id long, shingles binary")
+    members = spark.createDataFrame([(i, len(x), i) for i, x in own.items()], "rep long, n long, component long")
+    buckets = members.selectExpr("1L as bucket", "rep", "n")
+    got = _rest(members, buckets, sets, 80, []).collect()
+    alike = {(a, b) for a, b in itertools.combinations(own, 2) if 100 * (both := len(np.intersect1d(own[a], own[b]))) >= 80 * (len(own[a]) + len(own[b]) - both)}
+    assert (7, 100) in alike and alike <= {tuple(sorted(r)) for r in got}
+    assert len(got) < 500
