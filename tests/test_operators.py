@@ -558,3 +558,20 @@ def test_blocked_pairs_are_made_once_in_shares(spark, monkeypatch):
     raw = spark.createDataFrame([(i, f"Rahul Kumar {i // 3}", f"9{i % 4:09d}") for i in range(60)], "id long, name string, phone string")
     got = sorted(map(tuple, resolution.blocked_pairs(resolution.validated(raw, 2024)).collect()))
     assert got == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_components_read_each_pair_once(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(f"c{i}", f"s{j}") for i in range(20) for j in range(20)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(40)] + [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(45)]
+    v, e = network(spark, pairs, extra=["z"])
+    held, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: held.append(cut(df)) or held[-1])
+    got = as_dict(graph.components(v, e), "component")
+    want = {i: i for p in pairs for i in p} | {"z": "z"}
+    while any(want[a] != want[b] for a, b in pairs):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    # No table holds a pair in both directions, and after the first round only pairs between groups are left.
+    ends = [df.count() for df in held if df.columns == ["u", "v"]]
+    assert max(df.count() for df in held) <= len(pairs) and ends[1] < 60
