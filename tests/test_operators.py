@@ -105,6 +105,28 @@ def test_pagerank_with_vertices_without_neighbours(spark):
     assert as_dict(graph.pagerank(v, e, iterations=7, digits=10), "pagerank") == pytest.approx(rank, abs=1e-9)
 
 
+def test_pagerank_deals_out_its_links_once(spark):
+    from caseloom.operators import tiles as T
+
+    ids = [f"v{i}" for i in range(40)]
+    links = sorted({(ids[i], ids[i * i * 3 % 37]) for i in range(38) if i != i * i * 3 % 37})
+    v, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(links + links[:5], "src string, dst string")
+    near = {i: {b if a == i else a for a, b in links if i in (a, b)} for i in ids}
+    rank = dict.fromkeys(ids, 1 / 40)
+    for _ in range(7):
+        alone = sum(rank[i] for i in ids if not near[i])
+        rank = {i: (0.15 + 0.85 * alone) / 40 + 0.85 * sum(rank[o] / len(near[o]) for o in near[i]) for i in ids}
+    found = {r["id"]: r["pagerank"] for r in graph.pagerank(v, e, 7, digits=8, links=4).collect()}
+    assert found == pytest.approx(rank, abs=2e-8)
+    tiles = T.pair_tiles(spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"), spark.range(10).select("id", F.col("id").alias("number")), 4, 3)
+    ones = spark.range(3).select(F.col("id").alias("v"), F.lit(T.packed(np.ones(4))).alias("x"))
+    sums = T.both_ways(ones, tiles, 4, 3)
+    assert sum(T.unpacked(r["sums"], np.float64, 4).sum() for r in sums.collect()) == 18
+    # A round has one exchange, that of the ranks, above the kept tiles.
+    assert sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("InMemoryRelation")[0].count("Exchange") == 1
+    tiles.unpersist()
+
+
 def test_ranks_and_exact_quantiles(spark):
     rng = random.Random(2)
     for values in ([3.0], [1.0, 1.0, 2.0], [rng.gauss(0, 1e6) for _ in range(500)], [7.0] * 300 + [rng.random() for _ in range(60)], [10.0 ** rng.randrange(-30, 30) for _ in range(80)]):
