@@ -75,9 +75,37 @@ def colocation_pairs(events: DataFrame, minutes: int = 30) -> DataFrame:
     return rows.select(F.least("a_person_id", "person_id").alias("p1"), F.greatest("a_person_id", "person_id").alias("p2"), "location_id", delta.alias("delta"), same("case_id").alias("shared_case"), same("event_type").alias("shared_type"))
 
 
+#: Pairs of a block of colocation_features(), about; a task makes twice as many.
+PAIRS = 1 << 19
+
+
 def colocation_features(events: DataFrame, minutes: int = 30) -> DataFrame:
-    pairs = colocation_pairs(events, minutes).groupBy("p1", "p2", "location_id")
-    return pairs.agg(F.count("*").alias("co_location_count"), F.round(F.min("delta"), 6).alias("minimum_time_difference"), F.round(F.avg("delta"), 3).alias("average_time_difference"), F.sum("shared_case").alias("shared_case_count"), F.sum("shared_type").alias("shared_event_type_count"))
+    """Per pair of people and place: what colocation_pairs() has of them, counted and summed up.
+
+    The result has a row for each pair that meets, so pairs are made, but never exchanged: people fall into groups by a hash,
+    as many as a place's crowd needs, each event goes to the blocks of its group with every group, and a block makes and sums up the
+    pairs between its two groups, so all of a pair's. What is exchanged is events times the groups of their place.
+    """
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(dict(events.dtypes)["ts"]), F.col("ts"))
+    own = events.where("person_id is not null and location_id is not null and ts is not null").select("event_id", "person_id", "location_id", us.alias("us"), "case_id", "event_type")
+    width = 60_000_000 * minutes
+    # An event meets about as many as its bucket of time holds.
+    crowd = own.groupBy("location_id", F.floor(F.col("us") / width)).agg(F.count("*").alias("n")).groupBy("location_id").agg(F.sum(F.col("n") * F.col("n")).alias("about"))
+    crowd = cut(crowd.withColumn("groups", F.ceil(F.sqrt(2 * F.col("about") / PAIRS)).cast("int")))
+    many = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(crowd.agg(F.sum("about")).first()[0] or 0) // (2 * PAIRS)))
+    dealt = own.join(crowd.drop("about"), "location_id").withColumn("g", F.pmod(F.xxhash64("person_id"), F.col("groups")).cast("int"))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumns({"low": F.least("g", "x"), "high": F.greatest("g", "x")}).drop("groups", "x")
+    block = ("location_id", "low", "high")
+    soon = Window.partitionBy(*block).orderBy("us").rangeBetween(0, width)
+    met = dealt.repartition(many, *block).withColumn("b", F.collect_list(F.struct("event_id", "person_id", "us", "case_id", "event_type", "g")).over(soon))
+    rows = met.withColumn("b", F.explode("b"))
+    other = lambda c: F.col(f"b.{c}")
+    later = (other("us") > F.col("us")) | (other("event_id") > F.col("event_id"))
+    rows = rows.where((other("person_id") != F.col("person_id")) & later & ((F.col("low") == F.col("high")) | (other("g") != F.col("g"))))
+    same = lambda c: F.coalesce((F.col(c) == other(c)).cast("int"), F.lit(0))
+    pairs = rows.select(*block, F.least("person_id", other("person_id")).alias("p1"), F.greatest("person_id", other("person_id")).alias("p2"), ((other("us") - F.col("us")) / 1_000_000).alias("delta"), same("case_id").alias("shared_case"), same("event_type").alias("shared_type"))
+    out = pairs.groupBy("p1", "p2", *block).agg(F.count("*").alias("co_location_count"), F.round(F.min("delta"), 6).alias("minimum_time_difference"), F.round(F.avg("delta"), 3).alias("average_time_difference"), F.sum("shared_case").alias("shared_case_count"), F.sum("shared_type").alias("shared_event_type_count"))
+    return out.drop("low", "high")
 
 
 def _close_pairs(events: DataFrame, keys: list[str], width: int) -> DataFrame:

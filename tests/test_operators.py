@@ -203,6 +203,22 @@ def test_colocations_are_counted_without_their_pairs(spark):
     assert behaviour.colocation_counts(crowd).first()["co_location_count"] == 60_000 * 59_999 // 2
 
 
+def test_colocations_are_summed_up_where_they_are_made(spark, monkeypatch):
+    rng = random.Random(3)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k if k % 9 else None, rng.choice([1, 2, 3, 4, 5, 6, 7, 8, None]), rng.choice(["a", "b", None]), at + datetime.timedelta(seconds=rng.randrange(9) * 600), rng.choice(["k", "l", None]), rng.choice("xy")) for k in range(160)]
+    events = spark.createDataFrame(rows, "event_id long, person_id long, location_id string, ts timestamp, case_id string, event_type string")
+    pairs = behaviour.colocation_pairs(events).groupBy("p1", "p2", "location_id")
+    want = pairs.agg(F.count("*"), F.round(F.min("delta"), 6), F.round(F.avg("delta"), 3), F.sum("shared_case"), F.sum("shared_type"))
+    for most in (1 << 19, 40):
+        monkeypatch.setattr(behaviour, "PAIRS", most)
+        found = behaviour.colocation_features(events)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, want.collect()))
+        # Nothing is exchanged between the making of pairs and their sums.
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.index("Exchange") > plan.index("Window")
+
+
 def test_colocation_window_is_inclusive_and_symmetric(spark):
     t = datetime.datetime(2024, 1, 1)
     m = lambda k: t + datetime.timedelta(minutes=k)
