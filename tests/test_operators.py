@@ -613,3 +613,59 @@ def test_components_read_each_pair_once(spark, monkeypatch):
     # No table holds a pair in both directions, and after the first round only pairs between groups are left.
     ends = [df.count() for df in held if df.columns == ["u", "v"]]
     assert max(df.count() for df in held) <= len(pairs) and ends[1] < 60
+
+
+def executed(df):
+    """The plan as it is before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_diameter_holds_a_row_a_vertex(spark, monkeypatch):
+    v, e = network(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(8)] + [("n03", "m1"), ("n03", "m2"), ("m1", "m2")], ["alone"])
+    rows, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append(cut(df)) or rows[-1])
+    found = graph.diameter_estimate(v, e, 4).collect()
+    assert [r["diameter_estimate"] for r in found] == [8]
+    assert max(df.count() for df in rows[1:]) <= v.count()
+    assert graph.diameter_estimate(v.where("id = 'alone'"), e).collect()[0][0] == 0
+    assert graph.diameter_estimate(v.limit(0), e).collect()[0][0] is None
+
+
+def test_leads_are_dealt_out_once(spark):
+    from caseloom.plans import lead_queries, views
+
+    leads = executed(views.leads(spark, "/root/testdata/sf0.001"))
+    assert leads.count("Exchange hashpartitioning(p1") == 1 and leads.count("Scan parquet") == 2
+    # Sentences and sources are chosen in the plan, not by the name of a feature in each row.
+    texts = executed(lead_queries.lead_feature_texts(spark, "/root/testdata/sf0.001"))
+    assert "RLIKE" not in texts and "format_string" not in texts
+
+
+def test_link_names_meet_the_tables_own_keys(spark):
+    from caseloom.plans import graph_queries
+
+    plan = executed(graph_queries.named_links(spark, "/root/testdata/sf0.001"))
+    # The plan is printed from the top: ids are made above all joins.
+    assert plan.count("concat_ws") == 1 and plan.index("concat_ws") < plan.index("Join")
+
+
+def test_names_in_text_go_out_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(text, "RUNS", 3)
+    rows = spark.createDataFrame([(1, "Ann Lee met ann  lee, and Bo."), (2, None), (3, ""), (4, "bo bo ann-lee")], "k int, t string")
+    names = spark.createDataFrame([("PERSON", "Ann Lee", 0.9), ("PERSON", "bo", 0.8)], "label string, name string, confidence double")
+    found = {(r["k"], r["text"], r["start"], r["end"]) for r in text.dictionary_entities(rows, "t", "k", names).collect()}
+    assert found == {(1, "Ann Lee", 0, 7), (1, "Bo", 26, 28), (4, "bo", 0, 2), (4, "ann-lee", 6, 13)}
+
+
+def test_texts_are_lowered_once(spark):
+    rows = spark.createDataFrame([(1, "RAHUL kumar of abc logistics, 9876543210"), (2, None)], "k int, t string")
+    found = text.extracted(rows, "t", "k")
+    assert {(r["label"], r["start"]) for r in found.collect()} == {("PERSON", 0), ("ORGANIZATION", 15), ("PHONE", 30)}
+    assert executed(found).count("lower(") == 1
+
+
+def test_evidence_ids_are_told_apart_before_the_choice(spark):
+    from caseloom.plans import case_queries
+
+    plan = executed(case_queries.evidence_nodes(spark, "/root/testdata/sf0.001"))
+    assert plan.count("functions=[]") >= 8
