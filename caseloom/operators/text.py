@@ -40,16 +40,18 @@ def _all_matches(text: Column, label: str, pattern: str, confidence: float) -> C
 
 def extracted(rows: DataFrame, text: str, key: str, gazetteers=GAZETTEERS, patterns=PATTERNS) -> DataFrame:
     """(key, label, text, start, end, confidence): gazetteer names at their first place, case aside, and every match of the patterns."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    names = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(n).alias("name"), F.lit(conf).alias("confidence")) for label, own, conf in gazetteers for n in own))
-    lower = F.lower(body)
-    at = lambda g: F.instr(lower, F.lower(g["name"])) - 1
-    hits = F.transform(names, lambda g: F.struct(g["label"].alias("label"), g["name"].alias("text"), at(g).alias("start"), (at(g) + F.length(g["name"])).alias("end"), g["confidence"].alias("confidence")))
-    hits = F.filter(hits, lambda x: x["start"] >= 0)
-    lists = [_all_matches(body, *p) for p in patterns]
-    return rows.select(key, F.explode(F.concat(hits.cast(_ENTITY), *lists)).alias("e")).select(key, "e.*")
-
-
+    names = [(label, n, conf) for label, own, conf in gazetteers for n in own]
+    # A text is put into lower case once, and looked through once for each name and pattern.
+    seen = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("lower", F.lower("body"))
+    seen = seen.select(key, "body", F.array(*(F.instr("lower", n.lower()) for _, n, _ in names)).alias("at"))
+    hit = lambda i, label, n, conf: F.when(F.col("at")[i] > 0, _entity(label, F.lit(n), F.col("at")[i] - 1, conf))
+    hits = F.array_compact(F.array(*(hit(i, *n) for i, n in enumerate(names)))).cast(_ENTITY)
+    lists = [_all_matches(F.col("body"), *p) for p in patterns]
+    return seen.select(key, F.explode(F.concat(hits, *lists)).alias("e")).select(key, "e.*")
+
+
+#: Runs of words that a batch holds, about.
+RUNS = 16_384
 #: Words of names and texts.
 _WORD = re.compile(r"[^\W_]+")
 
@@ -69,17 +71,23 @@ def dictionary_entities(rows: DataFrame, text: str, key: str, names: DataFrame)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, body in enumerate(batch.column("body")):
-                at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(body.as_py() or "")]
+            which, phrases, texts, starts, ends = [], [], [], [], []
+            for i, body in enumerate(batch.column("body").to_pylist()):
+                at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(body or "")]
                 first: dict[str, tuple[int, int]] = {}
                 for n in lengths:
                     for j in range(len(at) - n + 1):
-                        first.setdefault(" ".join(w for _, _, w in at[j : j + n]), (at[j][0], at[j + n - 1][1]))
-                own, text_of = batch.column(key).slice(i, 1), body.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [own.take(pa.array([0] * len(first), pa.int64())), pa.array(list(first), pa.string()), pa.array([text_of[a:b] for a, b in first.values()], pa.string()), pa.array([a for a, _ in first.values()], pa.int32()), pa.array([b for _, b in first.values()], pa.int32())],
-                    names=[key, "phrase", "text", "start", "end"],
-                )
+                        first.setdefault(" ".join([w for _, _, w in at[j : j + n]]), (at[j][0], at[j + n - 1][1]))
+                which.extend([i] * len(first))
+                phrases.extend(first)
+                for a, b in first.values():
+                    texts.append(body[a:b])
+                    starts.append(a)
+                    ends.append(b)
+                # A batch goes out as soon as it is full, as a text may have very many runs.
+                if len(which) >= RUNS or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(which, pa.int64())), pa.array(phrases, pa.string()), pa.array(texts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "phrase", "text", "start", "end"])
+                    which, phrases, texts, starts, ends = [], [], [], [], []
 
     runs = rows.select(key, F.col(text).cast("string").alias("body")).mapInArrow(run, f"{key} {kinds[key]}, phrase string, text string, start int, end int")
     return runs.join(known.select("label", F.array_join("words", " ").alias("phrase"), "confidence"), "phrase").select(key, "label", "text", "start", "end", "confidence")
