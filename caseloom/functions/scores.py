@@ -97,7 +97,8 @@ def feature_text(feature: Column, value: Column, positive: Column) -> Column:
     out = None
     for name, text in FEATURE_TEXTS.items():
         shown = F.floor(F.coalesce(value, F.lit(0.0)) * 100).cast("long").cast("string") if name.endswith("ratio") else F.coalesce(value, F.lit(0.0)).cast("decimal(20,2)").cast("string") if name == "total_amount" else whole
-        own = F.format_string(text, shown)
+        before, after = text.replace("%%", "%").split("%s")
+        own = F.concat(F.lit(before), shown, F.lit(after))
         out = F.when(feature == name, own) if out is None else out.when(feature == name, own)
     other = F.concat(F.lit("Feature "), feature, F.lit(" contributed "), F.when(positive, "positively").otherwise("negatively"), F.lit("."))
     return F.concat(out.otherwise(other), F.when(positive, WARNING).otherwise(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.normalize import temporal_parts
 from caseloom.functions.scores import fallback_lead_score, priority_band, weak_lead_label
-from caseloom.operators.graph import cut
+from caseloom.operators.graph import cut, dealt
 from caseloom.operators.ranking import exact_quantile
 
 
@@ -150,12 +150,15 @@ def hotspots(stats: DataFrame, quantile: float = 0.85) -> DataFrame:
     return scored.withColumn("is_hotspot", F.col("hotspot_score") >= F.round(least, 9))
 
 
-def lead_features(contacts: DataFrame) -> DataFrame:
-    """Per unordered pair of contacts(p1, p2, kind (call or transaction), duration, amount, case_id): counts, sums, sources and guarded means."""
+def lead_features(contacts: DataFrame, rows: int = 0) -> DataFrame:
+    """Per unordered pair of contacts(p1, p2, kind (call or transaction), duration, amount, case_id): counts, sums, sources and guarded means.
+
+    Contacts, about `rows`, are dealt out by pair once, in tasks of bounded size, and both sums are made there.
+    """
     call, money = F.col("kind") == "call", F.col("kind") == "transaction"
     pairs = contacts.where("p1 is not null and p2 is not null and p1 != p2").select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), "kind", "duration", "amount", "case_id")
     # Distinct cases are counted in two steps, of sums by case and then of those; kinds by one sum each. So no row is copied for a distinct count.
-    by_case = pairs.groupBy("p1", "p2", "case_id").agg(F.count_if(call).alias("calls"), F.count_if(money).alias("moves"), F.sum("amount").alias("amount"), F.sum("duration").alias("duration"), F.count("*").alias("n"))
+    by_case = dealt(pairs, rows, "p1", "p2").groupBy("p1", "p2", "case_id").agg(F.count_if(call).alias("calls"), F.count_if(money).alias("moves"), F.sum("amount").alias("amount"), F.sum("duration").alias("duration"), F.count("*").alias("n"))
     own = by_case.groupBy("p1", "p2").agg(
         F.sum("calls").alias("communication_frequency"),
         F.sum("moves").alias("transaction_count"),

@@ -151,6 +151,22 @@ def with_texts(rows: DataFrame, positive: Column) -> DataFrame:
     return rows.withColumns({"direction": F.when(positive, "positive").otherwise("negative"), "explanation": feature_text(F.col("feature"), F.col("value"), positive), "source": feature_source(F.col("feature"))})
 
 
+def against_means(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(key, feature, value, direction, explanation, source) of each of the columns that differs from its mean (column mean_<name>), as with_texts() has them.
+
+    What hangs on the feature's name is settled in the plan, as each has its own expression; a row says nothing but its values.
+    """
+    kinds = dict(rows.dtypes)
+
+    def one(c: str) -> Column:
+        value, mean = F.col(c).cast("double"), F.col(f"mean_{c}")
+        held = value if kinds[c] in ("int", "bigint") else F.round(value, 6)
+        up = value > mean
+        return F.when(held != mean, F.struct(F.lit(c).alias("feature"), value.alias("value"), F.when(up, "positive").otherwise("negative").alias("direction"), feature_text(F.lit(c), value, up).alias("explanation"), feature_source(F.lit(c)).alias("source")))
+
+    return rows.select(*key, F.explode(F.array_compact(F.array(*(one(c) for c in columns)))).alias("f")).select(*key, "f.*")
+
+
 def evidence_records(factors: DataFrame, key: Sequence[str], records: DataFrame) -> DataFrame:
     """(key, feature, source, record_id): the records(key, source, record_id) behind each factor; features of several sources ("master intelligence") rest on the records of all.
 

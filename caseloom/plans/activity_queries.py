@@ -57,14 +57,14 @@ _LEADS = f"""{V.CONTACTS_SQL}, ld AS (SELECT least(p1, p2) AS p1, greatest(p1, p
   FROM ld, (SELECT quantile_cont(communication_frequency, 0.9) AS hf, quantile_cont(total_amount, 0.9) AS ha FROM ld)""")
 def lead_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15, A26, U2, X36."""
-    return B.labelled_leads(B.lead_features(V.contacts(spark, sf_dir)))
+    return B.labelled_leads(V.leads(spark, sf_dir))
 
 
 @query(f"""WITH {_LEADS}, sc AS (SELECT p1, p2, round(least(0.5, communication_frequency / 600) + least(0.5, total_amount / 3000000), 6) AS lead_score FROM ld)
   SELECT *, CASE WHEN lead_score > 0.8 THEN 'HIGH' WHEN lead_score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS priority, true AS requires_review FROM sc WHERE lead_score > 0.05""")
 def ranked_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5, X37, X38."""
-    return B.ranked_leads(B.lead_features(V.contacts(spark, sf_dir)), least=0.05)
+    return B.ranked_leads(V.leads(spark, sf_dir), least=0.05)
 
 
 @query("""SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS person_id, event_type AS location_id, ts, json_extract_string(props, '$.k') AS case_id, event_type FROM events

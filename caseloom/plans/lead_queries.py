@@ -19,7 +19,7 @@ _KEY = ("p1", "p2")
 @query()
 def lead_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four features that add most to a pair's score, with what they add to the margin and all that makes it up."""
-    f = B.labelled_leads(B.lead_features(V.contacts(spark, sf_dir)))
+    f = B.labelled_leads(V.leads(spark, sf_dir))
     model = K.lead_model(f)
     if model is None:
         return X.top_factors(f.withColumns({"base_margin": F.lit(0.0), "contributions": F.array(*(F.lit(0.0) for _ in K.LEAD_FEATURES))}).limit(0), _KEY, K.LEAD_FEATURES)
@@ -28,11 +28,10 @@ def lead_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lead's features that lie over the mean of all pairs, positive, and those under it, negative, unless they are equal."""
-    f = B.lead_features(V.contacts(spark, sf_dir))
-    one = f.select(*_KEY, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in K.LEAD_FEATURES))).alias("f")).select(*_KEY, "f.*")
-    means = one.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"))
-    # One row for each of the eight features.
-    return X.with_texts(one.join(F.broadcast(means), "feature").where("round(value, 6) != mean"), F.col("value") > F.col("mean"))
+    f = V.leads(spark, sf_dir)
+    means = f.agg(*(F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in K.LEAD_FEATURES))
+    # One row of means; a pair's rows come from it alone.
+    return X.against_means(f.crossJoin(F.broadcast(means)), _KEY, K.LEAD_FEATURES)
 
 
 _LONG = " UNION ALL ".join(f"SELECT p1, p2, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM ld" for c in K.LEAD_FEATURES)
