@@ -64,7 +64,8 @@ def evidence_nodes(entities: DataFrame, calls: DataFrame, transfers: DataFrame,
     parts += [of(df, c(i), c(i), "PERSON", RISKS[role]) for df, i, role in people]
     parts += [of(cases, c("fir_id"), F.concat(F.lit("FIR "), c("fir_id").cast("string")), "FIR", F.coalesce("risk", F.lit(7)) * 10), of(cases, c("accused_id"), c("accused_id"), "PERSON", RISKS["accused"])]
     parts += [of(visits, place_id(c("place")), c("place"), "LOCATION", RISKS["event place"]), of(visits, c("person_id"), c("person_id"), "PERSON", RISKS["visitor"])]
-    return merged_vertices(*parts)
+    # Ids come back in very many records: only different rows go on to the choice, which sorts what it is given.
+    return merged_vertices(*(p.distinct() for p in parts))
 
 
 def relationship_analysis(edges: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from caseloom.operators import reports as O
 from caseloom.plans import graph_queries as Q
 from caseloom.plans import views as V
 from caseloom.plans.activity_queries import _ACTIVITY, _CLUSTER, _SCORED
+from caseloom.plans.views import order_lines
 from caseloom.registry import load, query
 
 
@@ -26,7 +27,7 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     bank = lambda x: F.concat(F.lit("Bank "), (F.col(x) % 5).cast("string"))
     line = F.concat_ws("-", *(text(x) for x in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
     entities = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.concat(F.lit("R"), text("c_custkey")).alias("record_id"), F.concat(F.lit("C"), text("c_custkey")).alias("person_id"), F.col("c_name").alias("name"), F.col("n_name").alias("place"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("DL01AB"), text("c_custkey"))).alias("vehicle"), F.lit(None).cast("timestamp_ntz").alias("ts"), (F.abs(F.floor("c_acctbal")) % 100).cast("int").alias("risk"))
-    lines = o.join(li, o.o_orderkey == li.l_orderkey)
+    lines = order_lines(o, li)
     calls = lines.select(line.alias("call_id"), person.alias("caller_id"), firm.alias("callee_id"), F.col("l_linestatus").alias("call_type"), F.floor("l_quantity").alias("seconds"), F.lit(None).cast("string").alias("city"), F.col("l_shipdate").alias("ts"))
     transfers = lines.where("l_returnflag = 'R'").select(line.alias("txn_id"), firm.alias("sender_id"), person.alias("receiver_id"), F.floor("l_extendedprice").alias("amount"), F.col("l_linestatus").alias("kind"), bank("l_suppkey").alias("sender_bank"), bank("o_custkey").alias("receiver_bank"), F.col("l_shipdate").alias("ts"))
     cases = o.select(F.concat(F.lit("F"), text("o_orderkey")).alias("fir_id"), person.alias("accused_id"), F.col("o_orderpriority").alias("crime"), F.col("o_orderstatus").alias("sections"), F.col("o_orderdate").alias("ts"), (F.floor("o_totalprice") % 11).cast("int").alias("risk"))
