@@ -669,3 +669,31 @@ def test_evidence_ids_are_told_apart_before_the_choice(spark):
 
     plan = executed(case_queries.evidence_nodes(spark, "/root/testdata/sf0.001"))
     assert plan.count("functions=[]") >= 8
+
+
+def test_components_that_fit_a_task_are_searched_there(spark, monkeypatch):
+    from caseloom.operators import parts, tiles
+
+    rng = random.Random(5)
+    pairs = sorted({(f"v{a:02}", f"v{b:02}") for a, b in (rng.sample(range(20), 2) for _ in range(40))} | {(f"w{i}", f"w{i + 1}") for i in range(5)} | {("y0", "y1"), ("z0", "z1"), ("z1", "z2")})
+    v, e = network(spark, pairs, extra=["alone"])
+    ids = [r["id"] for r in v.collect()]
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in ids}
+    want = {}
+    for i in ids:
+        dist, front = {i: 0}, [i]
+        while front:
+            front = sorted({o for f in front for o in near[f]} - dist.keys())
+            dist |= dict.fromkeys(front, max(dist.values()) + 1)
+        r, d = len(dist) - 1, sum(dist.values())
+        want[i] = pytest.approx(r / (len(ids) - 1) * (r / d) if d else 0, abs=1e-4)
+    monkeypatch.setattr(tiles, "spread", None)
+    monkeypatch.setattr(parts, "SHARED", 12)  # one part of a component, others of several
+    monkeypatch.setattr(parts, "SOURCES", 6)  # several tasks for a part
+    monkeypatch.setattr(parts, "CELLS", 40)  # several turns in a task
+    assert as_dict(graph.betweenness(v, e), "betweenness") == pytest.approx(betweenness_brute(ids, pairs), abs=2e-6)
+    assert as_dict(graph.closeness(v, e), "closeness") == want
+    monkeypatch.setattr(parts, "LINKS", 12)  # what does not fit goes over tiles
+    numbers = graph._numbered(graph.neighbours(e))
+    fit, rest = parts.divided(graph.neighbours(e), numbers)
+    assert {r["id"][0] for r in rest.collect()} == {"v"} and fit.agg(F.sum("n")).first()[0] == 11
