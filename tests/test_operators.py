@@ -697,3 +697,23 @@ def test_components_that_fit_a_task_are_searched_there(spark, monkeypatch):
     numbers = graph._numbered(graph.neighbours(e))
     fit, rest = parts.divided(graph.neighbours(e), numbers)
     assert {r["id"][0] for r in rest.collect()} == {"v"} and fit.agg(F.sum("n")).first()[0] == 11
+
+
+def test_pairs_are_scored_from_lists_of_records(spark, monkeypatch):
+    """What units of lists give is what a row for each pair gives, evidence too; a pair comes once, in the order of its ids."""
+    from caseloom.functions import pairs as own
+
+    monkeypatch.setattr(resolution, "LISTED", 9)
+    rng = random.Random(3)
+    names = ["Rahul Kumar", "Rahul Kmar", "Rahul Gupta", "rahul é kumar", "Kumar Rahul", None]
+    row = lambda i: (f"{i:x}", rng.choice(names), rng.choice([None, "Rahul Kmar"]), f"9{rng.randrange(9):09d}", rng.choice([None, f"9{rng.randrange(9):09d}"]), rng.choice([None, "1980", "1981", "1985"]), rng.choice([None, "12 Main Road East", "12 Main Road West", "9 Hill Side"]), rng.choice(["M", "F", None]), rng.choice([None, "Delhi", "Goa"]), rng.choice([None, "110001"]), rng.choice([None, "C1", "C2"]), rng.choice([None, "PS1"]))
+    raw = spark.createDataFrame([row(i) for i in range(60)], "id string, name string, aliases string, phone string, alternate_phones string, dob string, address string, gender string, city string, pincode string, case_id string, police_station string")
+    r = resolution.validated(raw, 2024).cache()
+    got, want = (sorted(map(str, df.collect())) for df in (resolution.scored_pairs(r), resolution.pair_scores(r, resolution.blocked_pairs(r))))
+    assert got == want and len(got) > 500
+    assert {x["id_a"] < x["id_b"] for x in resolution.scored_pairs(r).select("id_a", "id_b").collect()} == {True}
+    twice = r.union(r.limit(3))
+    got, want = (sorted(map(str, df.collect())) for df in (resolution.scored_pairs(twice), resolution.pair_scores(twice, resolution.blocked_pairs(twice))))
+    assert got == want
+    # No pair is a row before it is scored: units are of lists, and few.
+    assert "MapInArrow" in executed(resolution.scored_pairs(r)) and own.AT_ONCE < 1 << 20
